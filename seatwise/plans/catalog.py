@@ -245,3 +245,91 @@ def q_audit_recent(spark, sf):
 def q_dim_active_bins(spark, sf):
     b = td.bins(spark, sf)
     return b.where(F.col("is_active") & (F.col("capacity") > 0)).select("id", "name", "capacity")
+
+
+# ---------------------------------------------------------------------------------------- split
+from seatwise.operators import split  # noqa: E402
+
+# Independent oracle for the greedy: a recursive walk per department over the visiting order,
+# carrying the two cohort counters (the Spark side uses the closed-form seat ladder instead).
+SPLIT_SQL = """
+    WITH base AS ({base}),
+    elig AS (SELECT *, coalesce(department_id, 0) AS dk, {gk} AS gk FROM base
+             WHERE NOT is_deleted AND status = 'Active' AND group_name IS NULL),
+    bpos AS (SELECT dk, gk, min(id) AS bp FROM elig GROUP BY dk, gk),
+    ranked AS (SELECT e.id, e.dk,
+                      row_number() OVER (PARTITION BY e.dk ORDER BY b.bp, sha256(upper(trim(e.usn))), e.id) - 1 AS n
+               FROM elig e JOIN bpos b ON e.dk = b.dk AND e.gk IS NOT DISTINCT FROM b.gk),
+    sd AS (SELECT department_id AS dk,
+                  count(*) FILTER (WHERE group_name = 'Group A') AS sa,
+                  count(*) FILTER (WHERE group_name = 'Group B') AS sb
+           FROM base WHERE NOT is_deleted GROUP BY department_id),
+    dsz AS (SELECT r.dk, count(*) AS cnt, coalesce(max(sd.sa), 0) AS sa, coalesce(max(sd.sb), 0) AS sb
+            FROM ranked r LEFT JOIN sd ON sd.dk = r.dk GROUP BY r.dk),
+    steps AS (
+        WITH RECURSIVE walk(dk, n, ca, cb, g) AS (
+            SELECT dk, CAST(-1 AS BIGINT), sa, sb, CAST(NULL AS VARCHAR) FROM dsz
+            UNION ALL
+            SELECT w.dk, w.n + 1,
+                   w.ca + CASE WHEN w.ca <= w.cb THEN 1 ELSE 0 END,
+                   w.cb + CASE WHEN w.ca <= w.cb THEN 0 ELSE 1 END,
+                   CASE WHEN w.ca <= w.cb THEN 'Group A' ELSE 'Group B' END
+            FROM walk w JOIN dsz z ON z.dk = w.dk WHERE w.n + 1 < z.cnt)
+        SELECT * FROM walk WHERE n >= 0)
+    SELECT r.id, s.g AS group_name, TRUE AS group_allocated
+    FROM ranked r JOIN steps s ON s.dk = r.dk AND s.n = r.n
+    UNION ALL
+    SELECT id, group_name, FALSE FROM base
+    WHERE NOT coalesce(NOT is_deleted AND status = 'Active' AND group_name IS NULL, FALSE)"""
+
+FRESH_BASE = """SELECT * REPLACE (CASE WHEN is_deleted THEN group_name END AS group_name,
+                                  CASE WHEN is_deleted THEN bin_id END AS bin_id,
+                                  CASE WHEN is_deleted THEN slot_id END AS slot_id) FROM member"""
+
+
+@query("split_hash_order", """
+    WITH elig AS (SELECT *, coalesce(department_id, 0) AS dk FROM member
+                  WHERE NOT is_deleted AND status = 'Active' AND group_name IS NULL),
+    bpos AS (SELECT dk, gender AS gk, min(id) AS bp FROM elig GROUP BY dk, gender)
+    SELECT e.id, e.dk AS department_key, b.bp AS bucket_pos, sha256(upper(trim(e.usn))) AS hash_key,
+           row_number() OVER (PARTITION BY e.dk ORDER BY b.bp, sha256(upper(trim(e.usn))), e.id) - 1 AS n
+    FROM elig e JOIN bpos b ON e.dk = b.dk AND e.gender IS NOT DISTINCT FROM b.gk""")
+def q_split_hash_order(spark, sf):
+    r = split.hash_order(td.member(spark, sf))
+    return r.select("id", F.col("_dk").alias("department_key"), F.col("_bpos").alias("bucket_pos"),
+                    F.col("_sha").alias("hash_key"), F.col("_n").alias("n"))
+
+
+@query("split_cohorts_incremental", SPLIT_SQL.format(base="SELECT * FROM member", gk="gender"))
+def q_split_incremental(spark, sf):
+    return split.split_cohorts(td.member(spark, sf)).select("id", "group_name", "group_allocated")
+
+
+@query("split_cohorts_fresh", SPLIT_SQL.format(base=FRESH_BASE, gk="gender"))
+def q_split_fresh(spark, sf):
+    return split.split_cohorts(td.member(spark, sf), fresh=True).select("id", "group_name", "group_allocated")
+
+
+@query("split_cohorts_no_gender", SPLIT_SQL.format(base="SELECT * FROM member", gk="'ALL'"))
+def q_split_no_gender(spark, sf):
+    return (split.split_cohorts(td.member(spark, sf), gender_balance=False)
+            .select("id", "group_name", "group_allocated"))
+
+
+@query("split_sizes", f"""
+    WITH r AS ({SPLIT_SQL.format(base=FRESH_BASE, gk="gender")})
+    SELECT r.group_name, count(*) AS n FROM r JOIN member m ON m.id = r.id
+    WHERE NOT m.is_deleted AND r.group_name IS NOT NULL GROUP BY r.group_name""")
+def q_split_sizes(spark, sf):
+    return split.cohort_sizes(split.split_cohorts(td.member(spark, sf), fresh=True))
+
+
+@query("split_result", f"""
+    WITH r AS ({SPLIT_SQL.format(base="SELECT * FROM member", gk="gender")})
+    SELECT count(*) FILTER (WHERE group_allocated) AS total_processed,
+           count(*) FILTER (WHERE group_allocated) AS newly_allocated,
+           count(*) FILTER (WHERE group_name IS NOT NULL) - count(*) FILTER (WHERE group_allocated) AS skipped_existing
+    FROM r""")
+def q_split_result(spark, sf):
+    m = td.member(spark, sf)
+    return split.split_result(m, split.split_cohorts(m))
