@@ -333,3 +333,92 @@ def q_split_sizes(spark, sf):
 def q_split_result(spark, sf):
     m = td.member(spark, sf)
     return split.split_result(m, split.split_cohorts(m))
+
+
+# ---------------------------------------------------------------------------------------- seat
+from seatwise.operators import apportion, seating  # noqa: E402
+
+SEAT_ELIG_SQL = """
+    SELECT * EXCLUDE (slot_id), coalesce(department_id, 0) AS dk, coalesce(nullif(gender, ''), 'Unknown') AS gk
+    FROM member WHERE NOT is_deleted AND status = 'Active' AND bin_id IS NULL"""
+SLOT_SPLIT_SQL = f"""
+    WITH e AS ({SEAT_ELIG_SQL}),
+    t AS (SELECT e.*, ntile((SELECT count(*) FROM slot)) OVER (
+                 ORDER BY coalesce(usn, ''), coalesce(full_name, ''), id) - 1 AS slot_idx FROM e),
+    si AS (SELECT id AS slot_id, row_number() OVER (ORDER BY id) - 1 AS slot_idx FROM slot)
+    SELECT t.*, si.slot_id FROM t JOIN si USING (slot_idx)"""
+
+
+def _seat_inputs(spark, sf):
+    m = td.member(spark, sf)
+    return m, td.bins(spark, sf), td.slots(spark, sf)
+
+
+def _split(spark, sf):
+    m, b, s = _seat_inputs(spark, sf)
+    rep = kpi.capacity_report(m, b, s)
+    return seating.slot_split(kpi.eligible_for_seating(m), s, rep.total_members, rep.n_slots)
+
+
+@query("seat_slot_split", f"""SELECT id, slot_id FROM ({SLOT_SPLIT_SQL}) x""")
+def q_seat_slot_split(spark, sf):
+    return _split(spark, sf).select("id", "slot_id")
+
+
+@query("strata_counts", f"""
+    SELECT slot_id, dk AS department_key, gk AS gender_key, count(*) AS n
+    FROM ({SLOT_SPLIT_SQL}) x GROUP BY slot_id, dk, gk""")
+def q_strata_counts(spark, sf):
+    c = seating.strata_counts(_split(spark, sf))
+    return c.select("slot_id", F.col("dk").alias("department_key"), F.col("gk").alias("gender_key"),
+                    F.col("n_k").alias("n"))
+
+
+@query("apportion_bins", f"""
+    WITH sz AS (SELECT slot_id, count(*) AS n FROM ({SLOT_SPLIT_SQL}) x GROUP BY slot_id),
+    b AS (SELECT id AS bin_id, capacity FROM bin WHERE is_active AND capacity > 0),
+    c AS (SELECT sz.slot_id, sz.n, b.bin_id, b.capacity,
+                 sum(b.capacity) OVER (PARTITION BY sz.slot_id) AS total,
+                 b.capacity * least(1.0, sz.n / sum(b.capacity) OVER (PARTITION BY sz.slot_id)) AS exact
+          FROM sz, b),
+    d AS (SELECT *, least(CAST(floor(exact) AS BIGINT), capacity) AS base FROM c),
+    e AS (SELECT *, exact - base AS rem, n - sum(base) OVER (PARTITION BY slot_id) AS deficit FROM d),
+    f AS (SELECT *, CASE WHEN base < capacity THEN row_number() OVER (
+                      PARTITION BY slot_id, base < capacity ORDER BY rem DESC, capacity DESC, bin_id) END AS r
+          FROM e)
+    SELECT slot_id, bin_id, CAST(CASE WHEN total = 0 OR n = 0 THEN 0
+                                      ELSE base + CASE WHEN r <= deficit THEN 1 ELSE 0 END END AS BIGINT) AS target
+    FROM f""")
+def q_apportion_bins(spark, sf):
+    m, b, s = _seat_inputs(spark, sf)
+    rep = kpi.capacity_report(m, b, s)
+    q, r = divmod(rep.total_members, rep.n_slots)
+    sizes = seating.slot_index(s).withColumn("n", F.when(F.col("slot_idx") < r, q + 1).otherwise(q).cast("long"))
+    tg = apportion.bin_targets(b, ([q + 1] if r else []) + [q])
+    return sizes.where(F.col("n") > 0).join(tg, "n").select("slot_id", "bin_id", "target")
+
+
+@query("strata_matrix")
+def q_strata_matrix(spark, sf):
+    m, b, s = _seat_inputs(spark, sf)
+    split_ = _split(spark, sf)
+    strata = seating.strata_counts(split_)
+    rep = kpi.capacity_report(m, b, s)
+    q, r = divmod(rep.total_members, rep.n_slots)
+    sizes = seating.slot_index(s).withColumn("n", F.when(F.col("slot_idx") < r, q + 1).otherwise(q).cast("long"))
+    tg = apportion.bin_targets(b, ([q + 1] if r else []) + [q])
+    targets = sizes.where(F.col("n") > 0).join(tg, "n").select("slot_id", "bin_id", "target")
+    return apportion.strata_matrix(targets, strata).select(
+        "slot_id", "bin_id", F.col("dk").alias("department_key"), F.col("gk").alias("gender_key"), "n")
+
+
+@query("seat_slots")
+def q_seat_slots(spark, sf):
+    m, b, s = _seat_inputs(spark, sf)
+    return seating.seat_slots(m, b, s).select("id", "bin_id", "slot_id")
+
+
+@query("balance_report")
+def q_balance_report(spark, sf):
+    m, b, s = _seat_inputs(spark, sf)
+    return seating.balance_report(m, seating.seat_slots(m, b, s), b)
