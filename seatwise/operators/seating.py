@@ -157,3 +157,77 @@ def balance_report(members: DataFrame, seats: DataFrame, bins: DataFrame) -> Dat
         F.round(F.col("n") / F.col("bin_n"), 6).alias("share_in_bin"),
         F.round(F.col("slot_dept_n") / F.col("slot_n"), 6).alias("share_in_slot"),
         (F.col("bin_n") > F.col("capacity")).alias("over_capacity"))
+
+
+# ------------------------------------------------------------------------ cohort seating
+def venue_list(spark, venues: list[tuple[str, int]] | None = None):
+    """Venues configured inline, in list order; default one ``Auditorium`` of 500 seats."""
+    venues = venues or [("Auditorium", 500)]
+    return spark.createDataFrame([(i, n, int(c)) for i, (n, c) in enumerate(venues)],
+                                 "ord long, name string, capacity long")
+
+
+def cohort_members(members: DataFrame, cohort: str) -> DataFrame:
+    return members.where(~F.coalesce(F.col("is_deleted"), F.lit(False)) & (F.col("status") == "Active")
+                         & (F.col("group_name") == cohort))
+
+
+def seat_cohort(members: DataFrame, venues: DataFrame, cohort: str | None = None) -> DataFrame:
+    """J7 (G8 + G9): one bin per member of a cohort, mixing departments and genders.
+
+    Rule: members in usn order are split by stratum (department or 0, gender or "Unknown"); for
+    venues in list order (capacity > 0 only), stratum k takes its next
+    ``max(1, int(N_k * (cap_v / total_cap)))`` members; what is left of a stratum goes round-robin
+    over the venues (``(i - shares) mod V``). No capacity guard (quirk Q10: bins can overfill).
+
+    ``venues``: (ord, name, capacity). Returns (id, bin_name, dk, gk). Stratum k can reach at most
+    min(V, N_k) venues (each share is >= 1), so its venue rows are generated per stratum from an
+    index sequence and equi-joined to the venues on ``ord`` -- at most one row per member.
+    """
+    grp = cohort if cohort and cohort != "All" else "Group A"
+    v = venues.where(F.col("capacity") > 0)
+    v = v.select((F.row_number().over(Window.orderBy("ord")) - 1).cast("long").alias("ord"), "name", "capacity")
+    nv = v.agg(F.count(F.lit(1))).scalar()
+    total = v.agg(F.sum("capacity")).scalar()
+    m = stratum_cols(cohort_members(members, grp))
+    ranked = ordered_rank(m, [F.col("usn"), F.col("id")], {"seq": ["dk", "gk"]})
+    strata = ranked.groupBy("dk", "gk").agg(F.count(F.lit(1)).alias("n_k"))
+    reach = strata.withColumn("ord", F.explode(F.sequence(F.lit(0).cast("long"),
+                                                          (F.least(nv, F.col("n_k")) - 1).cast("long"))))
+    sh = reach.join(v, "ord")
+    share = F.greatest(F.lit(1), F.floor(F.col("n_k") * (F.col("capacity") / total))).cast("long")
+    w = Window.partitionBy("dk", "gk").orderBy("ord")
+    sh = (sh.withColumn("_share", share)
+          .withColumn("hi", F.sum("_share").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+          .withColumn("lo", F.col("hi") - F.col("_share"))
+          .withColumn("hi", F.least(F.col("hi"), F.col("n_k")))
+          .where(F.col("lo") < F.col("hi")))
+    cells = sh.select(F.lit(0).cast("long").alias("slot_id"), "dk", "gk", F.col("ord").alias("bin_id"), "lo", "hi")
+    taken = cells.groupBy("dk", "gk").agg(F.max("hi").alias("_taken"))
+    strata_t = strata.select(F.lit(0).cast("long").alias("slot_id"), "dk", "gk", "n_k",
+                             F.lit(0).cast("long").alias("before"))
+    split_ = ranked.withColumn("slot_id", F.lit(0).cast("long")).withColumnRenamed("seq", "rk")
+    split_ = split_.join(taken, ["dk", "gk"], "left").withColumn("_taken", F.coalesce("_taken", F.lit(0)))
+    in_range = assign_ranges(split_.where(F.col("rk") < F.col("_taken")), strata_t, cells) \
+        .select("id", F.col("bin_id").alias("ord"), "dk", "gk")
+    leftover = (split_.where(F.col("rk") >= F.col("_taken"))
+                .select("id", F.pmod(F.col("rk") - F.col("_taken"), F.lit(nv)).cast("long").alias("ord"), "dk", "gk"))
+    out = in_range.unionByName(leftover).join(v.select("ord", F.col("name").alias("bin_name")), "ord")
+    return out.select("id", "bin_name", "dk", "gk").withColumn("group_name", F.lit(grp))
+
+
+def event_facts(assigned: DataFrame, events: list[str]) -> DataFrame:
+    """The same bin for every configured event -- one fact per (member, event).
+
+    ``events`` is the short configured event list; it is exploded in place (no join).
+    """
+    names = [e.strip() for e in events] or ["Event 1"]
+    return assigned.select(F.col("id").alias("member_id"), F.explode(F.array(*[F.lit(n) for n in names]))
+                           .alias("event_name"), F.col("bin_name"), "group_name")
+
+
+def replace_facts(prior: DataFrame, members: DataFrame, cohort: str, new: DataFrame) -> DataFrame:
+    """Drop earlier facts of the cohort's current members (anti join), add the new ones."""
+    ids = cohort_members(members, cohort).select(F.col("id").alias("member_id"))
+    keep = prior.join(ids, "member_id", "left_anti").select("member_id", "event_name", "bin_name", "group_name")
+    return keep.unionByName(new.select("member_id", "event_name", "bin_name", "group_name"))

@@ -422,3 +422,178 @@ def q_seat_slots(spark, sf):
 def q_balance_report(spark, sf):
     m, b, s = _seat_inputs(spark, sf)
     return seating.balance_report(m, seating.seat_slots(m, b, s), b)
+
+
+# ------------------------------------------------------------------------------ cohort seating
+from seatwise.operators import report  # noqa: E402
+
+COHORT = "Group A"
+MAX_EVENTS = 10_000
+
+
+def _venues(spark, sf):
+    """Active bins as the configured venue list, in id order."""
+    from pyspark.sql import Window
+    b = td.bins(spark, sf).where(F.col("is_active") & (F.col("capacity") > 0))
+    return b.select((F.row_number().over(Window.orderBy("id")) - 1).cast("long").alias("ord"), "name", "capacity")
+
+
+def _events(spark, sf) -> list[str]:
+    rows = td.event_cfg(spark, sf).orderBy("first_id").limit(MAX_EVENTS + 1).collect()
+    if len(rows) > MAX_EVENTS:
+        raise ValueError("event configuration is not a short list")
+    return [r["event_name"] for r in rows]
+
+
+COHORT_SEAT_SQL = f"""
+    WITH g AS (SELECT *, coalesce(department_id, 0) AS dk, coalesce(nullif(gender, ''), 'Unknown') AS gk
+               FROM member WHERE NOT is_deleted AND status = 'Active' AND group_name = '{COHORT}'),
+    r AS (SELECT id, dk, gk, row_number() OVER (PARTITION BY dk, gk ORDER BY usn, id) - 1 AS seq,
+                 count(*) OVER (PARTITION BY dk, gk) AS nk FROM g),
+    v AS (SELECT row_number() OVER (ORDER BY id) - 1 AS ord, name, capacity FROM bin WHERE is_active AND capacity > 0),
+    tot AS (SELECT sum(capacity) AS t, count(*) AS nv FROM v),
+    sk AS (SELECT DISTINCT dk, gk, nk FROM r),
+    sh AS (SELECT sk.dk, sk.gk, sk.nk, v.ord, v.name,
+                  greatest(1, CAST(floor(sk.nk * (v.capacity / tot.t)) AS BIGINT)) AS share
+           FROM sk, v, tot),
+    cum AS (SELECT *, sum(share) OVER (PARTITION BY dk, gk ORDER BY ord) AS hi FROM sh),
+    tk AS (SELECT dk, gk, least(max(hi), max(nk)) AS taken FROM cum GROUP BY dk, gk)
+    SELECT r.id, coalesce(c.name, v2.name) AS bin_name, '{COHORT}' AS group_name
+    FROM r JOIN tk ON tk.dk = r.dk AND tk.gk = r.gk
+    LEFT JOIN cum c ON c.dk = r.dk AND c.gk = r.gk AND r.seq < tk.taken AND r.seq >= c.hi - c.share AND r.seq < c.hi
+    LEFT JOIN v v2 ON r.seq >= tk.taken AND v2.ord = (r.seq - tk.taken) % (SELECT nv FROM tot)"""
+
+
+def _cohort_seats(spark, sf):
+    return seating.seat_cohort(td.member(spark, sf), _venues(spark, sf), COHORT)
+
+
+@query("seat_cohort", COHORT_SEAT_SQL)
+def q_seat_cohort(spark, sf):
+    return _cohort_seats(spark, sf).select("id", "bin_name", "group_name")
+
+
+@query("seat_cohort_events", f"""
+    SELECT s.id AS member_id, e.event_name, s.bin_name, s.group_name
+    FROM ({COHORT_SEAT_SQL}) s, event_cfg e""")
+def q_seat_cohort_events(spark, sf):
+    return seating.event_facts(_cohort_seats(spark, sf), _events(spark, sf))
+
+
+@query("seat_cohort_replace", f"""
+    SELECT member_id, event_name, bin_name, group_name FROM facts
+    WHERE member_id NOT IN (SELECT id FROM member WHERE NOT is_deleted AND status = 'Active' AND group_name = '{COHORT}')
+    UNION ALL
+    SELECT s.id, e.event_name, s.bin_name, s.group_name FROM ({COHORT_SEAT_SQL}) s, event_cfg e""")
+def q_seat_cohort_replace(spark, sf):
+    m = td.member(spark, sf)
+    new = seating.event_facts(_cohort_seats(spark, sf), _events(spark, sf))
+    return seating.replace_facts(td.facts(spark, sf), m, COHORT, new)
+
+
+# --------------------------------------------------------------------------------------- report
+def _san(x: str) -> str:
+    t = f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"  # Python str.strip: all whitespace
+    return f"CASE WHEN regexp_matches({t}, '^[=+\\-@]') THEN concat('''', {t}) ELSE {t} END"
+
+
+@query("event_first_seen", """
+    SELECT event_name, min(id) AS first_id, row_number() OVER (ORDER BY min(id)) - 1 AS ord
+    FROM facts GROUP BY event_name""")
+def q_event_first_seen(spark, sf):
+    return report.first_seen_events(td.facts(spark, sf))
+
+
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]  # distinct events of the test tables
+
+
+def _pivot_sql(cohort: str | None) -> str:
+    cells = ",\n".join(
+        f"{_san(f'coalesce(nullif(l_{e}, {chr(39)}{chr(39)}), bb.name, {chr(39)}{chr(39)})')} AS {e}"
+        for e in EVENT_TYPES)
+    lasts = ", ".join(f"arg_max(bin_name, id) FILTER (WHERE event_name = '{e}') AS l_{e}" for e in EVENT_TYPES)
+    base = f"""
+        SELECT m.id, m.group_name AS g, {_san('m.usn')} AS usn, {_san('m.full_name')} AS full_name,
+               {_san('m.gender')} AS gender, {_san("coalesce(d.name, '')")} AS department,
+               {_san("coalesce(m.group_name, '')")} AS group_name,
+               {cells}
+        FROM member m LEFT JOIN dept d ON m.department_id = d.id LEFT JOIN bin bb ON m.bin_id = bb.id
+        LEFT JOIN (SELECT member_id, {lasts} FROM facts GROUP BY member_id) l ON l.member_id = m.id
+        WHERE NOT m.is_deleted {"AND m.group_name = '" + cohort + "'" if cohort else ""}"""
+    if cohort:
+        return f"SELECT * EXCLUDE (g), '{cohort} Allocations' AS sheet FROM ({base}) x"
+    return (f"SELECT * EXCLUDE (g), 'Master Allocation' AS sheet FROM ({base}) x UNION ALL "
+            f"SELECT * EXCLUDE (g), 'Group A' AS sheet FROM ({base}) x WHERE g = 'Group A' UNION ALL "
+            f"SELECT * EXCLUDE (g), 'Group B' AS sheet FROM ({base}) x WHERE g = 'Group B'")
+
+
+def _pivot(spark, sf, cohort):
+    return report.event_pivot(td.member(spark, sf), td.facts(spark, sf), td.dept(spark, sf),
+                              td.bins(spark, sf), cohort=cohort)
+
+
+@query("export_event_pivot", _pivot_sql(None))
+def q_export_event_pivot(spark, sf):
+    return _pivot(spark, sf, None)
+
+
+@query("export_event_pivot_cohort", _pivot_sql(COHORT))
+def q_export_event_pivot_cohort(spark, sf):
+    return _pivot(spark, sf, COHORT)
+
+
+FLAT_SQL = f"""
+    SELECT m.id, {_san('m.usn')} AS "USN", {_san("coalesce(nullif(m.student_id, ''), '')")} AS "Student ID",
+           {_san('m.full_name')} AS "Full Name", {_san('m.gender')} AS "Gender",
+           {_san("coalesce(d.name, '')")} AS "Department", {_san("coalesce(p.name, '')")} AS "Program",
+           {_san("coalesce(nullif(m.group_name, ''), 'Unassigned')")} AS "Group",
+           {_san("CASE WHEN b.id IS NULL THEN 'Unassigned' ELSE b.name END")} AS "Venue",
+           {_san("CASE WHEN s.id IS NULL THEN 'Unassigned' ELSE s.slot_name END")} AS "Time Slot",
+           {_san('m.status')} AS "Status"
+    FROM member m LEFT JOIN dept d ON m.department_id = d.id LEFT JOIN program p ON m.program_id = p.id
+    LEFT JOIN bin b ON m.bin_id = b.id LEFT JOIN slot s ON m.slot_id = s.id
+    WHERE NOT m.is_deleted"""
+
+
+def _flat(spark, sf):
+    return report.flat_roster(td.member(spark, sf), *_dims(spark, sf))
+
+
+@query("export_flat_roster", FLAT_SQL)
+def q_export_flat_roster(spark, sf):
+    return _flat(spark, sf)
+
+
+@query("export_cohort_roster", f"""SELECT * FROM ({FLAT_SQL}) x WHERE "Group" = '{COHORT}'""")
+def q_export_cohort_roster(spark, sf):
+    return report.cohort_roster(_flat(spark, sf), COHORT)
+
+
+@query("export_attendance", """
+    SELECT row_number() OVER (ORDER BY m.group_name NULLS FIRST, m.department_id NULLS FIRST,
+                                       m.full_name NULLS FIRST, m.id) AS serial,
+           m.id, m.usn, m.full_name, coalesce(substr(d.name, 1, 15), '') AS dept,
+           coalesce(m.group_name, '') AS group_name,
+           concat(coalesce(b.name, 'N/A'), chr(10), '(', coalesce(s.slot_name, 'N/A'), ')') AS venue_slot,
+           '[  ] Present' AS signature
+    FROM member m LEFT JOIN dept d ON m.department_id = d.id LEFT JOIN bin b ON m.bin_id = b.id
+    LEFT JOIN slot s ON m.slot_id = s.id
+    WHERE NOT m.is_deleted""")
+def q_export_attendance(spark, sf):
+    return report.attendance(td.member(spark, sf), td.dept(spark, sf), td.bins(spark, sf), td.slots(spark, sf))
+
+
+SANITISE_INPUT_SQL = """
+    SELECT doc_id, concat(CASE doc_id % 5 WHEN 0 THEN '=' WHEN 1 THEN '+' WHEN 2 THEN '-' WHEN 3 THEN '@' ELSE '' END,
+                          ' ', source, CASE WHEN doc_id % 3 = 0 THEN chr(9) ELSE '' END) AS raw
+    FROM documents"""
+
+
+@query("sanitise_cells", f"""SELECT doc_id, raw, {_san('raw')} AS clean FROM ({SANITISE_INPUT_SQL}) x""")
+def q_sanitise_cells(spark, sf):
+    d = td.table(spark, sf, "documents").select("doc_id", "source")
+    k = F.col("doc_id") % 5
+    lead = (F.when(k == 0, "=").when(k == 1, "+").when(k == 2, "-").when(k == 3, "@").otherwise(""))
+    raw = F.concat(lead, F.lit(" "), F.col("source"), F.when(F.col("doc_id") % 3 == 0, "\t").otherwise(""))
+    x = d.select("doc_id", raw.alias("raw"))
+    return x.select("doc_id", "raw", report.sanitise(F.col("raw")).alias("clean"))
