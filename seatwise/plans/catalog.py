@@ -597,3 +597,256 @@ def q_sanitise_cells(spark, sf):
     raw = F.concat(lead, F.lit(" "), F.col("source"), F.when(F.col("doc_id") % 3 == 0, "\t").otherwise(""))
     x = d.select("doc_id", raw.alias("raw"))
     return x.select("doc_id", "raw", report.sanitise(F.col("raw")).alias("clean"))
+
+
+# --------------------------------------------------------------------------------------- ingest
+from seatwise.functions import text as T  # noqa: E402
+from seatwise.operators import dims, mapping, upsert  # noqa: E402
+from seatwise.sources import files  # noqa: E402
+
+IMPORT_ID = 1_000_000  # id of the import run in the ledger
+BATCH_TAG = "0042"
+
+
+def _duck_strip(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _duck_code(x: str) -> str:
+    """C9 in DuckDB SQL."""
+    c = _duck_strip(x)
+    w = f"list_filter(string_split_regex(replace({c}, '&', ''), '\\s+'), lambda t: t <> '')"
+    return (f"CASE WHEN length(upper({c})[1:20]) > 4 AND contains({c}, ' ') THEN "
+            f"CASE WHEN len({w}) >= 2 THEN upper(array_to_string(list_transform({w}, lambda t: t[1]), ''))[1:10] "
+            f"ELSE upper({c}[1:4]) END ELSE upper({c})[1:20] END")
+
+
+def _header_rows(spark, sf):
+    """Headers of many 'files' derived from the part table: six headers per file."""
+    p = td.table(spark, sf, "part")
+    k = F.col("p_partkey") % 4
+    h = (F.when(k == 0, F.col("p_name")).when(k == 1, F.concat(F.col("p_type"), F.lit(" / "), F.col("p_brand")))
+         .when(k == 2, F.upper(F.col("p_name"))).otherwise(F.concat(F.col("p_name"), F.lit(" No."))))
+    return p.select(F.concat(F.lit("file_"), (F.col("p_partkey") / 6).cast("long").cast("string")).alias("file"),
+                    (F.col("p_partkey") % 6).cast("long").alias("pos"), h.alias("header"))
+
+
+@query("map_normalise", """
+    SELECT p_partkey AS row_no,
+           regexp_replace(regexp_replace(regexp_replace(lower(concat(' ', upper(p_name), '_', p_brand, ':.')),
+                                                        '^\\s+|\\s+$', '', 'g'),
+                                         '[_\\-/:.]', ' ', 'g'), '\\s+', ' ', 'g') AS norm
+    FROM part""")
+def q_map_normalise(spark, sf):
+    p = td.table(spark, sf, "part")
+    raw = F.concat(F.lit(" "), F.upper(F.col("p_name")), F.lit("_"), F.col("p_brand"), F.lit(":."))
+    return p.select(F.col("p_partkey").alias("row_no"), T.normalise_header(raw).alias("norm"))
+
+
+@query("map_similarity")
+def q_map_similarity(spark, sf):
+    h = _header_rows(spark, sf)
+    return mapping.header_scores(h).select("file", "pos", "header", "field", "best", "exact")
+
+
+@query("map_headers")
+def q_map_headers(spark, sf):
+    return mapping.map_headers(_header_rows(spark, sf))
+
+
+@query("map_unmapped")
+def q_map_unmapped(spark, sf):
+    h = _header_rows(spark, sf)
+    return mapping.unmapped(h, mapping.map_headers(h))
+
+
+@query("map_missing_required", """
+    SELECT CAST(NULL AS VARCHAR) AS file, CAST(NULL AS VARCHAR) AS label WHERE FALSE""")
+def q_map_missing_required(spark, sf):
+    h = _header_rows(spark, sf)
+    return mapping.missing_required(mapping.map_headers(h), h.select("file").distinct())
+
+
+CLEAN_SQL = f"""
+    SELECT row_no, usn, student_id,
+           usn AS full_name,
+           CASE WHEN dept0 = '' OR lower(dept0) IN ('nan', 'none', 'null') THEN 'General' ELSE dept0 END AS department,
+           CASE WHEN program IS NULL THEN 'B.Tech' ELSE {_duck_strip('program')} END AS program,
+           'Unknown' AS gender, CAST(NULL AS VARCHAR) AS student_number,
+           upper(usn) AS ukey, upper(student_id) AS ikey
+    FROM (SELECT row_no, program, coalesce({_duck_strip('department')}, '') AS dept0,
+                 CASE WHEN coalesce({_duck_strip('usn')}, '') = '' OR lower({_duck_strip('usn')}) IN ('nan', 'none', 'null')
+                      THEN printf('STU_%s_%04d', '{BATCH_TAG}', row_no) ELSE {_duck_strip('usn')} END AS usn,
+                 CASE WHEN coalesce({_duck_strip('usn')}, '') = '' OR lower({_duck_strip('usn')}) IN ('nan', 'none', 'null')
+                      THEN printf('STU_%s_%04d', '{BATCH_TAG}', row_no) ELSE {_duck_strip('usn')} END AS student_id
+          FROM batch) b"""
+
+
+@query("import_clean", CLEAN_SQL)
+def q_import_clean(spark, sf):
+    return upsert.clean_batch(td.batch(spark, sf), BATCH_TAG)
+
+
+@query("canon_category", """
+    SELECT c_custkey AS id, raw,
+           CASE WHEN raw IS NULL OR raw = '' THEN 'Unknown'
+                WHEN lower(trim(raw)) IN ('m', 'male', 'boy', 'man') THEN 'Male'
+                WHEN lower(trim(raw)) IN ('f', 'female', 'girl', 'woman') THEN 'Female'
+                WHEN lower(trim(raw)) IN ('o', 'other') THEN 'Other' ELSE 'Unknown' END AS gender
+    FROM (SELECT c_custkey, CASE c_custkey % 9 WHEN 0 THEN ' M' WHEN 1 THEN 'female ' WHEN 2 THEN 'Boy'
+                 WHEN 3 THEN 'F' WHEN 4 THEN 'WOMAN' WHEN 5 THEN 'o' WHEN 6 THEN 'Other' WHEN 7 THEN c_mktsegment
+                 END AS raw FROM customer) x""")
+def q_canon_category(spark, sf):
+    c = td.table(spark, sf, "customer")
+    k = F.col("c_custkey") % 9
+    raw = (F.when(k == 0, " M").when(k == 1, "female ").when(k == 2, "Boy").when(k == 3, "F").when(k == 4, "WOMAN")
+           .when(k == 5, "o").when(k == 6, "Other").when(k == 7, F.col("c_mktsegment")))
+    x = c.select(F.col("c_custkey").alias("id"), raw.alias("raw"))
+    return x.select("id", "raw", T.canon_gender(F.col("raw")).alias("gender"))
+
+
+@query("dim_code", f"""SELECT row_no, name, {_duck_code('name')} AS code FROM dim_names""")
+def q_dim_code(spark, sf):
+    d = td.dim_names(spark, sf)
+    return d.select("row_no", "name", T.derive_code(F.col("name")).alias("code"))
+
+
+RESOLVE_SQL = f"""
+    WITH n AS (SELECT row_no, {_duck_strip('name')} AS clean, {_duck_code('name')} AS code FROM dim_names),
+    m AS (SELECT n.*, (SELECT min(d.id) FROM dept d WHERE lower(d.code) = lower(n.code)
+                       OR lower(d.code) = lower(n.clean) OR lower(d.name) = lower(n.clean)) AS hit FROM n),
+    g AS (SELECT code, min(row_no) AS first FROM m WHERE hit IS NULL GROUP BY code),
+    ids AS (SELECT code, (SELECT max(id) FROM dept) + row_number() OVER (ORDER BY first, code) AS nid FROM g)
+    SELECT m.row_no, coalesce(m.hit, ids.nid) AS dim_id, m.hit IS NULL AS created
+    FROM m LEFT JOIN ids ON ids.code = m.code"""
+
+
+@query("dim_resolve", RESOLVE_SQL)
+def q_dim_resolve(spark, sf):
+    out, _new = dims.resolve(td.dim_names(spark, sf), td.dept(spark, sf))
+    return out
+
+
+@query("dim_resolve_new", f"""
+    WITH n AS (SELECT row_no, {_duck_strip('name')} AS clean, {_duck_code('name')} AS code FROM dim_names),
+    m AS (SELECT n.*, (SELECT min(d.id) FROM dept d WHERE lower(d.code) = lower(n.code)
+                       OR lower(d.code) = lower(n.clean) OR lower(d.name) = lower(n.clean)) AS hit FROM n),
+    g AS (SELECT code, arg_min(clean, row_no) AS name, min(row_no) AS first FROM m WHERE hit IS NULL GROUP BY code)
+    SELECT CAST((SELECT max(id) FROM dept) + row_number() OVER (ORDER BY first, code) AS BIGINT) AS id, name, code FROM g""")
+def q_dim_resolve_new(spark, sf):
+    _out, new = dims.resolve(td.dim_names(spark, sf), td.dept(spark, sf))
+    return new
+
+
+def _incoming_bins(spark, sf):
+    s = td.table(spark, sf, "supplier").where(F.col("s_suppkey") % 3 == 0)
+    name = F.when(F.col("s_suppkey") % 2 == 0, F.lower(F.col("s_name"))).otherwise(
+        F.concat(F.col("s_name"), F.lit(" Annex ")))
+    return s.select(F.col("s_suppkey").alias("row_no"), name.alias("name"),
+                    (2 + F.col("s_suppkey") % 4).cast("long").alias("capacity"),
+                    F.concat(F.lit("Block "), (F.col("s_nationkey") % 4).cast("string")).alias("location"))
+
+
+@query("dim_upsert_bins", f"""
+    WITH inc AS (SELECT s_suppkey AS row_no,
+                        CASE WHEN s_suppkey % 2 = 0 THEN lower(s_name) ELSE concat(s_name, ' Annex ') END AS name,
+                        CAST(2 + s_suppkey % 4 AS BIGINT) AS capacity,
+                        concat('Block ', CAST(s_nationkey % 4 AS VARCHAR)) AS location
+                 FROM supplier WHERE s_suppkey % 3 = 0),
+    a AS (SELECT lower({_duck_strip('name')}) AS k, arg_min({_duck_strip('name')}, row_no) AS nm,
+                 arg_max(capacity, row_no) AS cap, arg_min(location, row_no) AS loc, min(row_no) AS first
+          FROM inc GROUP BY 1),
+    ex AS (SELECT lower(name) AS k, min(id) AS eid FROM bin GROUP BY 1),
+    am AS (SELECT a.*, ex.eid FROM a LEFT JOIN ex USING (k))
+    SELECT b.id, b.name, CAST(coalesce(am.cap, b.capacity) AS BIGINT) AS capacity, b.location, b.is_active
+    FROM bin b LEFT JOIN am ON am.eid = b.id
+    UNION ALL
+    SELECT CAST((SELECT max(id) FROM bin) + row_number() OVER (ORDER BY first, k) AS BIGINT), nm, cap, loc, TRUE
+    FROM am WHERE eid IS NULL""")
+def q_dim_upsert_bins(spark, sf):
+    return dims.upsert_bins(td.bins(spark, sf), _incoming_bins(spark, sf))
+
+
+MATCH_SQL = f"""
+    WITH c AS ({CLEAN_SQL}),
+    tu AS (SELECT upper({_duck_strip('usn')}) AS ukey, max(id) AS t_u FROM upsert_target WHERE usn IS NOT NULL GROUP BY 1),
+    ti AS (SELECT upper({_duck_strip('student_id')}) AS ikey, max(id) AS t_i FROM upsert_target
+           WHERE student_id IS NOT NULL GROUP BY 1)
+    SELECT c.row_no, coalesce(tu.t_u, ti.t_i) AS matched_id,
+           CASE WHEN tu.t_u IS NOT NULL THEN 'usn' WHEN ti.t_i IS NOT NULL THEN 'student_id' END AS matched_by,
+           c.ukey
+    FROM c LEFT JOIN tu ON tu.ukey = c.ukey LEFT JOIN ti ON ti.ikey = c.ikey"""
+
+
+def _clean(spark, sf):
+    return upsert.clean_batch(td.batch(spark, sf), BATCH_TAG)
+
+
+@query("import_match", f"""SELECT row_no, matched_id, matched_by FROM ({MATCH_SQL}) x""")
+def q_import_match(spark, sf):
+    return upsert.match(_clean(spark, sf), td.upsert_target(spark, sf)).select("row_no", "matched_id", "matched_by")
+
+
+def _upsert(spark, sf):
+    import datetime
+    return upsert.upsert(td.batch(spark, sf), td.upsert_target(spark, sf), td.dept(spark, sf),
+                         td.program(spark, sf), IMPORT_ID, now=datetime.datetime(2024, 6, 1), batch_tag=BATCH_TAG)
+
+
+def _resolved_dim_sql(col: str, dim: str) -> str:
+    return f"""
+    (WITH n AS (SELECT row_no, {_duck_strip(col)} AS clean, {_duck_code(col)} AS code FROM ({CLEAN_SQL}) c0),
+     m AS (SELECT n.*, (SELECT min(d.id) FROM {dim} d WHERE lower(d.code) = lower(n.code)
+                        OR lower(d.code) = lower(n.clean) OR lower(d.name) = lower(n.clean)) AS hit FROM n),
+     g AS (SELECT code, min(row_no) AS first FROM m WHERE hit IS NULL GROUP BY code),
+     ids AS (SELECT code, (SELECT max(id) FROM {dim}) + row_number() OVER (ORDER BY first, code) AS nid FROM g)
+     SELECT m.row_no, coalesce(m.hit, ids.nid) AS dim_id FROM m LEFT JOIN ids ON ids.code = m.code)"""
+
+
+UPSERT_SQL = f"""
+    WITH mt AS ({MATCH_SQL}),
+    c AS ({CLEAN_SQL}),
+    rd AS {_resolved_dim_sql('department', 'dept')},
+    rp AS {_resolved_dim_sql('program', 'program')},
+    r AS (SELECT c.*, mt.matched_id, rd.dim_id AS department_id, rp.dim_id AS program_id,
+                 min(c.row_no) OVER (PARTITION BY c.ukey, c.ikey) AS first
+          FROM c JOIN mt USING (row_no) JOIN rd USING (row_no) JOIN rp USING (row_no)),
+    e AS (SELECT coalesce(matched_id, first) AS entity, matched_id IS NULL AS is_new,
+                 arg_max(usn, row_no) AS usn, arg_max(student_id, row_no) AS student_id,
+                 arg_max(full_name, row_no) AS full_name, arg_max(department_id, row_no) AS department_id,
+                 arg_max(gender, row_no) AS gender, arg_min(program_id, row_no) AS program_id,
+                 arg_min(student_number, row_no) AS student_number, min(row_no) AS first
+          FROM r GROUP BY 1, 2)
+    SELECT t.id, coalesce(e.usn, t.usn) AS usn, coalesce(e.student_id, t.student_id) AS student_id,
+           coalesce(e.full_name, t.full_name) AS full_name,
+           CAST(CASE WHEN e.entity IS NULL THEN t.department_id ELSE e.department_id END AS BIGINT) AS department_id,
+           t.program_id, coalesce(e.gender, t.gender) AS gender,
+           CASE WHEN e.entity IS NULL THEN t.status ELSE 'Active' END AS status,
+           CASE WHEN e.entity IS NULL THEN t.import_id ELSE {IMPORT_ID} END AS import_id,
+           CASE WHEN e.entity IS NULL THEN t.is_deleted ELSE FALSE END AS is_deleted,
+           t.group_name
+    FROM upsert_target t LEFT JOIN (SELECT * FROM e WHERE NOT is_new) e ON e.entity = t.id
+    UNION ALL
+    SELECT CAST((SELECT max(id) FROM upsert_target) + row_number() OVER (ORDER BY first) AS BIGINT), usn, student_id,
+           full_name, CAST(department_id AS BIGINT), CAST(program_id AS BIGINT), gender, 'Active', {IMPORT_ID}, FALSE,
+           CAST(NULL AS VARCHAR)
+    FROM e WHERE is_new"""
+
+UPSERT_COLS = ["id", "usn", "student_id", "full_name", "department_id", "program_id", "gender", "status",
+               "import_id", "is_deleted", "group_name"]
+
+
+@query("import_upsert", UPSERT_SQL)
+def q_import_upsert(spark, sf):
+    return _upsert(spark, sf)["members"].select(*UPSERT_COLS)
+
+
+@query("import_ledger", f"""
+    WITH mt AS ({MATCH_SQL}),
+    r AS (SELECT *, min(row_no) OVER (PARTITION BY ukey) AS first FROM mt)
+    SELECT count(*) AS total_rows, count(DISTINCT CASE WHEN matched_id IS NULL THEN first END) AS new_records,
+           count(*) - count(DISTINCT CASE WHEN matched_id IS NULL THEN first END) AS updated_records,
+           CAST(0 AS BIGINT) AS duplicate_records
+    FROM r""")
+def q_import_ledger(spark, sf):
+    return _upsert(spark, sf)["ledger"]
