@@ -850,3 +850,206 @@ def q_import_upsert(spark, sf):
     FROM r""")
 def q_import_ledger(spark, sf):
     return _upsert(spark, sf)["ledger"]
+
+
+# ------------------------------------------------------------------------------------ lifecycle
+from seatwise.operators import lifecycle, snapshot  # noqa: E402
+
+UNDO_ID = 5
+
+
+@query("undo_import", f"""
+    SELECT id FROM member
+    WHERE id NOT IN (SELECT id FROM member WHERE import_id = {UNDO_ID})""")
+def q_undo_import(spark, sf):
+    r = lifecycle.undo_import(td.member(spark, sf), td.facts(spark, sf), td.ledger(spark, sf), UNDO_ID)
+    return r["members"].select("id")
+
+
+@query("undo_import_facts", f"""
+    SELECT id, member_id FROM facts
+    WHERE member_id NOT IN (SELECT id FROM member WHERE import_id = {UNDO_ID})""")
+def q_undo_import_facts(spark, sf):
+    r = lifecycle.undo_import(td.member(spark, sf), td.facts(spark, sf), td.ledger(spark, sf), UNDO_ID)
+    return r["facts"].select("id", "member_id")
+
+
+@query("undo_import_timeband", """
+    SELECT l.id AS import_id, m.id AS member_id
+    FROM ledger l JOIN member m
+      ON m.created_at >= l.imported_at - INTERVAL 120 SECOND AND m.created_at <= l.imported_at + INTERVAL 120 SECOND""")
+def q_undo_import_timeband(spark, sf):
+    return lifecycle.time_band_pairs(td.ledger(spark, sf), td.member(spark, sf))
+
+
+@query("delete_bin_setnull", """
+    SELECT m.id, CASE WHEN m.bin_id IN (SELECT id FROM bin WHERE NOT is_active) THEN NULL ELSE m.bin_id END AS bin_id,
+           m.slot_id
+    FROM member m""")
+def q_delete_bin_setnull(spark, sf):
+    b = td.bins(spark, sf)
+    r = lifecycle.delete_bins(td.member(spark, sf), b, b.where(~F.col("is_active")).select("id"))
+    return r["members"].select("id", "bin_id", "slot_id")
+
+
+@query("delete_bin_remaining", """SELECT id, name FROM bin WHERE is_active""")
+def q_delete_bin_remaining(spark, sf):
+    b = td.bins(spark, sf)
+    return lifecycle.delete_bins(td.member(spark, sf), b, b.where(~F.col("is_active")).select("id"))["bins"] \
+        .select("id", "name")
+
+
+@query("delete_slot_setnull", """
+    SELECT id, bin_id, CASE WHEN slot_id = 3 THEN NULL ELSE slot_id END AS slot_id FROM member""")
+def q_delete_slot_setnull(spark, sf):
+    s = td.slots(spark, sf)
+    r = lifecycle.delete_slots(td.member(spark, sf), s, s.where(F.col("id") == 3).select("id"))
+    return r["members"].select("id", "bin_id", "slot_id")
+
+
+def _state(spark, sf):
+    return {"members": td.member(spark, sf), "bins": td.bins(spark, sf), "slots": td.slots(spark, sf),
+            "dept": td.dept(spark, sf)}
+
+
+@query("snap_manifest", """
+    SELECT 'bins' AS "table", count(*) AS rows FROM bin UNION ALL
+    SELECT 'dept', count(*) FROM dept UNION ALL
+    SELECT 'members', count(*) FROM member UNION ALL
+    SELECT 'slots', count(*) FROM slot""")
+def q_snap_manifest(spark, sf):
+    root = snapshot.scratch_root(spark)
+    snapshot.create(spark, root, _state(spark, sf), "MANUAL_SNAPSHOT")
+    return snapshot.read_manifest(spark, root).select("table", "rows")
+
+
+@query("snap_list")
+def q_snap_list(spark, sf):
+    root = snapshot.scratch_root(spark)
+    st = _state(spark, sf)
+    snapshot.create(spark, root, st, "PRE_GROUP_ALLOCATION")
+    snapshot.create(spark, root, st, "PRE_VENUE_ALLOCATION")
+    return snapshot.list_snapshots(spark, root).select("seq", "table", "rows", "trigger", "exists")
+
+
+@query("snap_verify")
+def q_snap_verify(spark, sf):
+    root = snapshot.scratch_root(spark)
+    snap = snapshot.create(spark, root, _state(spark, sf), "MANUAL_SNAPSHOT")
+    return snapshot.verify(spark, root, snap)
+
+
+@query("snap_restore_diff", """
+    SELECT 'members' AS "table", count(*) AS rows, CAST(0 AS BIGINT) AS rows_differing FROM member""")
+def q_snap_restore_diff(spark, sf):
+    root = snapshot.scratch_root(spark)
+    st = _state(spark, sf)
+    snap = snapshot.create(spark, root, st, "PRE_GROUP_ALLOCATION")
+    changed = dict(st, members=split.split_cohorts(st["members"], fresh=True).drop("group_allocated"))
+    back = snapshot.restore(spark, root, snap, changed)["members"]
+    orig = st["members"]
+    diff = back.exceptAll(orig).unionByName(orig.exceptAll(back))
+    return back.agg(F.count(F.lit(1)).alias("rows")).select(
+        F.lit("members").alias("table"), "rows", diff.agg(F.count(F.lit(1))).scalar().alias("rows_differing"))
+
+
+@query("audit_append", """
+    WITH r AS (SELECT count(*) FILTER (WHERE NOT is_deleted AND status = 'Active' AND group_name IS NULL) AS n
+               FROM member)
+    SELECT 'GROUP_ALLOCATION_COMPLETED' AS action, 'GroupAllocation' AS entity_type,
+           printf('Allocated %d new members across cohorts', n) AS details FROM r""")
+def q_audit_append(spark, sf):
+    m = td.member(spark, sf)
+    metrics = split.split_result(m, split.split_cohorts(m)).select("newly_allocated")
+    rows = snapshot.audit_from_metrics(metrics, "GROUP_ALLOCATION_COMPLETED", "GroupAllocation",
+                                       "Allocated %d new members across cohorts")
+    path = snapshot.scratch_root(spark, "audit")
+    snapshot.append(rows, path)
+    return spark.read.parquet(path).select("action", "entity_type", "details")
+
+
+# -------------------------------------------------------------------------------------- sources
+@query("src_csv_roundtrip", """
+    SELECT CAST(row_no AS VARCHAR) AS row_no, usn, department, program FROM batch""")
+def q_src_csv_roundtrip(spark, sf):
+    path = snapshot.scratch_root(spark, "csv")
+    td.batch(spark, sf).write.option("header", True).csv(path)
+    return files.read_rosters(spark, path).drop("source_file")
+
+
+@query("src_file_dispatch", """
+    SELECT id, suffix, CASE WHEN suffix = '.csv' THEN 'csv' WHEN suffix IN ('.xlsx', '.xls') THEN 'spreadsheet'
+                            ELSE 'unsupported' END AS kind
+    FROM (SELECT event_id AS id, lower(CASE event_id % 4 WHEN 0 THEN '.csv' WHEN 1 THEN '.XLSX' WHEN 2 THEN '.xls'
+                                          ELSE '.txt' END) AS suffix FROM events) x""")
+def q_src_file_dispatch(spark, sf):
+    e = td.table(spark, sf, "events")
+    k = F.col("event_id") % 4
+    ext = F.when(k == 0, ".csv").when(k == 1, ".XLSX").when(k == 2, ".xls").otherwise(".txt")
+    names = e.select(F.col("event_id").alias("id"),
+                     F.concat(F.lit("/uploads/"), F.col("event_type"), F.lit("_"), F.col("user_id").cast("string"),
+                              ext).alias("path"))
+    return files.dispatch(names).select("id", "suffix", "kind")
+
+
+@query("src_profile", """
+    SELECT department, count(*) AS n_rows, 'row_no,usn,program' AS headers FROM batch GROUP BY department""")
+def q_src_profile(spark, sf):
+    path = snapshot.scratch_root(spark, "profile")
+    td.batch(spark, sf).write.partitionBy("department").option("header", True).csv(path)
+    df = files.read_rosters(spark, path)
+    prof = files.profile(df.drop("department"), "source_file")
+    dept_of = df.select("source_file", "department").distinct()
+    return (prof.join(dept_of, "source_file").groupBy("department")
+            .agg(F.sum("n_rows").cast("long").alias("n_rows"), F.first("headers").alias("h"))
+            .select("department", "n_rows", F.array_join("h", ",").alias("headers")))
+
+
+@query("src_fingerprint_dup")
+def q_src_fingerprint_dup(spark, sf):
+    b = td.batch(spark, sf)
+    runs = []
+    for k in range(2):
+        path = snapshot.scratch_root(spark, f"upload{k}")
+        (b.repartition("department").sortWithinPartitions("row_no")
+         .write.partitionBy("department").option("header", True).csv(path))
+        runs.append(files.fingerprint(spark, path))
+    history = runs[0].select("file_hash")
+    flagged = files.flag_reimports(runs[1], history)
+    return flagged.select(F.regexp_extract("path", r"department=([^/]*)", 1).alias("department"), "is_reimport")
+
+
+# ------------------------------------------------------------------------------------ streaming
+from seatwise.streaming import ingest as stream_ingest  # noqa: E402
+from seatwise.streaming import kpi as stream_kpi  # noqa: E402
+
+
+@query("stream_ingest_equals_batch", f"""
+    SELECT * EXCLUDE (import_id) FROM ({UPSERT_SQL}) x""")
+def q_stream_ingest(spark, sf):
+    import datetime
+    root = snapshot.scratch_root(spark, "stream")
+    b = td.batch(spark, sf)
+    stream_ingest.write_uploads(b, f"{root}/in", 4)
+    stream_ingest.init_store(f"{root}/store", td.upsert_target(spark, sf), td.dept(spark, sf), td.program(spark, sf))
+    v = stream_ingest.run_ingest(spark, f"{root}/in", "row_no long, usn string, department string, program string",
+                                 f"{root}/store", f"{root}/ckpt", IMPORT_ID, BATCH_TAG,
+                                 now=datetime.datetime(2024, 6, 1))
+    out = stream_ingest.read_version(spark, f"{root}/store", v)["members"]
+    return out.select(*[c for c in UPSERT_COLS if c != "import_id"])
+
+
+@query("stream_kpi_counts", """SELECT bin_name, count(*) AS n FROM facts GROUP BY bin_name""")
+def q_stream_kpi(spark, sf):
+    root = snapshot.scratch_root(spark, "kpi")
+    f = td.facts(spark, sf).select("id", "member_id", "event_name", "bin_name", "group_name")
+    bounds = f.agg(F.min("id"), F.max("id")).first()
+    lo, hi = int(bounds[0]), int(bounds[1])
+    step = max(1, (hi - lo) // 3 + 1)
+    for k in range(3):
+        f.where((F.col("id") >= lo + k * step) & (F.col("id") < lo + (k + 1) * step)) \
+            .write.parquet(f"{root}/log/part_{k}")
+    schema = "id long, member_id long, event_name string, bin_name string, group_name string"
+    stream_kpi.counts_stream(spark, f"{root}/log/*", schema, "bin_name", "Unassigned", f"{root}/sink",
+                             f"{root}/ckpt")
+    return spark.read.parquet(f"{root}/sink")
