@@ -6,35 +6,52 @@ two-phase rank avoids both:
 
 1. range-partition on (group cols, order cols) and sort inside partitions; tag each row with its
    partition id ``_p`` and its position ``_i`` inside the partition;
-2. checkpoint (reliable, in the shared checkpoint folder) so partition ids and positions cannot
-   change if an executor is lost and the frame is recomputed;
-3. count rows per (partition, group): a table of at most partitions + groups rows when the group
-   columns lead the sort, partitions x groups otherwise;
-4. prefix-sum the counts per group over partition order and add the offset back.
+2. write that frame once as parquet into the shared checkpoint folder and read it back, so
+   partition ids and positions are fixed facts that cannot change if an executor is lost and a
+   stage is recomputed (and the lineage is cut);
+3. count rows per (partition, group) -- a table of at most partitions + groups rows when the
+   group columns lead the sort, partitions x groups otherwise -- reading two or three columns;
+4. prefix-sum the counts per group over partition order and add the offset back. When the count
+   table is small (checked: collected with a row limit) the offsets are computed on the driver
+   and shipped as a broadcast local table; otherwise a distributed window + join does it.
 
 Ranges never split a row's order: keys are unique because callers end the order with ``id``.
 """
 
 from __future__ import annotations
 
+import uuid
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from seatwise.operators.util import broadcast_if_small
 from seatwise.session import ensure_checkpoint_dir
 
+LOCAL_OFFSETS_LIMIT = 50_000  # count tables up to this many rows are prefix-summed on the driver
+
 
 def _as_col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` as parquet under the shared checkpoint folder and read it back (lineage cut,
+    recomputation-proof). The cluster's ``spark.checkpoint.dir`` must be a shared folder."""
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/seatwise-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def range_sorted(df: DataFrame, order: list, num_partitions: int | None = None) -> DataFrame:
-    """Range-partitioned, partition-sorted, checkpointed copy of ``df`` with ``_p`` and ``_i``.
+    """Range-partitioned, partition-sorted, materialised copy of ``df`` with ``_p`` and ``_i``.
 
     ``order`` items are column names or expressions; they are materialised as ``_o<k>``.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [f"_o{k}" for k in range(len(order))]
     tagged = df.withColumns({k: _as_col(c) for k, c in zip(keys, order)})
@@ -43,7 +60,25 @@ def range_sorted(df: DataFrame, order: list, num_partitions: int | None = None)
               .withColumn("_p", F.spark_partition_id())
               .withColumn("_i", F.monotonically_increasing_id()
                           - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
-    return ranged.checkpoint(eager=True)
+    return materialise(ranged, "rank")
+
+
+def _local_offsets(rows: list[tuple], ncols: int, contiguous: bool) -> list[tuple]:
+    """Prefix sums per group over partition order, on a collected count table.
+
+    Row layout: (_p, *group values, _n[, _start]).
+    """
+    def gkey(r):
+        return tuple(r[1:1 + ncols])
+
+    out = []
+    ordered = sorted(rows, key=lambda r: (repr(gkey(r)), r[0]))
+    for _g, rs in groupby(ordered, key=lambda r: repr(gkey(r))):
+        acc = 0
+        for r in rs:
+            out.append((r[0], *gkey(r), acc) + ((r[2 + ncols],) if contiguous else ()))
+            acc += r[1 + ncols]
+    return out
 
 
 def add_ranks(ranged: DataFrame, groups: dict[str, list[str]], lead: list[str] = ()) -> DataFrame:
@@ -53,32 +88,34 @@ def add_ranks(ranged: DataFrame, groups: dict[str, list[str]], lead: list[str] =
     columns the frame was sorted by first: a group that is a prefix of them is contiguous inside
     a partition, so its local position needs no window.
     """
+    spark = ranged.sparkSession
     out = ranged
     for name, cols in groups.items():
-        if not cols:
-            counts = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-            w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-            # single-partition window over a table with one row per range partition
-            offs = counts.select("_p", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-            out = (out.join(broadcast_if_small(offs), "_p")
-                   .withColumn(name, (F.col("_off") + F.col("_i")).cast("long")).drop("_off"))
-            continue
-        contiguous = list(cols) == list(lead)[:len(cols)]
+        cols = list(cols)
+        contiguous = cols == list(lead)[:len(cols)]
         if contiguous:
             local = F.col("_i") - F.col("_start")
-            counts = ranged.groupBy("_p", *cols).agg(F.count(F.lit(1)).alias("_n"),
-                                                     F.min("_i").alias("_start"))
+            aggs = [F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_start")]
         else:
-            wl = Window.partitionBy("_p", *cols).orderBy("_i")
-            out = out.withColumn("_loc", F.row_number().over(wl) - 1)
+            out = out.withColumn("_loc", F.row_number().over(Window.partitionBy("_p", *cols).orderBy("_i")) - 1)
             local = F.col("_loc")
-            counts = ranged.groupBy("_p", *cols).agg(F.count(F.lit(1)).alias("_n"))
-        w = Window.partitionBy(*cols).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-        offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+            aggs = [F.count(F.lit(1)).alias("_n")]
+        counts = ranged.groupBy("_p", *cols).agg(*aggs)
         gk = [f"_g{k}" for k in range(len(cols))]
-        offs = offs.select("_p", *[F.col(c).alias(g) for c, g in zip(cols, gk)],
-                           "_off", *(["_start"] if contiguous else []))
-        offs = broadcast_if_small(offs)
+        rows = counts.limit(LOCAL_OFFSETS_LIMIT + 1).collect()
+        if len(rows) <= LOCAL_OFFSETS_LIMIT:
+            fields = [T.StructField("_p", T.IntegerType())]
+            fields += [T.StructField(g, ranged.schema[c].dataType) for c, g in zip(cols, gk)]
+            fields += [T.StructField("_off", T.LongType())]
+            if contiguous:
+                fields += [T.StructField("_start", T.LongType())]
+            data = _local_offsets([tuple(r) for r in rows], len(cols), contiguous)
+            offs = F.broadcast(spark.createDataFrame(data, T.StructType(fields)))  # size checked above
+        else:
+            w = Window.partitionBy(*cols).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+            offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+            offs = offs.select("_p", *[F.col(c).alias(g) for c, g in zip(cols, gk)], "_off",
+                               *(["_start"] if contiguous else []))
         cond = [out["_p"] == offs["_p"]] + [out[c].eqNullSafe(offs[g]) for c, g in zip(cols, gk)]
         out = (out.join(offs, cond).drop(offs["_p"]).drop(*gk)
                .withColumn(name, (F.col("_off") + local).cast("long"))

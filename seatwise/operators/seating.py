@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from seatwise.operators import apportion, kpi
 from seatwise.operators.rank import ordered_rank
-from seatwise.operators.util import blank_to_null, broadcast_if_small
+from seatwise.operators.util import blank_to_null
 
 
 class CapacityExceededError(Exception):
@@ -66,7 +66,7 @@ def slot_split(members: DataFrame, slots: DataFrame, n_members: int, n_slots: in
     cols = [c for c in members.columns if c not in ("bin_id", "slot_id")]
     ranked = ordered_rank(stratum_cols(members.select(*cols)), seat_order(), {"rank0": [], "rk": ["dk", "gk"]})
     ranked = ranked.withColumn("slot_idx", slot_of(F.col("rank0"), n_members, n_slots))
-    return ranked.join(broadcast_if_small(slot_index(slots)), "slot_idx")
+    return ranked.join(slot_index(slots), "slot_idx")  # slot dimension: broadcast by AQE
 
 
 def strata_counts(split: DataFrame) -> DataFrame:
@@ -116,7 +116,6 @@ def assign_ranges(split: DataFrame, strata: DataFrame, cells: DataFrame) -> Data
           .withColumn("_w", F.greatest(F.lit(1), F.ceil(F.col("n_k") / F.coalesce(F.col("_cells"), F.lit(1))))
                       .cast("long"))
           .select("slot_id", "dk", "gk", "before", "_w"))
-    st = broadcast_if_small(st)
     m = (split.join(st, ["slot_id", "dk", "gk"])
          .withColumn("_seq", F.col("rk") - F.col("before"))
          .withColumn("_b", F.floor(F.col("_seq") / F.col("_w")).cast("long")))
@@ -124,7 +123,6 @@ def assign_ranges(split: DataFrame, strata: DataFrame, cells: DataFrame) -> Data
          .withColumn("_b", F.explode(F.sequence(F.floor(F.col("lo") / F.col("_w")).cast("long"),
                                                 F.floor((F.col("hi") - 1) / F.col("_w")).cast("long"))))
          .select("slot_id", "dk", "gk", "_b", F.col("bin_id").alias("_bin"), "lo", "hi"))
-    q = broadcast_if_small(q)
     j = m.join(q, ["slot_id", "dk", "gk", "_b"]).where((F.col("_seq") >= F.col("lo")) & (F.col("_seq") < F.col("hi")))
     return j.select("id", F.col("_bin").alias("bin_id"), "slot_id", "dk", "gk")
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seatwise.operators.rank import ordered_rank
-from seatwise.operators.util import broadcast_if_small, live, strip
+from seatwise.operators.util import live, strip
 
 DEFAULT_COHORTS = ("Group A", "Group B")
 
@@ -113,7 +113,7 @@ def split_cohorts(members: DataFrame, cohorts=DEFAULT_COHORTS, gender_balance: b
     base = reset_for_fresh(members) if fresh else members
     ranked = hash_order(base, gender_balance)
     seg = segments(ranked.select("_dk").distinct(), seeds(base, cohorts), cohorts)
-    seg = broadcast_if_small(seg)
+    # departments x cohorts rows: AQE broadcasts it from its measured size
     cond = ((ranked["_dk"] == seg["_dk"]) & (ranked["_n"] >= seg["_start"])
             & (seg["_end"].isNull() | (ranked["_n"] < seg["_end"])))
     assigned = ranked.join(seg, cond).withColumn(
