@@ -14,18 +14,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seatwise.functions.text import derive_code
-from seatwise.operators.rank import ordered_rank
+from seatwise.operators.rank import small_rank
 from seatwise.operators.util import strip
 
 
-def resolve(names: DataFrame, existing: DataFrame, name_col: str = "name", code_col: str | None = None,
-            order_col: str = "row_no") -> tuple[DataFrame, DataFrame]:
-    """Returns (per input row: ``order_col``, ``dim_id``, ``created``; the new dimension rows).
+def spelling_map(names: DataFrame, existing: DataFrame, name_col: str = "name", code_col: str | None = None,
+                 order_col: str = "row_no") -> tuple[DataFrame, DataFrame]:
+    """Returns (one row per distinct spelling: ``_s_<name_col>`` [, ``_s_<code_col>``], ``dim_id``,
+    ``created``; the new dimension rows).
 
     ``existing``: id, name, code. New ids continue after max(existing id) in first-seen order.
+    The rule only depends on the spelling, so every distinct spelling is resolved once (partial
+    aggregation collapses millions of rows to the handful of spellings first).
     """
-    n = names.select(order_col, strip(F.col(name_col)).alias("_clean"),
-                     derive_code(F.col(name_col), F.col(code_col) if code_col else None).alias("_code"))
+    keys = [name_col] + ([code_col] if code_col else [])
+    sp = names.groupBy(*keys).agg(F.min(order_col).alias("_first_raw"))
+    n = sp.select(*keys, "_first_raw", strip(F.col(name_col)).alias("_clean"),
+                  derive_code(F.col(name_col), F.col(code_col) if code_col else None).alias("_code"))
     ex = existing.select("id", F.lower(F.col("name")).alias("_ln"), F.lower(F.col("code")).alias("_lc"))
     by_code = ex.groupBy(F.col("_lc").alias("_k")).agg(F.min("id").alias("_id"))
     by_name = ex.groupBy(F.col("_ln").alias("_k")).agg(F.min("id").alias("_id"))
@@ -35,15 +40,27 @@ def resolve(names: DataFrame, existing: DataFrame, name_col: str = "name", code_
          .join(by_name.withColumnRenamed("_id", "_m3"), F.lower(n["_clean"]) == by_name["_k"], "left").drop("_k")
          .withColumn("_match", F.least("_m1", "_m2", "_m3")))
     fresh = m.where(F.col("_match").isNull())
-    groups = fresh.groupBy("_code").agg(F.min_by("_clean", order_col).alias("name"),
-                                        F.min(order_col).alias("_first"))
+    groups = fresh.groupBy("_code").agg(F.min_by("_clean", "_first_raw").alias("name"),
+                                        F.min("_first_raw").alias("_first"))
     base = existing.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    ranked = ordered_rank(groups, [F.col("_first"), F.col("_code")])
+    ranked = small_rank(groups, [F.col("_first"), F.col("_code")])  # dimension-sized
     new_dims = ranked.select((base + F.col("rank0") + 1).cast("long").alias("id"), "name",
                              F.col("_code").alias("code"))
-    out = (m.join(new_dims.select(F.col("id").alias("_new"), F.col("code").alias("_code")), "_code", "left")
-           .select(order_col, F.coalesce("_match", "_new").alias("dim_id"),
-                   F.col("_match").isNull().alias("created")))
+    per_spelling = (m.join(new_dims.select(F.col("id").alias("_new"), F.col("code").alias("_code")), "_code", "left")
+                    .select(*[F.col(k).alias(f"_s_{k}") for k in keys],
+                            F.coalesce("_match", "_new").alias("dim_id"), F.col("_match").isNull().alias("created")))
+    return per_spelling, new_dims
+
+
+def resolve(names: DataFrame, existing: DataFrame, name_col: str = "name", code_col: str | None = None,
+            order_col: str = "row_no") -> tuple[DataFrame, DataFrame]:
+    """J2 per input row: (``order_col``, ``dim_id``, ``created``) and the new dimension rows.
+
+    The small spelling -> id table of ``spelling_map`` is joined back to the rows."""
+    keys = [name_col] + ([code_col] if code_col else [])
+    per_spelling, new_dims = spelling_map(names, existing, name_col, code_col, order_col)
+    cond = [names[k].eqNullSafe(per_spelling[f"_s_{k}"]) for k in keys]
+    out = names.join(per_spelling, cond).select(order_col, "dim_id", "created")
     return out, new_dims
 
 
@@ -65,7 +82,7 @@ def upsert_bins(existing: DataFrame, incoming: DataFrame, order_col: str = "row_
               .withColumn("capacity", F.coalesce(F.col("_cap"), F.col("capacity")).cast("long")).drop("_cap"))
     new = matched.where(F.col("_eid").isNull())
     base = existing.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    ranked = ordered_rank(new, [F.col("_first"), F.col("_k")])
+    ranked = small_rank(new, [F.col("_first"), F.col("_k")])  # dimension-sized
     ins = ranked.select((base + F.col("rank0") + 1).cast("long").alias("id"), F.col("_name").alias("name"),
                         F.col("_cap").cast("long").alias("capacity"), F.col("_loc").alias("location"),
                         F.lit(True).alias("is_active"))

@@ -3,12 +3,11 @@
 Many files at once: input rows are (file, pos, header). Scores are computed set-based (every
 header against the fixed alias dictionary, exploded in place, exact match first, LCS only for
 pairs that can reach the threshold); the greedy choice -- headers in file order, each field used
-once -- is a fold over one file's headers (tens of rows) in ``applyInPandas`` grouped by file.
+once -- is a JVM-side fold (SQL ``aggregate``) over one file's headers (tens of rows).
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,31 +66,49 @@ def header_scores(headers: DataFrame, fields=FIELDS, threshold: float = THRESHOL
     return h.join(s, "norm").select("file", "pos", "header", "field_idx", "field", "exact", "best")
 
 
-MAP_SCHEMA = "file string, pos long, header string, field string, score double"
+def _choose(used, fields, threshold: float):
+    """The field one header takes, given the fields already used in its file (SQL fold).
 
+    Fields are visited in declared order, skipping used ones: an exact alias sets (field, 100)
+    -- a later exact field overrides an earlier one, as in the original loop -- and otherwise a
+    fuzzy score that beats the current best and reaches the threshold takes over.
+    """
+    init = F.struct(F.lit(None).cast("string").alias("k"), F.lit(0.0).alias("b"))
+
+    def step(st, f):
+        st1 = F.when(f["exact"], F.struct(f["field"].alias("k"), F.lit(100.0).alias("b"))).otherwise(st)
+        take = (st1["b"] < 100.0) & (f["best"] > st1["b"]) & (f["best"] >= threshold)
+        st2 = F.when(take, F.struct(f["field"].alias("k"), f["best"].alias("b"))).otherwise(st1)
+        return F.when(F.array_contains(used, f["field"]), st).otherwise(st2)
 
-def _fold(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    used: set = set()
-    out = []
-    for (pos, header), g in pdf.sort_values(["pos", "field_idx"]).groupby(["pos", "header"], sort=False):
-        best_key, best = None, 0.0
-        for r in g.itertuples(index=False):
-            if r.field in used:
-                continue
-            if r.exact:
-                best_key, best = r.field, 100.0
-            if best < 100.0 and r.best > best and r.best >= threshold:
-                best_key, best = r.field, float(r.best)
-        if best_key is not None:
-            used.add(best_key)
-            out.append((pdf["file"].iloc[0], int(pos), header, best_key, best))
-    return pd.DataFrame(out, columns=["file", "pos", "header", "field", "score"])
+    return F.aggregate(fields, init, step)
 
 
 def map_headers(headers: DataFrame, fields=FIELDS, threshold: float = THRESHOLD) -> DataFrame:
-    """J1 mapping: (file, pos, header, field, score) for every mapped header."""
+    """J1 mapping: (file, pos, header, field, score) for every mapped header.
+
+    The greedy walk over a file's headers in order is an SQL ``aggregate`` over that file's
+    sorted header array (state: fields used so far, mappings made), evaluated on the JVM.
+    A file's array holds its own headers only (tens), so no group grows with the data.
+    """
     sc = header_scores(headers, fields, threshold)
-    return sc.groupBy("file").applyInPandas(lambda p: _fold(p, threshold), MAP_SCHEMA)
+    per_header = (sc.groupBy("file", "pos", "header")
+                  .agg(F.array_sort(F.collect_list(F.struct("field_idx", "field", "exact", "best"))).alias("fs")))
+    per_file = (per_header.groupBy("file")
+                .agg(F.array_sort(F.collect_list(F.struct("pos", "header", "fs"))).alias("hs")))
+    out_t = "array<struct<pos:bigint,header:string,field:string,score:double>>"
+    init = F.struct(F.array().cast("array<string>").alias("used"), F.array().cast(out_t).alias("out"))
+
+    def walk(acc, h):
+        ch = _choose(acc["used"], h["fs"], threshold)
+        rec = F.struct(h["pos"].cast("long").alias("pos"), h["header"].alias("header"),
+                       ch["k"].alias("field"), ch["b"].cast("double").alias("score"))
+        return F.when(ch["k"].isNull(), acc).otherwise(
+            F.struct(F.array_append(acc["used"], ch["k"]).alias("used"),
+                     F.array_append(acc["out"], rec).alias("out")))
+
+    folded = per_file.select("file", F.aggregate("hs", init, walk)["out"].alias("out"))
+    return folded.select("file", F.inline("out"))
 
 
 def unmapped(headers: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seatwise.operators.util import local_frame
 from seatwise.session import ensure_checkpoint_dir
 
 LOCAL_OFFSETS_LIMIT = 50_000  # count tables up to this many rows are prefix-summed on the driver
@@ -110,7 +111,7 @@ def add_ranks(ranged: DataFrame, groups: dict[str, list[str]], lead: list[str] =
             if contiguous:
                 fields += [T.StructField("_start", T.LongType())]
             data = _local_offsets([tuple(r) for r in rows], len(cols), contiguous)
-            offs = F.broadcast(spark.createDataFrame(data, T.StructType(fields)))  # size checked above
+            offs = F.broadcast(local_frame(spark, data, T.StructType(fields)))  # size checked above
         else:
             w = Window.partitionBy(*cols).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
             offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
@@ -139,3 +140,33 @@ def ordered_rank(df: DataFrame, order: list, groups: dict[str, list[str]] | None
     ranged = range_sorted(df, [F.col(c) for c in lead] + list(order), num_partitions)
     out = add_ranks(ranged, groups, lead=lead)
     return out.drop(*[c for c in out.columns if c.startswith("_o")], "_p", "_i")
+
+
+SMALL_RANK_LIMIT = 10_000
+
+
+def _sort_key(vals):
+    return tuple((0,) if v is None else (1, v) for v in vals)  # ascending, nulls first
+
+
+def small_rank(df: DataFrame, order: list, limit: int = SMALL_RANK_LIMIT, name: str = "rank0") -> DataFrame:
+    """``ordered_rank`` for dimension-sized inputs (new department codes, new bins).
+
+    The order keys (unique, as everywhere) are collected with a row limit; within the limit the
+    ranks are computed on the driver and broadcast back by key (one job instead of three).
+    Beyond the limit it falls back to the distributed two-phase rank, so nothing unbounded ever
+    reaches the driver.
+    """
+    spark = df.sparkSession
+    keys = [f"_o{k}" for k in range(len(order))]
+    tagged = df.withColumns({k: _as_col(c) for k, c in zip(keys, order)})
+    rows = tagged.select(*keys).limit(limit + 1).collect()
+    if len(rows) > limit:
+        return ordered_rank(df, order, {name: []})
+    ranked = sorted((tuple(r) for r in rows), key=_sort_key)
+    schema = T.StructType([T.StructField(f"_k{k}", tagged.schema[c].dataType) for k, c in enumerate(keys)]
+                          + [T.StructField(name, T.LongType())])
+    local = F.broadcast(local_frame(spark, [r + (i,) for i, r in enumerate(ranked)], schema))
+    cond = [tagged[c].eqNullSafe(local[f"_k{k}"]) for k, c in enumerate(keys)]
+    out = tagged.join(local, cond)
+    return out.drop(*keys, *[f"_k{k}" for k in range(len(keys))])

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from seatwise.operators import apportion, kpi
 from seatwise.operators.rank import ordered_rank
-from seatwise.operators.util import blank_to_null
+from seatwise.operators.util import blank_to_null, local_frame
 
 
 class CapacityExceededError(Exception):
@@ -161,8 +161,8 @@ def balance_report(members: DataFrame, seats: DataFrame, bins: DataFrame) -> Dat
 def venue_list(spark, venues: list[tuple[str, int]] | None = None):
     """Venues configured inline, in list order; default one ``Auditorium`` of 500 seats."""
     venues = venues or [("Auditorium", 500)]
-    return spark.createDataFrame([(i, n, int(c)) for i, (n, c) in enumerate(venues)],
-                                 "ord long, name string, capacity long")
+    return local_frame(spark, [(i, n, int(c)) for i, (n, c) in enumerate(venues)],
+                       "ord long, name string, capacity long")
 
 
 def cohort_members(members: DataFrame, cohort: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from seatwise.functions import text as T
 from seatwise.operators import dims
-from seatwise.operators.rank import ordered_rank
+from seatwise.operators.rank import materialise, ordered_rank
 from seatwise.operators.util import strip
 
 FIELDS = ["usn", "student_id", "full_name", "department", "program", "gender", "student_number"]
@@ -131,7 +131,8 @@ def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def resolve_entities(matched: DataFrame) -> DataFrame:
-    """Per batch row: ``entity`` (stored id, or the first row_no of a new member) and ``is_new``."""
+    """The matched batch rows plus ``entity`` (stored id, or the first row_no of a new member)
+    and ``is_new``."""
     pairs = matched.select("ukey", "ikey").distinct()
     multi_u = pairs.groupBy("ukey").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("ukey")
     multi_i = pairs.groupBy("ikey").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("ikey")
@@ -153,12 +154,12 @@ def resolve_entities(matched: DataFrame) -> DataFrame:
     s = (simple.join(first, ["ukey", "ikey"])
          .withColumn("is_new", F.col("matched_id").isNull())
          .withColumn("entity", F.coalesce(F.col("matched_id"), F.col("_first")).cast("long"))
-         .select("row_no", "entity", "is_new"))
+         .drop("_first"))
     if complex_rows is None:
         return s
     folded = (complex_rows.select("comp", "row_no", "ukey", "ikey", "t_u", "t_i")
               .groupBy("comp").applyInPandas(_fold, FOLD_SCHEMA))
-    return s.unionByName(folded)
+    return s.unionByName(complex_rows.drop("comp", "_np").join(folded, "row_no"))
 
 
 def upsert(batch: DataFrame, target: DataFrame, dept: DataFrame, program: DataFrame, import_id: int,
@@ -166,14 +167,16 @@ def upsert(batch: DataFrame, target: DataFrame, dept: DataFrame, program: DataFr
     """Returns {"members": member table after the import, "new_dept", "new_program",
     "rows": per-row resolution, "ledger": one-row counts}."""
     now = F.lit(now) if now is not None else F.current_timestamp().cast("timestamp_ntz")
-    clean = clean_batch(batch, batch_tag)
-    d_rows, new_dept = dims.resolve(clean.select("row_no", F.col("department").alias("name")), dept)
-    p_rows, new_prog = dims.resolve(clean.select("row_no", F.col("program").alias("name")), program)
-    matched = match(clean, target)
-    ent = resolve_entities(matched)
-    rows = (clean.join(ent, "row_no")
-            .join(d_rows.select("row_no", F.col("dim_id").alias("department_id")), "row_no")
-            .join(p_rows.select("row_no", F.col("dim_id").alias("program_id")), "row_no"))
+    # cleaned once and written: every later branch reads columns, not the cleaning expressions
+    clean = materialise(clean_batch(batch, batch_tag), "upsert-clean")
+    dmap, new_dept = dims.spelling_map(clean.select("row_no", F.col("department").alias("name")), dept)
+    pmap, new_prog = dims.spelling_map(clean.select("row_no", F.col("program").alias("name")), program)
+    ent = resolve_entities(match(clean, target))
+    # spelling -> id maps hold one row per distinct spelling (AQE broadcasts them)
+    dmap = dmap.select(F.col("_s_name").alias("_dn"), F.col("dim_id").alias("department_id"))
+    pmap = pmap.select(F.col("_s_name").alias("_pn"), F.col("dim_id").alias("program_id"))
+    rows = (ent.join(dmap, ent["department"].eqNullSafe(dmap["_dn"]))
+            .join(pmap, ent["program"].eqNullSafe(pmap["_pn"])).drop("_dn", "_pn"))
     per = rows.groupBy("entity", "is_new").agg(
         F.max_by("usn", "row_no").alias("usn"), F.max_by("student_id", "row_no").alias("student_id"),
         F.max_by("full_name", "row_no").alias("full_name"),
@@ -181,7 +184,10 @@ def upsert(batch: DataFrame, target: DataFrame, dept: DataFrame, program: DataFr
         F.max_by("gender", "row_no").alias("gender"),
         F.min_by("program_id", "row_no").alias("program_id"),
         F.min_by("student_number", "row_no").alias("student_number"),
-        F.min("row_no").alias("_first"))
+        F.min("row_no").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    # one row per member touched; written once so the update and insert branches (and the
+    # insert numbering's sample + write) read it instead of re-running the whole resolution
+    per = materialise(per, "upsert-entities")
     over = ("usn", "student_id", "full_name", "department_id", "gender")
     upd = (per.where(~F.col("is_new"))
            .select(F.col("entity").alias("id"), *[F.col(c).alias(f"_n_{c}") for c in over])
@@ -213,8 +219,8 @@ def upsert(batch: DataFrame, target: DataFrame, dept: DataFrame, program: DataFr
             defaults[c] = now
     inserted = ins.select(*[defaults[c].alias(c) for c in target.columns])
     members = updated_members.unionByName(inserted)
-    ledger = ent.agg(F.count(F.lit(1)).alias("total_rows"),
-                     F.count_distinct(F.when(F.col("is_new"), F.col("entity"))).alias("new_records"))
+    ledger = per.agg(F.sum("_rows").cast("long").alias("total_rows"),
+                     F.count_if(F.col("is_new")).alias("new_records"))
     ledger = ledger.select("total_rows", "new_records",
                            (F.col("total_rows") - F.col("new_records")).alias("updated_records"),
                            F.lit(0).cast("long").alias("duplicate_records"))

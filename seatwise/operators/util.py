@@ -27,9 +27,16 @@ def all_of(preds: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, preds) if preds else F.lit(True)
 
 
+# The characters Python's str.strip() removes (str.isspace), in code-point order.
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+                 "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip(c: Column) -> Column:
-    """Python ``str.strip()``: remove all leading/trailing whitespace (Spark trim is spaces only)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Python ``str.strip()``: remove all leading/trailing whitespace (Spark trim is spaces only).
+
+    A character-set trim (no regex), so it stays cheap inside codegen."""
+    return F.btrim(c, F.lit(PY_WHITESPACE))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -40,3 +47,19 @@ def blank_to_null(c: Column) -> Column:
 def live(df: DataFrame) -> DataFrame:
     """Soft-delete predicate (D1): every read ignores deleted members."""
     return df.filter(~F.coalesce(F.col("is_deleted"), F.lit(False)))
+
+
+def local_frame(spark, rows: list[tuple], schema):
+    """A small driver-side table as a DataFrame that plans as ``LocalTableScan``.
+
+    Goes through pandas + Arrow, so no Python worker is needed to read it (a plain list would
+    become a Python-backed RDD). Callers only pass tables whose size they have bounded.
+    """
+    import pandas as pd
+    from pyspark.sql import types as T
+    if isinstance(schema, str):
+        schema = T._parse_datatype_string(schema)
+    if not rows:
+        return spark.createDataFrame([], schema)
+    pdf = pd.DataFrame.from_records(rows, columns=schema.names).astype(object)
+    return spark.createDataFrame(pdf, schema)
