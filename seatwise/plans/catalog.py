@@ -374,7 +374,7 @@ def q_strata_counts(spark, sf):
                     F.col("n_k").alias("n"))
 
 
-@query("apportion_bins", f"""
+APPORTION_SQL = f"""
     WITH sz AS (SELECT slot_id, count(*) AS n FROM ({SLOT_SPLIT_SQL}) x GROUP BY slot_id),
     b AS (SELECT id AS bin_id, capacity FROM bin WHERE is_active AND capacity > 0),
     c AS (SELECT sz.slot_id, sz.n, b.bin_id, b.capacity,
@@ -388,7 +388,10 @@ def q_strata_counts(spark, sf):
           FROM e)
     SELECT slot_id, bin_id, CAST(CASE WHEN total = 0 OR n = 0 THEN 0
                                       ELSE base + CASE WHEN r <= deficit THEN 1 ELSE 0 END END AS BIGINT) AS target
-    FROM f""")
+    FROM f"""
+
+
+@query("apportion_bins", APPORTION_SQL)
 def q_apportion_bins(spark, sf):
     m, b, s = _seat_inputs(spark, sf)
     rep = kpi.capacity_report(m, b, s)
@@ -1053,3 +1056,93 @@ def q_stream_kpi(spark, sf):
     stream_kpi.counts_stream(spark, f"{root}/log/*", schema, "bin_name", "Unassigned", f"{root}/sink",
                              f"{root}/ckpt")
     return spark.read.parquet(f"{root}/sink")
+
+
+# ------------------------------------------------- seating oracle: strata matrix as a SQL walk
+# Independent of the Spark side's per-slot pandas fold: a recursive walk over each slot's cells
+# in remainder order carrying the bin and stratum deficit lists, then a recursive residual sweep.
+
+SEAT_BASE_SQL = f"""
+    se AS ({SEAT_ELIG_SQL}),
+    st0 AS (SELECT se.*, row_number() OVER (ORDER BY coalesce(usn, ''), coalesce(full_name, ''), id) - 1 AS g,
+                 ntile((SELECT count(*) FROM slot)) OVER (ORDER BY coalesce(usn, ''), coalesce(full_name, ''), id) - 1
+                   AS slot_idx FROM se),
+    si AS (SELECT id AS slot_id, row_number() OVER (ORDER BY id) - 1 AS slot_idx FROM slot),
+    mm AS (SELECT st0.*, si.slot_id FROM st0 JOIN si USING (slot_idx)),
+    st AS (SELECT slot_id, dk, gk, count(*) AS nk, min(g) AS fp FROM mm GROUP BY 1, 2, 3),
+    st2 AS (SELECT *, row_number() OVER (PARTITION BY slot_id ORDER BY fp) AS k,
+                   sum(nk) OVER (PARTITION BY slot_id) AS ns FROM st),
+    tg2 AS (SELECT *, row_number() OVER (PARTITION BY slot_id ORDER BY bin_id) AS v FROM tgt),
+    c3 AS (SELECT *, row_number() OVER (PARTITION BY slot_id ORDER BY rem DESC, v, k) AS ord
+           FROM (SELECT b.slot_id, b.v, b.bin_id, b.target, s.k, s.dk, s.gk, s.nk,
+                        CAST(floor((b.target * s.nk) / s.ns) AS BIGINT) AS base,
+                        (b.target * s.nk) / s.ns - floor((b.target * s.nk) / s.ns) AS rem
+                 FROM tg2 b JOIN st2 s USING (slot_id)) x),
+    rd0 AS (SELECT slot_id, list(target - sb ORDER BY v) AS rd
+            FROM (SELECT slot_id, v, target, sum(base) AS sb FROM c3 GROUP BY 1, 2, 3) y GROUP BY 1),
+    cd0 AS (SELECT slot_id, list(nk - sb ORDER BY k) AS cd
+            FROM (SELECT slot_id, k, nk, sum(base) AS sb FROM c3 GROUP BY 1, 2, 3) y GROUP BY 1),
+    walk AS (
+        WITH RECURSIVE w(slot_id, step, rd, cd, took, v, k) AS (
+            SELECT r.slot_id, CAST(0 AS BIGINT), r.rd, c.cd, FALSE, CAST(0 AS BIGINT), CAST(0 AS BIGINT)
+            FROM rd0 r JOIN cd0 c USING (slot_id)
+            UNION ALL
+            SELECT w.slot_id, w.step + 1,
+                   CASE WHEN w.rd[x.v] > 0 AND w.cd[x.k] > 0
+                        THEN list_transform(w.rd, lambda a, i: CASE WHEN i = x.v THEN a - 1 ELSE a END) ELSE w.rd END,
+                   CASE WHEN w.rd[x.v] > 0 AND w.cd[x.k] > 0
+                        THEN list_transform(w.cd, lambda a, i: CASE WHEN i = x.k THEN a - 1 ELSE a END) ELSE w.cd END,
+                   w.rd[x.v] > 0 AND w.cd[x.k] > 0, x.v, x.k
+            FROM w JOIN c3 x ON x.slot_id = w.slot_id AND x.ord = w.step + 1)
+        SELECT * FROM w),
+    fin AS (SELECT w.slot_id, w.rd, w.cd FROM walk w
+            JOIN (SELECT slot_id, max(step) AS ms FROM walk GROUP BY 1) z ON z.slot_id = w.slot_id AND w.step = z.ms),
+    sweep AS (
+        WITH RECURSIVE sw(slot_id, n, rd, cd, v, k) AS (
+            SELECT slot_id, 0, rd, cd, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM fin
+            UNION ALL
+            SELECT slot_id, n + 1,
+                   list_transform(rd, lambda a, i: CASE WHEN i = vv THEN a - 1 ELSE a END),
+                   list_transform(cd, lambda a, i: CASE WHEN i = kk THEN a - 1 ELSE a END), vv, kk
+            FROM (SELECT *, list_position(list_transform(rd, lambda a: a > 0), true) AS vv,
+                            list_position(list_transform(cd, lambda a: a > 0), true) AS kk FROM sw) q
+            WHERE coalesce(vv, 0) > 0 AND coalesce(kk, 0) > 0)
+        SELECT * FROM sw WHERE n > 0),
+    mat AS (SELECT c.slot_id, c.v, c.k, c.bin_id, c.dk, c.gk,
+                   c.base + coalesce(t1.n, 0) + coalesce(t2.n, 0) AS n
+            FROM c3 c
+            LEFT JOIN (SELECT slot_id, v, k, count(*) AS n FROM walk WHERE took GROUP BY 1, 2, 3) t1
+              ON t1.slot_id = c.slot_id AND t1.v = c.v AND t1.k = c.k
+            LEFT JOIN (SELECT slot_id, v, k, count(*) AS n FROM sweep GROUP BY 1, 2, 3) t2
+              ON t2.slot_id = c.slot_id AND t2.v = c.v AND t2.k = c.k),
+    rng AS (SELECT *, sum(n) OVER (PARTITION BY slot_id, k ORDER BY v ROWS UNBOUNDED PRECEDING) AS hi FROM mat WHERE n > 0),
+    sq AS (SELECT mm.*, row_number() OVER (PARTITION BY slot_id, dk, gk ORDER BY g) - 1 AS seq FROM mm),
+    seats AS (SELECT sq.id, r.bin_id, sq.slot_id, sq.dk FROM sq JOIN rng r
+              ON r.slot_id = sq.slot_id AND r.dk = sq.dk AND r.gk = sq.gk AND sq.seq >= r.hi - r.n AND sq.seq < r.hi)"""
+
+
+def _seating_oracle(final_select: str) -> str:
+    """The apportion oracle as view ``tgt``, then the walk, then ``final_select``."""
+    app = APPORTION_SQL.strip()
+    assert app.startswith("WITH ")
+    app_views, _sep, app_select = app[5:].rpartition("\n    SELECT slot_id, bin_id, CAST(")
+    return with_views(f"""WITH {app_views},
+    tgt AS (SELECT slot_id, bin_id, CAST({app_select}),
+    {SEAT_BASE_SQL}
+    {final_select}""")
+
+
+ORACLE["strata_matrix"] = _seating_oracle(
+    "SELECT slot_id, bin_id, dk AS department_key, gk AS gender_key, n FROM mat WHERE n > 0")
+ORACLE["seat_slots"] = _seating_oracle("SELECT id, bin_id, slot_id FROM seats")
+ORACLE["balance_report"] = _seating_oracle("""
+    , cell AS (SELECT slot_id, bin_id, dk, count(*) AS n FROM seats GROUP BY 1, 2, 3)
+    SELECT c.slot_id, c.bin_id, c.dk AS department_key, c.n,
+           sum(c.n) OVER (PARTITION BY c.slot_id, c.bin_id) AS bin_n,
+           sum(c.n) OVER (PARTITION BY c.slot_id, c.dk) AS slot_dept_n,
+           sum(c.n) OVER (PARTITION BY c.slot_id) AS slot_n, b.capacity,
+           round(c.n / sum(c.n) OVER (PARTITION BY c.slot_id, c.bin_id), 6) AS share_in_bin,
+           round(sum(c.n) OVER (PARTITION BY c.slot_id, c.dk) / sum(c.n) OVER (PARTITION BY c.slot_id), 6)
+             AS share_in_slot,
+           sum(c.n) OVER (PARTITION BY c.slot_id, c.bin_id) > b.capacity AS over_capacity
+    FROM cell c LEFT JOIN bin b ON b.id = c.bin_id""")
