@@ -1146,3 +1146,19 @@ ORACLE["balance_report"] = _seating_oracle("""
              AS share_in_slot,
            sum(c.n) OVER (PARTITION BY c.slot_id, c.bin_id) > b.capacity AS over_capacity
     FROM cell c LEFT JOIN bin b ON b.id = c.bin_id""")
+
+
+SNAP_TABLES_SQL = """
+    SELECT 'bins' AS "table", count(*) AS rows FROM bin UNION ALL
+    SELECT 'dept', count(*) FROM dept UNION ALL
+    SELECT 'members', count(*) FROM member UNION ALL
+    SELECT 'slots', count(*) FROM slot"""
+ORACLE["snap_verify"] = with_views(f"""
+    SELECT "table", rows, rows AS rows_now, TRUE AS ok FROM ({SNAP_TABLES_SQL}) x""")
+ORACLE["snap_list"] = with_views(f"""
+    SELECT s.seq, x."table", x.rows, s.trigger, TRUE AS "exists"
+    FROM ({SNAP_TABLES_SQL}) x,
+         (SELECT CAST(1 AS BIGINT) AS seq, 'PRE_GROUP_ALLOCATION' AS trigger UNION ALL
+          SELECT CAST(2 AS BIGINT), 'PRE_VENUE_ALLOCATION') s""")
+ORACLE["src_fingerprint_dup"] = with_views("""
+    SELECT DISTINCT department, TRUE AS is_reimport FROM batch""")
