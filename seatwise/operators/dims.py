@@ -12,10 +12,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seatwise.functions.text import derive_code
 from seatwise.operators.rank import small_rank
-from seatwise.operators.util import strip
+from seatwise.operators.util import local_frame, strip
 
 
 def spelling_map(names: DataFrame, existing: DataFrame, name_col: str = "name", code_col: str | None = None,
@@ -39,10 +40,13 @@ def spelling_map(names: DataFrame, existing: DataFrame, name_col: str = "name",
          .join(by_code.withColumnRenamed("_id", "_m2"), F.lower(n["_clean"]) == by_code["_k"], "left").drop("_k")
          .join(by_name.withColumnRenamed("_id", "_m3"), F.lower(n["_clean"]) == by_name["_k"], "left").drop("_k")
          .withColumn("_match", F.least("_m1", "_m2", "_m3")))
+    base = existing.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    small = _small_spelling_map(m, keys, base)
+    if small is not None:
+        return small
     fresh = m.where(F.col("_match").isNull())
     groups = fresh.groupBy("_code").agg(F.min_by("_clean", "_first_raw").alias("name"),
                                         F.min("_first_raw").alias("_first"))
-    base = existing.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
     ranked = small_rank(groups, [F.col("_first"), F.col("_code")])  # dimension-sized
     new_dims = ranked.select((base + F.col("rank0") + 1).cast("long").alias("id"), "name",
                              F.col("_code").alias("code"))
@@ -52,6 +56,35 @@ def spelling_map(names: DataFrame, existing: DataFrame, name_col: str = "name",
     return per_spelling, new_dims
 
 
+SMALL_SPELLINGS = 10_000
+
+
+def _small_spelling_map(m: DataFrame, keys: list[str], base):
+    """When the distinct spellings are few (checked with a row-limited collect), finish the
+    rule on the driver -- new codes in first-seen order -- and return both results as local
+    broadcast tables, so later plans do not re-run the resolution. ``None`` beyond the limit."""
+    spark = m.sparkSession
+    rows = (m.select(*keys, "_clean", "_code", "_first_raw", "_match", base.alias("_base"))
+            .limit(SMALL_SPELLINGS + 1).collect())
+    if len(rows) > SMALL_SPELLINGS:
+        return None
+    start = int(rows[0]["_base"]) if rows else 0
+    first: dict = {}
+    for r in rows:
+        if r["_match"] is None:
+            f = first.get(r["_code"])
+            if f is None or r["_first_raw"] < f[0]:
+                first[r["_code"]] = (r["_first_raw"], r["_clean"])
+    order = sorted(first, key=lambda c: (first[c][0], c))
+    new_id = {c: start + i + 1 for i, c in enumerate(order)}
+    new_dims = local_frame(spark, [(new_id[c], first[c][1], c) for c in order], "id long, name string, code string")
+    fields = [T.StructField(f"_s_{k}", m.schema[k].dataType) for k in keys]
+    fields += [T.StructField("dim_id", T.LongType()), T.StructField("created", T.BooleanType())]
+    per = [tuple(r[k] for k in keys) + ((r["_match"] if r["_match"] is not None else new_id[r["_code"]]),
+                                        r["_match"] is None) for r in rows]
+    return F.broadcast(local_frame(spark, per, T.StructType(fields))), F.broadcast(new_dims)
+
+
 def resolve(names: DataFrame, existing: DataFrame, name_col: str = "name", code_col: str | None = None,
             order_col: str = "row_no") -> tuple[DataFrame, DataFrame]:
     """J2 per input row: (``order_col``, ``dim_id``, ``created``) and the new dimension rows.

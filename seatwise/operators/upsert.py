@@ -134,10 +134,10 @@ def resolve_entities(matched: DataFrame) -> DataFrame:
     """The matched batch rows plus ``entity`` (stored id, or the first row_no of a new member)
     and ``is_new``."""
     pairs = matched.select("ukey", "ikey").distinct()
-    multi_u = pairs.groupBy("ukey").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("ukey")
-    multi_i = pairs.groupBy("ikey").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("ikey")
-    linked = pairs.join(multi_u, "ukey", "left_semi").unionByName(pairs.join(multi_i, "ikey", "left_semi"))
-    if linked.limit(1).count() == 0:
+    # no key is shared by two pairs  <=>  #pairs = #distinct usn keys = #distinct id keys
+    c = pairs.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("ukey").alias("nu"),
+                  F.count_distinct("ikey").alias("ni")).first()
+    if c["n"] == c["nu"] == c["ni"]:
         simple = matched
         complex_rows = None
     else:
