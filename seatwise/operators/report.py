@@ -63,12 +63,10 @@ def event_pivot(members: DataFrame, facts: DataFrame, dept: DataFrame, bins: Dat
         sanitise(F.col("gender")).alias("gender"),
         sanitise(F.coalesce(F.col("_dname"), F.lit(""))).alias("department"),
         sanitise(F.coalesce(F.col("group_name"), F.lit(""))).alias("group_name"), *cells)
-    out = None
-    for title, only in sheets:
-        part = rows if only is None else rows.where(F.col("_g") == only)
-        part = part.withColumn("sheet", F.lit(title))
-        out = part if out is None else out.unionByName(part)
-    return out.drop("_g")
+    # every row lands on the master sheet and on its own cohort's sheet: one pass, exploded
+    opts = [F.when(F.lit(True) if only is None else (F.col("_g") == only), F.lit(title)) for title, only in sheets]
+    return (rows.withColumn("sheet", F.explode(F.filter(F.array(*opts), lambda x: x.isNotNull())))
+            .drop("_g"))
 
 
 def flat_roster(members: DataFrame, dept: DataFrame, program: DataFrame, bins: DataFrame,

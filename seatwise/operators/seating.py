@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from seatwise.operators import apportion, kpi
 from seatwise.operators.rank import ordered_rank
-from seatwise.operators.util import blank_to_null, local_frame
+from seatwise.operators.util import BROADCAST_ROW_LIMIT, blank_to_null, local_frame
 
 
 class CapacityExceededError(Exception):
@@ -102,10 +102,12 @@ def seat_slots(members: DataFrame, bins: DataFrame, slots: DataFrame,
         "n", F.when(F.col("slot_idx") < r, q + 1).otherwise(q).cast("long")).where(F.col("n") > 0)
     targets = slot_sizes.join(tg, "n").select("slot_id", "bin_id", "target")
     cells = apportion.strata_matrix(targets, strata)
-    return assign_ranges(split, strata, cells)
+    # (slot, stratum) rows: counted once so the table joined to member rows is broadcast
+    small = strata.count() <= BROADCAST_ROW_LIMIT
+    return assign_ranges(split, strata, cells, small_strata=small)
 
 
-def assign_ranges(split: DataFrame, strata: DataFrame, cells: DataFrame) -> DataFrame:
+def assign_ranges(split: DataFrame, strata: DataFrame, cells: DataFrame, small_strata: bool = False) -> DataFrame:
     """Member (slot, stratum, seq) -> the cell whose [lo, hi) holds seq.
 
     Bucket width per (slot, stratum) = ceil(n_k / cells of that stratum), so the exploded
@@ -116,7 +118,8 @@ def assign_ranges(split: DataFrame, strata: DataFrame, cells: DataFrame) -> Data
           .withColumn("_w", F.greatest(F.lit(1), F.ceil(F.col("n_k") / F.coalesce(F.col("_cells"), F.lit(1))))
                       .cast("long"))
           .select("slot_id", "dk", "gk", "before", "_w"))
-    m = (split.join(st, ["slot_id", "dk", "gk"])
+    # the per-(slot, stratum) table: broadcast when its size was checked, else AQE decides
+    m = (split.join(F.broadcast(st) if small_strata else st, ["slot_id", "dk", "gk"])
          .withColumn("_seq", F.col("rk") - F.col("before"))
          .withColumn("_b", F.floor(F.col("_seq") / F.col("_w")).cast("long")))
     q = (cells.join(st.select("slot_id", "dk", "gk", "_w"), ["slot_id", "dk", "gk"])
@@ -190,6 +193,10 @@ def seat_cohort(members: DataFrame, venues: DataFrame, cohort: str | None = None
     m = stratum_cols(cohort_members(members, grp))
     ranked = ordered_rank(m, [F.col("usn"), F.col("id")], {"seq": ["dk", "gk"]})
     strata = ranked.groupBy("dk", "gk").agg(F.count(F.lit(1)).alias("n_k"))
+    # strata = departments x genders; counting them bounds the per-stratum tables joined to the
+    # member rows below, which are then broadcast (a hot stratum never meets a shuffle join)
+    small = strata.count() <= BROADCAST_ROW_LIMIT
+    bc = F.broadcast if small else (lambda d: d)
     reach = strata.withColumn("ord", F.explode(F.sequence(F.lit(0).cast("long"),
                                                           (F.least(nv, F.col("n_k")) - 1).cast("long"))))
     sh = reach.join(v, "ord")
@@ -205,8 +212,8 @@ def seat_cohort(members: DataFrame, venues: DataFrame, cohort: str | None = None
     strata_t = strata.select(F.lit(0).cast("long").alias("slot_id"), "dk", "gk", "n_k",
                              F.lit(0).cast("long").alias("before"))
     split_ = ranked.withColumn("slot_id", F.lit(0).cast("long")).withColumnRenamed("seq", "rk")
-    split_ = split_.join(taken, ["dk", "gk"], "left").withColumn("_taken", F.coalesce("_taken", F.lit(0)))
-    in_range = assign_ranges(split_.where(F.col("rk") < F.col("_taken")), strata_t, cells) \
+    split_ = split_.join(bc(taken), ["dk", "gk"], "left").withColumn("_taken", F.coalesce("_taken", F.lit(0)))
+    in_range = assign_ranges(split_.where(F.col("rk") < F.col("_taken")), strata_t, cells, small_strata=small) \
         .select("id", F.col("bin_id").alias("ord"), "dk", "gk")
     leftover = (split_.where(F.col("rk") >= F.col("_taken"))
                 .select("id", F.pmod(F.col("rk") - F.col("_taken"), F.lit(nv)).cast("long").alias("ord"), "dk", "gk"))
