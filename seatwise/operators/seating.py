@@ -236,3 +236,11 @@ def replace_facts(prior: DataFrame, members: DataFrame, cohort: str, new: DataFr
     ids = cohort_members(members, cohort).select(F.col("id").alias("member_id"))
     keep = prior.join(ids, "member_id", "left_anti").select("member_id", "event_name", "bin_name", "group_name")
     return keep.unionByName(new.select("member_id", "event_name", "bin_name", "group_name"))
+
+
+def seat_result(members: DataFrame, seats: DataFrame, target_group: str | None = None) -> DataFrame:
+    """F12 for seating: members considered and newly seated (one row)."""
+    considered = kpi.eligible_for_seating(members, target_group).agg(F.count(F.lit(1))).scalar()
+    return seats.agg(F.count(F.lit(1)).alias("newly_allocated_bins")).select(
+        considered.alias("total_processed"), F.lit(0).cast("long").alias("newly_allocated_groups"),
+        "newly_allocated_bins", F.lit(0).cast("long").alias("skipped_existing"))

@@ -1162,3 +1162,12 @@ ORACLE["snap_list"] = with_views(f"""
           SELECT CAST(2 AS BIGINT), 'PRE_VENUE_ALLOCATION') s""")
 ORACLE["src_fingerprint_dup"] = with_views("""
     SELECT DISTINCT department, TRUE AS is_reimport FROM batch""")
+
+
+@query("seat_result", """
+    SELECT count(*) AS total_processed, CAST(0 AS BIGINT) AS newly_allocated_groups,
+           count(*) AS newly_allocated_bins, CAST(0 AS BIGINT) AS skipped_existing
+    FROM member WHERE NOT is_deleted AND status = 'Active' AND bin_id IS NULL""")
+def q_seat_result(spark, sf):
+    m, b, s = _seat_inputs(spark, sf)
+    return seating.seat_result(m, seating.seat_slots(m, b, s))
