@@ -1171,3 +1171,84 @@ ORACLE["src_fingerprint_dup"] = with_views("""
 def q_seat_result(spark, sf):
     m, b, s = _seat_inputs(spark, sf)
     return seating.seat_result(m, seating.seat_slots(m, b, s))
+
+
+# ------------------------------------------------------------------ header-mapping oracles
+def _alias_values() -> str:
+    rows = [f"({i}, '{f}', '{a}')" for i, (f, _l, _r, aliases) in enumerate(mapping.FIELDS) for a in aliases]
+    return "SELECT * FROM (VALUES " + ", ".join(rows) + ") v(field_idx, field, alias)"
+
+
+def _tsort(x: str) -> str:
+    return (f"array_to_string(list_sort(list_filter(string_split_regex({x}, '\\s+'), lambda w: w <> '')), ' ')")
+
+
+HEADER_SCORES_SQL = f"""
+    hdr AS (SELECT 'file_' || CAST(p_partkey // 6 AS VARCHAR) AS file, CAST(p_partkey % 6 AS BIGINT) AS pos,
+                   {_duck_strip('''CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN p_type || ' / ' || p_brand
+                        WHEN 2 THEN upper(p_name) ELSE p_name || ' No.' END''')} AS header
+            FROM part),
+    hn AS (SELECT *, regexp_replace(regexp_replace({_duck_strip('lower(header)')}, '[_\\-/:.]', ' ', 'g'),
+                                    '\\s+', ' ', 'g') AS norm FROM hdr WHERE header <> ''),
+    al AS ({_alias_values()}),
+    pr AS (SELECT d.norm, al.field_idx, al.field, al.alias, {_tsort('d.norm')} AS a, {_tsort('al.alias')} AS b
+           FROM (SELECT DISTINCT norm FROM hn) d, al),
+    pr2 AS (SELECT *, row_number() OVER () AS pid, d.norm = alias AS exact,
+                   CASE WHEN length(a) + length(b) = 0 THEN 100.0
+                        ELSE 200.0 * least(length(a), length(b)) / (length(a) + length(b)) END AS bound
+            FROM pr d),
+    need AS (SELECT pid, a, b FROM pr2 WHERE NOT exact AND bound >= 80 AND length(a) > 0 AND length(b) > 0),
+    lcs AS (
+        WITH RECURSIVE bp(pid, i, v) AS (
+            SELECT pid, 0, (CAST(1 AS BIGINT) << length(b)) - 1 FROM need
+            UNION ALL
+            SELECT bp.pid, bp.i + 1,
+                   ((bp.v + (bp.v & m.mask)) | (bp.v - (bp.v & m.mask))) & ((CAST(1 AS BIGINT) << length(n.b)) - 1)
+            FROM bp JOIN need n ON n.pid = bp.pid
+            JOIN (SELECT n2.pid, i2.i, CAST(list_sum(list_transform(range(0, length(n2.b)),
+                         lambda j: CASE WHEN substr(n2.b, j + 1, 1) = substr(n2.a, i2.i + 1, 1)
+                                        THEN CAST(1 AS BIGINT) << j ELSE CAST(0 AS BIGINT) END)) AS BIGINT) AS mask
+                  FROM need n2, (SELECT range AS i FROM range(0, 64)) i2 WHERE i2.i < length(n2.a)) m
+              ON m.pid = bp.pid AND m.i = bp.i
+            WHERE bp.i < length(n.a))
+        SELECT n.pid, length(n.b) - bit_count(bp.v) AS l FROM need n JOIN bp ON bp.pid = n.pid AND bp.i = length(n.a)),
+    sc AS (SELECT p.norm, p.field_idx, p.field, bool_or(p.exact) AS exact,
+                  max(CASE WHEN p.exact THEN 100.0
+                           WHEN p.bound >= 80 THEN CASE WHEN length(p.a) + length(p.b) = 0 THEN 100.0
+                                                        ELSE 200.0 * coalesce(l.l, 0) / (length(p.a) + length(p.b)) END
+                           ELSE 0.0 END) AS best
+           FROM pr2 p LEFT JOIN lcs l ON l.pid = p.pid GROUP BY 1, 2, 3),
+    hsc AS (SELECT h.file, h.pos, h.header, s.field_idx, s.field, s.exact, s.best FROM hn h JOIN sc s USING (norm))"""
+
+ORACLE["map_similarity"] = with_views(f"""WITH {HEADER_SCORES_SQL}
+    SELECT file, pos, header, field, best, exact FROM hsc""")
+
+MAP_WALK_SQL = f"""WITH {HEADER_SCORES_SQL},
+    hs AS (SELECT DISTINCT file, pos, header FROM hsc),
+    hs2 AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY pos) AS hp FROM hs),
+    walk AS (
+        WITH RECURSIVE w(file, step, used, field, pos, header, score) AS (
+            SELECT DISTINCT file, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST(NULL AS VARCHAR),
+                   CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS DOUBLE) FROM hs2
+            UNION ALL
+            SELECT w.file, w.step + 1,
+                   CASE WHEN c.field IS NULL THEN w.used ELSE list_append(w.used, c.field) END,
+                   c.field, h.pos, h.header, c.score
+            FROM w JOIN hs2 h ON h.file = w.file AND h.hp = w.step + 1
+            LEFT JOIN LATERAL (
+                SELECT coalesce(
+                         (SELECT max_by(s.field, s.field_idx) FROM hsc s WHERE s.file = h.file AND s.pos = h.pos
+                            AND s.exact AND NOT list_contains(w.used, s.field)),
+                         (SELECT s.field FROM hsc s WHERE s.file = h.file AND s.pos = h.pos AND s.best >= 80
+                            AND NOT list_contains(w.used, s.field) ORDER BY s.best DESC, s.field_idx LIMIT 1)) AS field,
+                       CASE WHEN (SELECT count(*) FROM hsc s WHERE s.file = h.file AND s.pos = h.pos AND s.exact
+                                    AND NOT list_contains(w.used, s.field)) > 0 THEN 100.0
+                            ELSE (SELECT max(s.best) FROM hsc s WHERE s.file = h.file AND s.pos = h.pos AND s.best >= 80
+                                    AND NOT list_contains(w.used, s.field)) END AS score) c ON TRUE)
+        SELECT * FROM w WHERE step > 0)"""
+
+ORACLE["map_headers"] = with_views(f"""{MAP_WALK_SQL}
+    SELECT file, pos, header, field, score FROM walk WHERE field IS NOT NULL""")
+ORACLE["map_unmapped"] = with_views(f"""{MAP_WALK_SQL}
+    SELECT h.file, h.pos, h.header FROM hdr h
+    WHERE NOT EXISTS (SELECT 1 FROM walk w WHERE w.file = h.file AND w.pos = h.pos AND w.field IS NOT NULL)""")
