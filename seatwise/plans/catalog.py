@@ -1138,9 +1138,9 @@ ORACLE["seat_slots"] = _seating_oracle("SELECT id, bin_id, slot_id FROM seats")
 ORACLE["balance_report"] = _seating_oracle("""
     , cell AS (SELECT slot_id, bin_id, dk, count(*) AS n FROM seats GROUP BY 1, 2, 3)
     SELECT c.slot_id, c.bin_id, c.dk AS department_key, c.n,
-           sum(c.n) OVER (PARTITION BY c.slot_id, c.bin_id) AS bin_n,
-           sum(c.n) OVER (PARTITION BY c.slot_id, c.dk) AS slot_dept_n,
-           sum(c.n) OVER (PARTITION BY c.slot_id) AS slot_n, b.capacity,
+           CAST(sum(c.n) OVER (PARTITION BY c.slot_id, c.bin_id) AS BIGINT) AS bin_n,
+           CAST(sum(c.n) OVER (PARTITION BY c.slot_id, c.dk) AS BIGINT) AS slot_dept_n,
+           CAST(sum(c.n) OVER (PARTITION BY c.slot_id) AS BIGINT) AS slot_n, b.capacity,
            round(c.n / sum(c.n) OVER (PARTITION BY c.slot_id, c.bin_id), 6) AS share_in_bin,
            round(sum(c.n) OVER (PARTITION BY c.slot_id, c.dk) / sum(c.n) OVER (PARTITION BY c.slot_id), 6)
              AS share_in_slot,
