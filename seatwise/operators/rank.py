@@ -53,7 +53,9 @@ def range_sorted(df: DataFrame, order: list, num_partitions: int | None = None)
     ``order`` items are column names or expressions; they are materialised as ``_o<k>``.
     """
     spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # at least as many ranges as the input has splits (maxPartitionBytes-sized), so a range
+    # partition's sort stays bounded however large the input grows
+    n = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
     keys = [f"_o{k}" for k in range(len(order))]
     tagged = df.withColumns({k: _as_col(c) for k, c in zip(keys, order)})
     ranged = (tagged.repartitionByRange(n, *keys)
