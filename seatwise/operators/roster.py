@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seatwise.operators.util import all_of, blank_to_null, live, strip
+from seatwise.operators.util import all_of, blank_to_null, live
 
 UNASSIGNED = "Unassigned"
 
@@ -87,7 +87,3 @@ def page(members: DataFrame, limit: int | None = 50, offset: int | None = 0,
     if limit is not None:
         ordered = ordered.limit(limit)
     return ordered, total
-
-
-def strip_col(c: str):
-    return strip(F.col(c))

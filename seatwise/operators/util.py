@@ -7,21 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Row bound under which a computed table (quota cells, offsets, segments) is shipped to
-# every task instead of being shuffled. The tables it guards grow with dimension sizes
-# (bins x strata x slots, partitions x groups), never with member rows.
+# Row bound under which a counted, dimension-sized table (strata, strata x slots) is broadcast
+# to the tasks holding member rows instead of meeting them in a shuffle join.
 BROADCAST_ROW_LIMIT = 2_000_000
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast ``df`` only after counting it; beyond ``limit`` it stays a shuffle side.
-
-    Use on derived tables whose size is bounded by dimensions, right before a join.
-    """
-    n = df.count()
-    return F.broadcast(df) if n <= limit else df
-
-
 def all_of(preds: list[Column]) -> Column:
     """AND of predicates; TRUE when the list is empty."""
     return reduce(lambda a, b: a & b, preds) if preds else F.lit(True)
