@@ -10,7 +10,11 @@ BAND_SECONDS = 120
 
 
 def _epoch_s(c):
-    return F.unix_micros(F.col(c).cast("timestamp")) / 1_000_000
+    """Whole seconds since 1970-01-01 of a timestamp_ntz, with no session time zone involved
+    (a zone-dependent cast could shift buckets across a daylight-saving change)."""
+    t = F.col(c)
+    days = F.datediff(t.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    return days * 86400 + F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t)
 
 
 def time_band_pairs(ledger: DataFrame, members: DataFrame, seconds: int = BAND_SECONDS) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from seatwise.functions import text as T
 from seatwise.operators import dims
 from seatwise.operators.rank import materialise, ordered_rank
-from seatwise.operators.util import strip
+from seatwise.operators.util import ntz_lit, strip
 
 def apply_mapping(raw: DataFrame, mapping: dict[str, str]) -> DataFrame:
     """Rename mapped headers; a missing department column comes from program, else 'General'."""
@@ -163,7 +163,7 @@ def upsert(batch: DataFrame, target: DataFrame, dept: DataFrame, program: DataFr
            now=None, batch_tag: str = "0") -> dict[str, DataFrame]:
     """Returns {"members": member table after the import, "new_dept", "new_program",
     "rows": per-row resolution, "ledger": one-row counts}."""
-    now = F.lit(now) if now is not None else F.current_timestamp().cast("timestamp_ntz")
+    now = ntz_lit(now) if now is not None else F.localtimestamp()
     # cleaned once and written: every later branch reads columns, not the cleaning expressions
     clean = materialise(clean_batch(batch, batch_tag), "upsert-clean")
     dmap, new_dept = dims.spelling_map(clean.select("row_no", F.col("department").alias("name")), dept)

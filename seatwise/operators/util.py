@@ -53,3 +53,9 @@ def local_frame(spark, rows: list[tuple], schema):
         return spark.createDataFrame([], schema)
     pdf = pd.DataFrame.from_records(rows, columns=schema.names).astype(object)
     return spark.createDataFrame(pdf, schema)
+
+
+def ntz_lit(value) -> Column:
+    """A naive ``datetime`` as a ``timestamp_ntz`` literal, independent of the session time zone
+    (``F.lit(datetime)`` would be read as a zoned timestamp and shift on the cast)."""
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")

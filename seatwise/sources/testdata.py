@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seatwise.operators.rank import ordered_rank
+from seatwise.operators.util import ntz_lit
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
@@ -53,7 +54,7 @@ def member(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 10 == 0, F.lit("Group A")).alias("group_name"),
         F.when(k % 7 == 3, k % 10 + 1).cast("long").alias("bin_id"),
         F.when(k % 7 == 3, k % 5 + 1).cast("long").alias("slot_id"),
-        (F.lit(EPOCH).cast("timestamp_ntz")
+        (ntz_lit(EPOCH)
          + F.make_dt_interval(secs=(k * MEMBER_CREATED_STEP_S).cast("decimal(18,6)"))).alias("created_at"),
         ((k % 50) == 7).alias("is_deleted"),
     )
