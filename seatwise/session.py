@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -81,3 +82,14 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     """Delete a scratch path that no later plan reads."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers this package, once per context: functions sent to them import it by name."""
+    sc = spark.sparkContext
+    if getattr(sc, "_seatwise_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="seatwise-zip-")  # read by the driver only, which serves it to the executors
+    sc.addPyFile(shutil.make_archive(f"{folder}/seatwise", "zip", os.path.dirname(root), os.path.basename(root)))
+    sc._seatwise_shipped = True
