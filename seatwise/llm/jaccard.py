@@ -10,12 +10,15 @@ every linked pair shares a signature. The spare partitions let sets leave out th
 partitions, which would be shared by all; a set with so many empty ones that the argument fails
 emits them too. Nothing is approximate but 64-bit hashing.
 
-Signatures are dealt by their hash and sorted in blocks; those held by one set only go. What
-remains is resolved in rounds: in each signature's group the sets are compared with a few pivots
-(the sets most of whose signatures are shared come first), links are contracted to components,
-and groups whose members all lie in one component are finished. The number of pivots grows each
-round until no unfinished group has an unchecked pair of different components, so no link between
-components can be missed, while a group of thousands of near copies costs one comparison a member.
+Signatures are dealt by their hash and sorted in blocks; those held by one set only go. In the
+group of each remaining signature the set most of whose signatures are shared is the lead, and
+each set is compared with its leads: near copies contract to components at one comparison a
+member. A linked pair shares a signature, so both lie in the family of one lead; within families
+that still hold several components the sets of different components are compared in block pairs.
+Comparisons run first on parity sketches: each set has a bitmap in which every element flips one
+bit, so the number of bits in which two bitmaps differ never exceeds the number of elements in
+which the sets differ, and a pair over the bound is ruled out for certain. The rest is decided on
+the sets themselves.
 """
 
 from __future__ import annotations
@@ -118,11 +121,26 @@ def signatures(elements: np.ndarray, begin: np.ndarray, bands: Bands) -> tuple[n
     return np.concatenate(sigs), np.concatenate(owners)
 
 
+def sketch_bytes(sizes: np.ndarray) -> np.ndarray:
+    """Bytes of the parity sketch of a set of each size: a power of two, at least 1.3 bits an element."""
+    return 1 << np.maximum(3, np.ceil(np.log2(np.maximum(1, sizes) * 1.3 / 8)).astype(np.int64))
+
+
+def sketches(elements: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity sketches of all sets in one byte array, and where each begins."""
+    sizes = np.diff(begin)
+    length = sketch_bytes(sizes)
+    at = np.concatenate([[0], np.cumsum(length)])
+    bit = (W.mix(elements, 51) % np.repeat(length * 8, sizes).astype(np.uint64)).astype(np.int64) + np.repeat(at[:-1] * 8, sizes)
+    return np.packbits((np.bincount(bit, minlength=at[-1] * 8) & 1).astype(np.uint8), bitorder="little"), at
+
+
 _DEALT = "bucket int, ids binary, sids binary, sizes binary, counts binary, sigs binary"
+_SIG = 5  # bytes kept of a signature besides its bucket; more collisions would only mean more comparisons
 
 
 def _deal(width: int, percent: int, buckets: int):
-    """Arrow batches of (doc_id, text) -> blobs by bucket; bucket -1 - b carries documents."""
+    """Arrow batches of (doc_id, text) -> blobs by bucket; a bucket below 0 carries documents."""
     def run(batches):
         bands = Bands(percent)
         for batch in batches:
@@ -130,31 +148,25 @@ def _deal(width: int, percent: int, buckets: int):
             for lo, hi, data, offsets in W.blocks(batch.column(1)):
                 elements, begin = shingle_sets(data, offsets, width)
                 sizes = np.diff(begin)
-                owner = np.repeat(np.arange(hi - lo), sizes)
-                sid = np.zeros(hi - lo, np.uint64)
-                np.add.at(sid, owner, W.mix(elements, 41))
-                sid = W.mix(sid + sizes.astype(np.uint64), 42).view(np.int64)
+                sid = set_ids(elements, begin)
+                flips, _ = sketches(elements, begin)
+                rows = [(-1 - int(ids[lo]) % buckets, ids[lo:hi].tobytes(), sid.tobytes(), sizes.astype(np.int32).tobytes(), b"", flips.tobytes())]
                 _, lead = np.unique(sid, return_index=True)  # copies inside the block go once
-                rows = [(-1 - (lo + int(ids[lo])) % buckets, ids[lo:hi], sid, sizes, [], [])]
-                pick = np.zeros(hi - lo, bool)
-                pick[lead] = True
-                chosen = np.flatnonzero(pick & (sizes > 0))
+                chosen = np.sort(lead)
+                chosen = chosen[sizes[chosen] > 0]
                 part = np.concatenate([elements[begin[d]:begin[d + 1]] for d in chosen]) if len(chosen) else elements[:0]
                 sig, own = signatures(part, np.concatenate([[0], np.cumsum(sizes[chosen])]).astype(np.int64), bands)
                 own = chosen[own] if len(own) else own
                 bucket = (sig >> np.uint64(40)) % np.uint64(buckets)
                 order = np.lexsort((own, bucket))
                 sig, own, bucket = sig[order], own[order], bucket[order]
+                short = np.ascontiguousarray(sig.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_SIG])
                 cut = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-                for b in range(buckets):
-                    s = slice(cut[b], cut[b + 1])
-                    if cut[b] < cut[b + 1]:
-                        sets, counts = np.unique(own[s], return_counts=True)
-                        rows.append((b, [], sid[sets], sizes[sets], counts, sig[s]))
-                kinds = (np.int64, np.int64, np.int32, np.int32, np.uint64)
+                for b in np.flatnonzero(np.diff(cut)).tolist():
+                    sets, counts = np.unique(own[cut[b]:cut[b + 1]], return_counts=True)
+                    rows.append((b, b"", sid[sets].tobytes(), sizes[sets].astype(np.int32).tobytes(), counts.astype(np.int32).tobytes(), short[cut[b]:cut[b + 1]].tobytes()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int32())]
-                    + [pa.array([np.asarray(r[c + 1]).astype(kinds[c]).tobytes() for r in rows], pa.binary()) for c in range(5)],
+                    [pa.array([r[0] for r in rows], pa.int32())] + [pa.array([r[c] for r in rows], pa.binary()) for c in range(1, 6)],
                     ["bucket", "ids", "sids", "sizes", "counts", "sigs"])
     return run
 
@@ -200,125 +212,256 @@ class _Shared:
         self.parts, self.count = [(sig[~many], sid[~many], size[~many])], int((~many).sum())
 
 
-_GATHERED = "kind string, doc_id long, sig long, sid long, size int"
+_GATHERED = "kind string, doc_id long, sig long, sid long, size int, sketch binary"
+
+
+def _binary(data: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
 
 
 def _gather(batches):
     """Blobs sorted by bucket -> documents (kind d) and entries of shared signatures (kind g)."""
-    def out(kind, doc, sig, sid, size):
-        n = len(sid)
-        none = lambda x: pa.nulls(n, pa.int64()) if x is None else pa.array(x.view(np.int64))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([kind] * n, pa.string()), none(doc), none(sig), pa.array(sid), pa.array(size)],
-            ["kind", "doc_id", "sig", "sid", "size"])
+    def shared(found):
+        for sig, sid, size in found:
+            n = len(sid)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(["g"] * n, pa.string()), pa.nulls(n, pa.int64()), pa.array(sig.view(np.int64)), pa.array(sid), pa.array(size), pa.nulls(n, pa.binary())],
+                ["kind", "doc_id", "sig", "sid", "size", "sketch"])
 
     at, state = None, _Shared()
     for batch in batches:
         for bucket, ids, sids, sizes, counts, sigs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             sid, size = np.frombuffer(sids, np.int64), np.frombuffer(sizes, np.int32)
+            n = len(sid)
             if bucket < 0:
-                yield out("d", np.frombuffer(ids, np.int64), None, sid, size)
+                where = np.concatenate([[0], np.cumsum(sketch_bytes(size))])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(["d"] * n, pa.string()), pa.array(np.frombuffer(ids, np.int64)), pa.nulls(n, pa.int64()), pa.array(sid), pa.array(size),
+                     _binary(np.frombuffer(sigs, np.uint8), where)], ["kind", "doc_id", "sig", "sid", "size", "sketch"])
                 continue
             if bucket != at:
-                for x in state.settle():
-                    yield out("g", None, *x)
+                yield from shared(state.settle())
                 at, state = bucket, _Shared()
             times = np.frombuffer(counts, np.int32)
-            for x in state.add(np.frombuffer(sigs, np.uint64), np.repeat(sid, times), np.repeat(size, times)):
-                yield out("g", None, *x)
-    for x in state.settle():
-        yield out("g", None, *x)
+            wide = np.zeros((int(times.sum()), 8), np.uint8)
+            wide[:, :_SIG] = np.frombuffer(sigs, np.uint8).reshape(-1, _SIG)
+            sig = wide.view("<u8").ravel() | np.uint64(bucket << 8 * _SIG)
+            yield from shared(state.add(sig, np.repeat(sid, times), np.repeat(size, times)))
+    yield from shared(state.settle())
+
+
+def set_ids(elements: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each whole set."""
+    sizes = np.diff(begin)
+    total = np.zeros(len(sizes), np.uint64)
+    np.add.at(total, np.repeat(np.arange(len(sizes)), sizes), W.mix(elements, 41))
+    return W.mix(total + sizes.astype(np.uint64), 42).view(np.int64)
 
 
 def _sets(width: int):
+    """(sid, text) -> (sid, sorted shingle hashes), for texts that have that set (an id may stand for several texts)."""
     def run(batches):
         for batch in batches:
+            wanted = batch.column(0).to_numpy()
             for lo, hi, data, offsets in W.blocks(batch.column(1)):
                 elements, begin = shingle_sets(data, offsets, width)
+                own = np.flatnonzero(set_ids(elements, begin) == wanted[lo:hi])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo),
-                     pa.array([elements[begin[d]:begin[d + 1]].tobytes() for d in range(hi - lo)], pa.binary())], ["sid", "elements"])
+                    [pa.array(wanted[lo:hi][own]), pa.array([elements[begin[d]:begin[d + 1]].tobytes() for d in own], pa.binary())], ["sid", "elements"])
     return run
 
 
+def _fold(sketch: bytes, length: int) -> np.ndarray:
+    x = np.frombuffer(sketch, np.uint8)
+    while len(x) > length:
+        x = x[:len(x) // 2] ^ x[len(x) // 2:]
+    return x
+
+
+def _bound(p, q, percent: int):
+    """Most elements in which linked sets of these sizes can differ."""
+    return (100 - percent) * (p + q) // (100 + percent)
+
+
+def _may_link(percent: int):
+    """Rows (a, b, a_size, b_size, a_sketch, b_sketch) -> (a, b) that the sketches don't rule out."""
+    def run(batches):
+        for batch in batches:
+            a_size, b_size = (batch.column(k).to_numpy() for k in (2, 3))
+            most = _bound(a_size.astype(np.int64), b_size, percent)
+            keep = [int(np.bitwise_count(_fold(x, n) ^ _fold(y, n)).sum()) <= m
+                    for x, y, m in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), most.tolist(), strict=True) for n in (min(len(x), len(y)),)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    return run
+
+
+def linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union, for sorted distinct hashes."""
+    if len(p) > len(q):
+        p, q = q, p
+    both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+    return 100 * both >= percent * (len(p) + len(q) - both)
+
+
 def _verify(percent: int):
+    """Rows (a, b, elements of a, elements of b) -> the linked (a, b)."""
     def run(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(p) > len(q):
-                    p, q = q, p
-                both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep, pa.bool_())], ["a", "b", "link"])
+            keep = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent)
+                    for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
     return run
 
 
-def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
+def _by_key(batches, keys: int):
+    """Columns after the first ``keys`` of each run of equal keys, over batch borders."""
+    key, parts = None, []
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        ks = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        cuts = [0, *(np.flatnonzero(functools.reduce(np.logical_or, [k[1:] != k[:-1] for k in ks])) + 1).tolist(), n]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            now = tuple(int(k[lo]) for k in ks)
+            if now != key and parts:
+                yield key, pa.Table.from_batches(parts)
+                parts = []
+            key = now
+            parts.append(batch.slice(lo, hi - lo))
+    if parts:
+        yield key, pa.Table.from_batches(parts)
+
+
+_BLOCK_KEY = "lead long, i int, j int"
+
+
+def _open_blocks(percent: int):
+    """Rows (lead, i, j, block, sid, size, label, sketch) sorted by block pair -> members with a partner of another label that sketches don't rule out."""
+    def run(batches):
+        for (lead, i, j), t in _by_key(batches, 3):
+            block, sid, size, label = (t.column(k).to_numpy().astype(np.int64) for k in (3, 4, 5, 6))
+            raw = t.column(7).to_pylist()
+            length = min(map(len, raw))
+            sk = np.stack([_fold(x, length) for x in raw]).view(np.uint64)
+            left = np.flatnonzero(block == i)
+            right = left if i == j else np.flatnonzero(block == j)
+            mark = np.zeros(len(sid), bool)
+            for x in left.tolist():
+                other = right[label[right] != label[x]]
+                if len(other):
+                    apart = np.bitwise_count(sk[other] ^ sk[x]).sum(1, dtype=np.int64)
+                    hit = other[apart <= _bound(size[x], size[other], percent)]
+                    mark[hit] = True
+                    mark[x] |= bool(len(hit))
+            if mark.any():
+                n = int(mark.sum())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lead] * n, pa.int64()), pa.array([i] * n, pa.int32()), pa.array([j] * n, pa.int32()), pa.array(block[mark].astype(np.int32)),
+                     pa.array(sid[mark]), pa.array(label[mark])], ["lead", "i", "j", "block", "sid", "label"])
+    return run
+
+
+def _close_blocks(percent: int):
+    """Rows (lead, i, j, block, sid, label, elements) sorted by block pair -> links between components, enough to connect all that the block pair connects."""
+    def run(batches):
+        for (_, i, j), t in _by_key(batches, 3):
+            block, sid, label = (t.column(k).to_numpy().astype(np.int64) for k in (3, 4, 5))
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for c in t.column(6).chunks for x in c]
+            parent = {x: x for x in label.tolist()}
+
+            def root(x, parent=parent):
+                while parent[x] != x:
+                    parent[x] = x = parent[parent[x]]
+                return x
+
+            a, b = [], []
+            right = np.flatnonzero(block == j).tolist()
+            for x in np.flatnonzero(block == i).tolist():
+                for y in right:
+                    if (r := root(int(label[x]))) != (s := root(int(label[y]))) and linked(sets[x], sets[y], percent):
+                        parent[r] = s
+                        a.append(int(sid[x]))
+                        b.append(int(sid[y]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    return run
+
+
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85,
+                   block: int = 2048) -> DataFrame:
     """(doc_id, n_shingles, component_id): components of documents linked by word-shingle Jaccard.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased. Null and empty texts, and
     texts of white space, have n_shingles 0 and are alone in their component; texts with fewer than
     ``width`` words have their whole sequence as one shingle; equal sets are linked; other columns
-    are ignored whatever their names; rows with a null id are left out; repeated ids with equal
-    text count as one document each. An empty table gives an empty result.
+    are ignored whatever their names; rows with a null id are left out; a repeated id gives a row
+    each time. An empty table gives an empty result. ``block`` bounds the sets compared in one task.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    scratch = []
+
+    def keep(df, name):
+        out, p = materialise(df, f"jaccard-{name}")
+        scratch.append(p)
+        return out
+
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.mapInArrow(_deal(width, percent, buckets), _DEALT)
     path = scratch_path(spark, "jaccard")
-    (dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_gather, _GATHERED)
-     .write.partitionBy("kind").parquet(path))
+    scratch.append(path)
+    (rows.mapInArrow(_deal(width, percent, buckets), _DEALT).repartition("bucket").sortWithinPartitions("bucket")
+     .mapInArrow(_gather, _GATHERED).write.partitionBy("kind").parquet(path))
     found = spark.read.schema(_GATHERED).parquet(path)
-    members = found.where("kind = 'd'").select("doc_id", "sid", "size")
+    members = found.where("kind = 'd'")
     entries = found.where("kind = 'g'").select("sig", "sid", "size")
 
-    # sets that share any signature: how many they share puts the hubs of near copies first
+    # each signature's lead: the set that shares most signatures, which is the hub of near copies
     degree = entries.groupBy("sid").agg(F.count("*").alias("degree"))
-    groups, groups_path = materialise(entries.join(degree, "sid"), "jaccard-groups")
-    wanted = members.join(degree.select("sid"), "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    sets, sets_path = materialise(rows.join(wanted, "doc_id").select("sid", "text").mapInArrow(_sets(width), "sid long, elements binary"), "jaccard-sets")
-
-    links = checked = labels = None
-    scratch = [groups_path, sets_path]
-    pivots = 1
-    while True:
-        open_ = groups if labels is None else (groups.join(labels, groups["sid"] == labels["node"], "left")
-                                               .select("sig", "sid", "size", "degree", F.coalesce("component", "sid").alias("label")))
-        if labels is None:
-            open_ = open_.withColumn("label", F.col("sid"))
-        else:
-            mixed = open_.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("members")).where("x <> y")
-            open_, p = materialise(open_.join(mixed.select("sig", "members"), "sig"), "jaccard-open")
-            scratch.append(p)
-            largest = open_.agg(F.max("members")).first()[0]
-            if largest is None:
-                break
-        ranked = open_.withColumn("rank", F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("degree"), "sid")))
-        lead = ranked.where(F.col("rank") <= pivots).select("sig", F.col("sid").alias("p"), F.col("size").alias("p_size"), F.col("label").alias("p_label"))
-        pairs = (open_.join(lead, "sig").where((F.col("sid") != F.col("p")) & (F.col("label") != F.col("p_label"))
-                                               & (F.least("size", "p_size") * 100 >= F.greatest("size", "p_size") * percent))
-                 .select(F.least("sid", "p").alias("a"), F.greatest("sid", "p").alias("b")).distinct())
-        if checked is not None:
-            pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        x, y = sets.select(F.col("sid").alias("a"), F.col("elements").alias("x")), sets.select(F.col("sid").alias("b"), F.col("elements").alias("y"))
-        tested, p = materialise(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long, link boolean"), "jaccard-tested")
-        scratch.append(p)
-        checked = tested if checked is None else checked.unionByName(tested)
-        done = labels is not None and pivots >= largest
-        links = checked.where("link").select("a", "b")
-        labels, p = materialise(connected_components(links), "jaccard-labels")
-        scratch.append(p)
-        if done:
-            break
-        pivots *= 8
+    ranked = entries.join(degree, "sid").select(
+        "sid", F.max(F.struct("degree", (-F.col("sid")).alias("x"))).over(Window.partitionBy("sig")).alias("top"))
+    family = keep(ranked.select((-F.col("top.x")).alias("lead"), "sid").distinct(), "family")
+    about = keep(members.join(degree.select("sid"), "sid", "left_semi")
+                 .groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("sketch").alias("sketch")), "about")
+
+    def side(c):
+        return about.select(F.col("sid").alias(c), F.col("size").alias(f"{c}_size"), F.col("sketch").alias(f"{c}_sketch"))
+
+    near = keep(family.where("lead <> sid").select(F.greatest("lead", "sid").alias("a"), F.least("lead", "sid").alias("b")).distinct()
+                .join(side("a"), "a").join(side("b"), "b")
+                .select("a", "b", "a_size", "b_size", "a_sketch", "b_sketch").mapInArrow(_may_link(percent), "a long, b long"), "near")
+
+    def sets_of(wanted):
+        ids = about.join(wanted.distinct(), "sid", "left_semi").select("sid", "doc_id")
+        return rows.join(ids, "doc_id").select("sid", "text").mapInArrow(_sets(width), "sid long, elements binary")
+
+    sets = keep(sets_of(near.select(F.col("a").alias("sid")).unionByName(near.select(F.col("b").alias("sid")))), "sets")
+    x, y = (sets.select(F.col("sid").alias(c), F.col("elements").alias(f"{c}_set")) for c in "ab")
+    links = keep(near.join(x, "a").join(y, "b").select("a", "b", "a_set", "b_set").mapInArrow(_verify(percent), "a long, b long"), "links")
+    first = keep(connected_components(links), "labels")
+
+    # families that still hold members, besides the lead, of several components
+    labelled = (family.join(first, family["sid"] == first["node"], "left")
+                .select("lead", "sid", F.coalesce("component", "sid").alias("label")))
+    mixed = (labelled.where("lead <> sid").groupBy("lead")
+             .agg(F.min("label").alias("x"), F.max("label").alias("y"), F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+             .where("x <> y").select("lead", "blocks"))
+    own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
+    spread = (labelled.where("lead <> sid").join(mixed, "lead").join(about.select("sid", "size", "sketch"), "sid")
+              .withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+              .select("lead", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sid", "size", "label", "sketch"))
+    open_ = keep(spread.repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j")
+                 .mapInArrow(_open_blocks(percent), f"{_BLOCK_KEY}, block int, sid long, label long"), "open")
+    more = keep(sets_of(open_.select("sid")), "more-sets")
+    late = keep(open_.join(more, "sid").select("lead", "i", "j", "block", "sid", "label", "elements")
+                .repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j")
+                .mapInArrow(_close_blocks(percent), "a long, b long"), "late")
+    labels = keep(connected_components(links.unionByName(late)), "final")
 
     joined = members.join(labels, members["sid"] == labels["node"], "left").select(
         "doc_id", F.when(F.col("size") > 0, F.coalesce("component", "sid")).alias("c"), F.col("size").cast("long").alias("n_shingles"))
     least = joined.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"))
     result, _ = materialise(joined.join(least, "c", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id")), "jaccard-result")
-    for p in [*scratch, path]:
+    for p in scratch:
         drop_scratch(spark, p)
     return result
