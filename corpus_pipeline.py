@@ -1,6 +1,79 @@
-"""placeholder"""
-ORACLE_SQL = None
+"""Corpus pipeline: toxicity, language, exact copies, near copies, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows of ``docs``; all but the last return
+the columns of documents. ``run`` writes each stage's rows as parquet in the shared folder and
+rereads them for the next. Rows with a null doc_id can't be named by a decision about copies and
+stay; of a repeated doc_id all rows stay if one of them is kept. Empty tables stay empty.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from seatwise.llm import exact, langid, packing, toxicity
+from seatwise.llm.jaccard import jaccard_groups
+from seatwise.session import drop_scratch, materialise
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+BROADCAST_IDS = 2_000_000
+
+
+def _keep(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """``docs`` without the ids none of whose rows in (doc_id, kept) is kept."""
+    gone, _ = materialise(decided.groupBy("doc_id").agg(F.max("kept").alias("kept")).where(~F.col("kept")).select("doc_id"), "dropped")
+    if gone.count() <= BROADCAST_IDS:  # one long each; beyond that a shuffle join
+        gone = F.broadcast(gone)
+    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones, doesn't call toxic."""
+    net = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, net, COLUMNS).where("predicted = 0").select(*COLUMNS)
+
 
+def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language; a null ``lang`` is filled in."""
+    named = langid.identify(docs, langid.train(docs), COLUMNS).where("lang_pred <> 'und'")
+    return named.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text."""
+    return _keep(docs, exact.dedup_append(docs, exact.fresh_index(spark)).select("doc_id", "kept"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by shingles: five words, similarity of 0.8."""
+    groups = jaccard_groups(docs, width=5, percent=80)
+    return _keep(docs, groups.select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("kept")))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 1024 tokens."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic), ("language", drop_unknown_language), ("exact copies", drop_exact_copies),
+    ("near copies", drop_near_copies), ("packing", pack)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; the packed pieces."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES:
+        docs, path = materialise(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        if last:
+            drop_scratch(spark, last)
+        last = path
+    return docs
+
+
+#: Training, tokenising and packing have no SQL form.
+ORACLE_SQL = None
