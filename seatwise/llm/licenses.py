@@ -27,7 +27,8 @@ NOTICES = (
 
 
 def notices(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k + 1, name, text) for k, (name, text) in enumerate(NOTICES)], "template_id long, license string, text string")
+    rows = [F.struct(F.lit(k + 1).cast("long").alias("template_id"), F.lit(name).alias("license"), F.lit(text).alias("text")) for k, (name, text) in enumerate(NOTICES)]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def _placed(df: DataFrame, key: str, width: int) -> DataFrame:
