@@ -389,14 +389,15 @@ def _close_blocks(percent: int):
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85,
-                   block: int = 2048) -> DataFrame:
+                   block: int = 2048, broadcast_ids: int = 2_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id): components of documents linked by word-shingle Jaccard.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased. Null and empty texts, and
     texts of white space, have n_shingles 0 and are alone in their component; texts with fewer than
     ``width`` words have their whole sequence as one shingle; equal sets are linked; other columns
     are ignored whatever their names; rows with a null id are left out; a repeated id gives a row
-    each time. An empty table gives an empty result. ``block`` bounds the sets compared in one task.
+    each time. An empty table gives an empty result. ``block`` bounds the sets compared in one task; the ids of sets to read again are broadcast up to
+    ``broadcast_ids`` rows of two longs, counted first, and joined by a shuffle beyond that.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
@@ -432,7 +433,9 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 .select("a", "b", "a_size", "b_size", "a_sketch", "b_sketch").mapInArrow(_may_link(percent), "a long, b long"), "near")
 
     def sets_of(wanted):
-        ids = about.join(wanted.distinct(), "sid", "left_semi").select("sid", "doc_id")
+        ids = keep(about.join(wanted.distinct(), "sid", "left_semi").select("sid", "doc_id"), "wanted")
+        if ids.count() <= broadcast_ids:  # else the texts move to the ids
+            ids = F.broadcast(ids)
         return rows.join(ids, "doc_id").select("sid", "text").mapInArrow(_sets(width), "sid long, elements binary")
 
     sets = keep(sets_of(near.select(F.col("a").alias("sid")).unionByName(near.select(F.col("b").alias("sid")))), "sets")
