@@ -188,13 +188,15 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
 
     Archives of no records give an empty file and index; a repeated path is normalised twice.
     """
-    spread = archives.select("path").where("path is not null").repartition(F.col("path"))
+    # a stated number of partitions, which Spark doesn't coalesce: the rows are tiny, their files are not
+    paths = archives.select("path").where("path is not null")
+    spread = paths.repartition(max(1, paths.count()), "path")
     return materialise(spread.mapInArrow(_normalise(folder), "path string, n_records long"), "warc-normalised")[0]
 
 
 def read_archives(normalised: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record, read through the index."""
-    return normalised.select("path").repartition(F.col("path")).mapInArrow(
+    return normalised.select("path").repartition(max(1, normalised.count()), "path").mapInArrow(
         _read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
