@@ -30,8 +30,8 @@ PREFIXES = (None, 4, 5, 6)
 class Sample:
     """Bounds of the training sample: texts of each label, and characters of a text in it."""
 
-    per_label: int = 4000
-    max_chars: int = 20_000
+    per_label: int = 2500
+    max_chars: int = 10_000
 
 
 @dataclasses.dataclass(frozen=True)
