@@ -16,6 +16,9 @@ GENDER_MALE = ["m", "male", "boy", "man"]
 GENDER_FEMALE = ["f", "female", "girl", "woman"]
 GENDER_OTHER = ["o", "other"]
 MISSING_TOKENS = ["nan", "none", "null"]
+# Cells that a roster reader takes as missing besides empty ones (case matters).
+READER_MISSING = ["#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
+                  "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 
 def normalise_header(c: Column) -> Column:
@@ -25,6 +28,12 @@ def normalise_header(c: Column) -> Column:
     return F.regexp_replace(t, r"\s+", " ")
 
 
+def cell(c: Column) -> Column:
+    """A roster cell as text: null where a reader takes it as missing."""
+    t = c.cast("string")
+    return F.when(t.isin(READER_MISSING), F.lit(None)).otherwise(t)
+
+
 def words(c: Column) -> Column:
     """Python ``str.split()``: whitespace-separated tokens, no empties."""
     return F.filter(F.split(c, r"\s+"), lambda w: w != "")

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 BAND_SECONDS = 120
 
 
+class UnknownImportError(LookupError):
+    """No ledger row has the import's id."""
+
+
 def _epoch_s(c):
     """Whole seconds since 1970-01-01 of a timestamp_ntz, with no session time zone involved
     (a zone-dependent cast could shift buckets across a daylight-saving change)."""
@@ -39,7 +43,11 @@ def time_band_pairs(ledger: DataFrame, members: DataFrame, seconds: int = BAND_S
 
 def members_of_import(members: DataFrame, ledger: DataFrame, import_id: int) -> DataFrame:
     """J9 membership rule for one import: linked members; if none, all members when this is the
-    only import, else those created within +-120 s of it. Returns member ids."""
+    only import, else those created within +-120 s of it. Returns member ids.
+
+    Raises ``UnknownImportError`` when the ledger doesn't hold the import: nothing is then undone."""
+    if ledger.where(F.col("id") == import_id).limit(1).count() == 0:
+        raise UnknownImportError(f"import {import_id} is not in the ledger")
     linked = members.where(F.col("import_id") == import_id).select(F.col("id").alias("member_id"))
     if linked.limit(1).count() > 0:
         return linked

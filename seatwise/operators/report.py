@@ -97,7 +97,8 @@ def write_csv(df: DataFrame, path: str, order: list | None = None, partition_by:
     """CSV sink with a header. A global ``orderBy`` range-partitions the output, so the part
     files read in name order give the report order without funnelling through one task."""
     out = df.orderBy(*order) if order else df
-    w = out.write.mode("overwrite").option("header", True)
+    # quotes are doubled, as the readers of this package and spreadsheets expect
+    w = out.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.csv(path)

@@ -40,12 +40,13 @@ def denormalise(members: DataFrame, dept: DataFrame, program: DataFrame, bins: D
 def search(members: DataFrame, term: str | None) -> DataFrame:
     """Case-insensitive contains-search over usn, student_id, student_number, full_name.
 
-    ``%`` and ``_`` typed by the user act as wildcards, as in the stored-query original.
+    ``%`` and ``_`` typed by the user act as wildcards, as in the stored-query original; a backslash
+    is an ordinary character.
     Blank term = no filter.
     """
     if term is None or not term.strip():
         return members
-    pat = f"%{term.strip()}%"
+    pat = "%" + term.strip().replace("\\", "\\\\") + "%"
     cols = ["usn", "student_id", "student_number", "full_name"]
     pred = None
     for c in cols:

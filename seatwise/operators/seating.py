@@ -232,10 +232,18 @@ def event_facts(assigned: DataFrame, events: list[str]) -> DataFrame:
 
 
 def replace_facts(prior: DataFrame, members: DataFrame, cohort: str, new: DataFrame) -> DataFrame:
-    """Drop earlier facts of the cohort's current members (anti join), add the new ones."""
+    """Drop earlier facts of the cohort's current members (anti join), add the new ones.
+
+    Kept facts keep their id and time; new ones get ids above every earlier id, by member and
+    event, and no time, so the result feeds the event reports as the stored facts do."""
     ids = cohort_members(members, cohort).select(F.col("id").alias("member_id"))
-    keep = prior.join(ids, "member_id", "left_anti").select("member_id", "event_name", "bin_name", "group_name")
-    return keep.unionByName(new.select("member_id", "event_name", "bin_name", "group_name"))
+    columns = ["id", "member_id", "event_name", "bin_name", "group_name", "created_at"]
+    keep = prior.join(ids, "member_id", "left_anti").select(*columns)
+    base = prior.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]  # one number
+    numbered = ordered_rank(new.select("member_id", "event_name", "bin_name", "group_name"), [F.col("member_id"), F.col("event_name")])
+    added = numbered.select((F.col("rank0") + base + 1).cast("long").alias("id"), "member_id", "event_name", "bin_name", "group_name",
+                            F.lit(None).cast(prior.schema["created_at"].dataType).alias("created_at"))
+    return keep.unionByName(added)
 
 
 def seat_result(members: DataFrame, seats: DataFrame, target_group: str | None = None) -> DataFrame:

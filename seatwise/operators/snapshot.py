@@ -1,7 +1,7 @@
 """Table snapshots (B7-B10) and the audit trail.
 
 A snapshot writes every table of a state to ``<root>/snap=<id>/<table>`` as parquet and appends
-one manifest row per table -- rows, an order-free checksum ``bit_xor(xxhash64(all columns))`` and
+one manifest row per table -- rows, an order-free checksum (a sum of row hashes) and
 the trigger label -- to ``<root>/_manifest``, which lives outside the snapshots (fix of Q3: a
 restore no longer loses the snapshot history). ``root`` must be a shared folder on a cluster;
 ``scratch_root`` derives one from the session's checkpoint directory.
@@ -33,8 +33,11 @@ def scratch_root(spark: SparkSession, name: str = "snapshots") -> str:
 
 def checksum(df: DataFrame) -> DataFrame:
     """One row: (rows, checksum) of a table, independent of row order and partitioning."""
-    h = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("checksum"))
+    # every value is hashed with its column's name and whether it is null; row hashes are summed, so
+    # equal rows don't cancel
+    parts = [x for c in df.columns for x in (F.lit(c), F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    total = F.coalesce(F.sum(F.xxhash64(*parts).cast("decimal(20,0)")), F.lit(0).cast("decimal(30,0)"))
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.pmod(total, F.lit(2 ** 63 - 25).cast("decimal(20,0)")).cast("long").alias("checksum"))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from seatwise.functions import text as T
 from seatwise.operators import dims
+from seatwise.operators.components import connected_components
 from seatwise.operators.rank import materialise, ordered_rank
 from seatwise.operators.util import ntz_lit, strip
 
@@ -42,7 +43,7 @@ def clean_batch(batch: DataFrame, batch_tag: str = "0") -> DataFrame:
     ``batch_tag`` replaces the clock-derived tag of the surrogate key so reruns are repeatable.
     """
     def col(c):
-        return F.col(c).cast("string") if c in batch.columns else F.lit(None).cast("string")
+        return T.cell(F.col(c)) if c in batch.columns else F.lit(None).cast("string")
 
     def txt(c):
         return F.coalesce(strip(col(c)), F.lit(""))
@@ -85,23 +86,20 @@ def match(clean: DataFrame, target: DataFrame) -> DataFrame:
         "matched_by", F.when(F.col("t_u").isNotNull(), "usn").when(F.col("t_i").isNotNull(), "student_id"))
 
 
-def components(pairs: DataFrame, max_iter: int = 50) -> DataFrame:
+def components(pairs: DataFrame) -> DataFrame:
     """Connected components of key pairs linked by a shared usn key or id key.
 
-    ``pairs``: distinct (ukey, ikey, pid). Label propagation; each round is two grouped
-    minimums over the pairs and is checkpointed (reliable) to keep the lineage short.
+    ``pairs``: distinct (ukey, ikey, pid). Each pair is linked to the first pair of its usn key and
+    to that of its id key; the links are contracted in O(log n) rounds, chains of any length too.
     """
-    lab = pairs.withColumn("comp", F.col("pid"))
-    for _ in range(max_iter):
-        lu = lab.groupBy("ukey").agg(F.min("comp").alias("_lu"))
-        li = lab.groupBy("ikey").agg(F.min("comp").alias("_li"))
-        nxt = (lab.join(lu, "ukey").join(li, "ikey")
-               .withColumn("_new", F.least("comp", "_lu", "_li")))
-        changed = nxt.where(F.col("_new") < F.col("comp")).limit(1).count()
-        lab = nxt.select("ukey", "ikey", "pid", F.col("_new").alias("comp")).checkpoint(eager=True)
-        if not changed:
-            return lab
-    raise RuntimeError("key components did not converge")
+    links = None
+    for key in ("ukey", "ikey"):
+        first = pairs.groupBy(key).agg(F.min("pid").alias("b"))
+        own = pairs.join(first, key).select(F.col("pid").alias("a"), "b")
+        links = own if links is None else links.unionByName(own)
+    found = connected_components(links)
+    return (pairs.join(found, pairs["pid"] == found["node"], "left")
+            .select("ukey", "ikey", "pid", F.coalesce("component", "pid").alias("comp")))
 
 
 FOLD_SCHEMA = "row_no long, entity long, is_new boolean"

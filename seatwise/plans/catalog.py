@@ -491,7 +491,8 @@ def q_seat_cohort_events(spark, sf):
 def q_seat_cohort_replace(spark, sf):
     m = td.member(spark, sf)
     new = seating.event_facts(_cohort_seats(spark, sf), _events(spark, sf))
-    return seating.replace_facts(td.facts(spark, sf), m, COHORT, new)
+    return (seating.replace_facts(td.facts(spark, sf), m, COHORT, new)
+            .select("member_id", "event_name", "bin_name", "group_name"))
 
 
 # --------------------------------------------------------------------------------------- report

@@ -7,9 +7,12 @@ inference that would turn ids into floats).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seatwise.functions import text
 from seatwise.operators.util import strip
 
 SUPPORTED = {".csv": "csv", ".xlsx": "spreadsheet", ".xls": "spreadsheet"}
@@ -32,22 +35,47 @@ def dispatch(files: DataFrame, path_col: str = "path") -> DataFrame:
     return files.withColumn("suffix", sfx).withColumn("kind", kind)
 
 
+def _csv(spark: SparkSession):
+    # cells may hold doubled quotes and line breaks
+    return (spark.read.option("header", True).option("inferSchema", False).option("mode", "FAILFAST")
+            .option("quote", '"').option("escape", '"').option("multiLine", True))
+
+
+def csv_groups(spark: SparkSession, path: str) -> list[tuple[list[str], DataFrame]]:
+    """CSV files of a path grouped by their own header line: (headers, rows with ``source_file``).
+
+    Each file's header is read from that file, so files of a folder may order columns as they
+    like; files of other kinds are left out. The list of uploaded files is small by nature.
+    """
+    found = spark.read.format("binaryFile").load(path).select("path")
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for r in found.where(suffix(F.col("path")) == ".csv").orderBy("path").toLocalIterator():
+        groups.setdefault(tuple(_csv(spark).csv(r["path"]).columns), []).append(r["path"])
+    out = []
+    for headers, paths in groups.items():
+        df = _csv(spark).csv(paths).withColumnsRenamed({c: c.strip() for c in headers if c != c.strip()})
+        headers = list(df.columns)
+        out.append((headers, df.select(*[text.cell(F.col(f"`{c}`")).alias(c) for c in headers], F.input_file_name().alias("source_file"))))
+    return out
+
+
 def read_csv_rosters(spark: SparkSession, path: str) -> DataFrame:
     """A1: CSV files with a header line, every column a string, plus the source file name.
 
-    Header cells are stripped (fix of Q13). Empty cells read as null.
+    Columns are matched by name, not by place; a column that a file lacks is null there. Header
+    cells are stripped (fix of Q13). Cells that mean missing (``NA``, ``NULL``, ...) read as null.
     """
-    df = (spark.read.option("header", True).option("inferSchema", False)
-          .option("mode", "FAILFAST").csv(path))
-    df = df.withColumnsRenamed({c: c.strip() for c in df.columns if c != c.strip()})
-    return df.withColumn("source_file", F.input_file_name())
+    parts = [df for _, df in csv_groups(spark, path)]
+    if not parts:
+        raise ValidationError(f"no CSV file in {path}")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def read_rosters(spark: SparkSession, path: str) -> DataFrame:
     """A1-A3: read a roster file or folder; only CSV is readable in this build."""
     sfx = "." + path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
     if sfx and sfx not in SUPPORTED:
-        raise ValidationError(f"Unsupported file format: {sfx}. Please upload .xlsx, .xls, or .csv")
+        raise ValidationError(f"cannot read files of kind {sfx}")
     if SUPPORTED.get(sfx) == "spreadsheet":
         raise ValidationError("spreadsheet reading needs a spreadsheet engine that is not installed")
     return read_csv_rosters(spark, path)
@@ -60,6 +88,11 @@ def profile(df: DataFrame, file_col: str = "source_file") -> DataFrame:
             .withColumn("headers", F.array(*[F.lit(h) for h in headers])))
 
 
+def profile_files(spark: SparkSession, path: str) -> DataFrame:
+    """A4 over a path: (source_file, n_rows, headers), each file with its own headers."""
+    return reduce(DataFrame.unionByName, [profile(df) for _, df in csv_groups(spark, path)])
+
+
 def fingerprint(spark: SparkSession, path: str) -> DataFrame:
     """A5: SHA-256 of each file's bytes (binaryFile source; one row per file)."""
     b = spark.read.format("binaryFile").load(path)

@@ -1,6 +1,6 @@
 """The member/bin/slot/... views derived from the generated test tables.
 
-The shapes follow the canonical schemas in ``seatwise.schema``; the same views are written in SQL
+The same views are written in SQL
 in ``seatwise.plans.fixtures`` for the DuckDB oracle. Only DataFrame API here.
 """
 

@@ -4,8 +4,7 @@ take over beyond their limits; these tests force the distributed paths (limits s
 import random
 
 from seatwise.operators import dims, rank, seating
-from tests import models
-from tests.test_seating import BIN_SCHEMA, SLOT_SCHEMA, member, mk_members
+from tests.test_seating import BIN_SCHEMA, SLOT_SCHEMA, check_seats, member, mk_members
 
 
 def test_dimension_resolve_distributed_path(spark, monkeypatch):
@@ -30,8 +29,7 @@ def test_seating_distributed_offsets(spark, monkeypatch):
     mem = mk_members(spark, rows)
     bdf = spark.createDataFrame([(b["id"], b["name"], b["capacity"], None, True) for b in bins], BIN_SCHEMA)
     sdf = spark.createDataFrame([(s, f"S{s}", "", "", 1) for s in range(1, 4)], SLOT_SCHEMA)
-    got = {r["id"]: (r["bin_id"], r["slot_id"]) for r in seating.seat_slots(mem, bdf, sdf).collect()}
-    assert got == models.seat(rows, bins, [{"id": s} for s in range(1, 4)])
+    check_seats(seating.seat_slots(mem, bdf, sdf).collect(), rows, bins, 3)
 
 
 def test_ordered_rank_matches_row_number_with_hot_group(spark):
