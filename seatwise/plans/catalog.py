@@ -1002,7 +1002,7 @@ def q_src_profile(spark, sf):
     path = snapshot.scratch_root(spark, "profile")
     td.batch(spark, sf).write.partitionBy("department").option("header", True).csv(path)
     df = files.read_rosters(spark, path)
-    prof = files.profile(df.drop("department"), "source_file")
+    prof = files.profile_files(spark, path)
     dept_of = df.select("source_file", "department").distinct()
     return (prof.join(dept_of, "source_file").groupBy("department")
             .agg(F.sum("n_rows").cast("long").alias("n_rows"), F.first("headers").alias("h"))

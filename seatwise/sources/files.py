@@ -28,6 +28,11 @@ def suffix(path_col) -> F.Column:
     return F.lower(F.regexp_extract(name, r"[^.](\.[^.]*)$", 1))
 
 
+def suffix_of(path: str) -> str:
+    """Lower-cased suffix of a path's last name; '' for a folder."""
+    return "." + path.rsplit(".", 1)[-1].lower() if "." in path.rstrip("/").rsplit("/", 1)[-1] else ""
+
+
 def dispatch(files: DataFrame, path_col: str = "path") -> DataFrame:
     """A3: kind of every file by suffix (csv / spreadsheet / unsupported)."""
     sfx = suffix(F.col(path_col))
@@ -42,7 +47,8 @@ def _csv(spark: SparkSession):
 
 
 def csv_groups(spark: SparkSession, path: str) -> list[tuple[list[str], DataFrame]]:
-    """CSV files of a path grouped by their own header line: (headers, rows with ``source_file``).
+    """CSV files of a path grouped by their own header line: (headers, rows with ``source_file``
+    and the columns of partition folders).
 
     Each file's header is read from that file, so files of a folder may order columns as they
     like; files of other kinds are left out. The list of uploaded files is small by nature.
@@ -53,9 +59,11 @@ def csv_groups(spark: SparkSession, path: str) -> list[tuple[list[str], DataFram
         groups.setdefault(tuple(_csv(spark).csv(r["path"]).columns), []).append(r["path"])
     out = []
     for headers, paths in groups.items():
-        df = _csv(spark).csv(paths).withColumnsRenamed({c: c.strip() for c in headers if c != c.strip()})
-        headers = list(df.columns)
-        out.append((headers, df.select(*[text.cell(F.col(f"`{c}`")).alias(c) for c in headers], F.input_file_name().alias("source_file"))))
+        reader = _csv(spark) if suffix_of(path) else _csv(spark).option("basePath", path)
+        df = reader.csv(paths)
+        cells = [text.cell(F.col(f"`{c}`")).alias(c.strip()) for c in headers]
+        folders = [F.col(f"`{c}`") for c in df.columns if c not in headers]
+        out.append(([c.strip() for c in headers], df.select(*cells, *folders, F.input_file_name().alias("source_file"))))
     return out
 
 
@@ -73,7 +81,7 @@ def read_csv_rosters(spark: SparkSession, path: str) -> DataFrame:
 
 def read_rosters(spark: SparkSession, path: str) -> DataFrame:
     """A1-A3: read a roster file or folder; only CSV is readable in this build."""
-    sfx = "." + path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
+    sfx = suffix_of(path)
     if sfx and sfx not in SUPPORTED:
         raise ValidationError(f"cannot read files of kind {sfx}")
     if SUPPORTED.get(sfx) == "spreadsheet":
@@ -90,7 +98,7 @@ def profile(df: DataFrame, file_col: str = "source_file") -> DataFrame:
 
 def profile_files(spark: SparkSession, path: str) -> DataFrame:
     """A4 over a path: (source_file, n_rows, headers), each file with its own headers."""
-    return reduce(DataFrame.unionByName, [profile(df) for _, df in csv_groups(spark, path)])
+    return reduce(DataFrame.unionByName, [profile(df.select(*headers, "source_file")) for headers, df in csv_groups(spark, path)])
 
 
 def fingerprint(spark: SparkSession, path: str) -> DataFrame:
