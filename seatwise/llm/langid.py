@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seatwise.llm.words import blocks
+
 SEGMENT = 1024
 _LANES = 1 << 14
 _POINTS = 0x110000
@@ -191,17 +193,10 @@ def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = (), block:
     def run(batches):
         net = shared.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            lo = 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi] or "") <= block):
-                    size += len(texts[hi] or "")
-                    hi += 1
-                names, score = net.classify(texts[lo:hi])
+            for lo, hi, _, _ in blocks(batch.column(1), block):
+                names, score = net.classify(batch.column(1).slice(lo, hi - lo).to_pylist())
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(names, pa.string()), pa.array(score)],
                                                  [*batch.schema.names, "lang_pred", "score"])
-                lo = hi
 
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c) for c in carry if c not in ("doc_id", "text")])

@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seatwise.llm.words import blocks
 from seatwise.session import drop_scratch, materialise
 
 #: Characters on which both tokenizer libraries read the same classes; other texts go to `tokenizers` itself.
@@ -58,7 +59,8 @@ def _pieces(path: str, ranks_path: str | None, pattern: str | None, end_id: int,
         part, seen = TaskContext.get().partitionId(), Counter()
         for batch in batches:
             rows = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            few = (batch.slice(lo, hi - lo) for lo, hi, _, _ in blocks(batch.column(1)))  # few texts at a time are Python objects
+            for key, text in (r for b in few for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
                 ids = np.array([*coder.ids(text or ""), end_id], "<u4")
                 start, piece = 0, 0
                 while start < len(ids):

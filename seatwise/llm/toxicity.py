@@ -173,7 +173,7 @@ class ConvNet:
         """Products of every embedding row with every filter position, one block of columns each."""
         return np.concatenate([self.embed @ c[o] for c in self.conv for o in range(len(c))], 1)
 
-    def logits(self, ids, first, table=None, limit: int = 1 << 18):
+    def logits(self, ids, first, table=None, limit: int = 1 << 16):
         """Toxicity logit and guessed language of each text; works on texts of up to ``limit`` words at a time."""
         table = self.tables() if table is None else table
         f, n = self.shape.filters, len(first) - 1

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 _BASE = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _MASK = (1 << 64) - 1
