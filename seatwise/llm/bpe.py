@@ -10,7 +10,7 @@ encoding, the joined tokens are those of the whole run.
 
 from __future__ import annotations
 
-import hashlib
+import functools
 import json
 import re
 import unicodedata
@@ -19,8 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seatwise.llm.words import blocks
+
 LEAF = 512
-_CACHE = 300_000
+_CACHE = 150_000  # words; cleared when full
 
 #: Texts of these characters alone are cut with the standard library; others by the tokenizer's own normaliser and pre-tokeniser.
 _UNUSUAL = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa0-ɏ‐-‧€]")
@@ -142,7 +144,13 @@ class Coder:
         return [(x, " ".join(filter(None, map(self.text.__getitem__, words)))) for x, words in zip(ids, cut, strict=True)]
 
 
-def encode_rows(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", block: int = 1 << 22) -> DataFrame:
+@functools.lru_cache(maxsize=1)
+def _coder(path: str) -> Coder:
+    """One encoder for all tasks of a worker process, so that its cache is neither rebuilt nor held twice."""
+    return Coder(path)
+
+
+def encode_rows(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", block: int = 1 << 20) -> DataFrame:
     """(doc_id, ids, decoded) of every row: ids as decimal text joined by one space, and their decoded text.
 
     Null and empty texts have no ids and decode to the empty text; ties and repeated rows are
@@ -150,19 +158,12 @@ def encode_rows(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
     result.
     """
     def run(batches):
-        coder = Coder(tokenizer_path)
+        coder = _coder(tokenizer_path)
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            lo = 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= block):
-                    size += len(texts[hi])
-                    hi += 1
-                out = coder.encode(texts[lo:hi])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([x for x, _ in out], pa.large_string()).cast(pa.string()),
+            for lo, hi, _, _ in blocks(batch.column(1), block):  # few texts at a time are Python objects
+                out = coder.encode([x or "" for x in batch.column(1).slice(lo, hi - lo).to_pylist()])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([x for x, _ in out], pa.string()),
                                                   pa.array([y for _, y in out], pa.string())], ["doc_id", "ids", "decoded"])
-                lo = hi
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         run, "doc_id long, ids string, decoded string")
