@@ -177,7 +177,7 @@ def train(docs: DataFrame, sample: Sample = Sample()) -> Model:  # noqa: B008
     picked = (usable.select("doc_id", "lang", F.length("text").alias("length"), F.xxhash64("doc_id").alias("turn"))
               .withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample.texts).select("doc_id", "n"))
     chosen = docs.sparkSession.createDataFrame(picked.toPandas(), "doc_id long, n int")
-    found = (usable.join(F.broadcast(chosen), "doc_id").select("lang", "n", F.substring("text", 1, sample.chars).alias("text")).toPandas()
+    found = (usable.join(F.broadcast(chosen), "doc_id").select("lang", "n", F.substring("text", 1, sample.chars).alias("text")).toArrow().to_pandas()
              .sort_values(["lang", "n"]))
     return Model({lang: "\n".join(own["text"])[:sample.chars] for lang, own in found.groupby("lang")}, sample.alphabet)
 

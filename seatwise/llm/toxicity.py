@@ -72,18 +72,16 @@ class ConvNet:
         those of language k; the first filters of each width read these columns.
         """
         b, n = self.shape.buckets, len(first) - 1
-        rows, owners = [], []
-        for d in range(n):
-            rows.append(np.unique(ids[first[d]:first[d + 1]]))
-            owners.append(np.full(len(rows[-1]), d))
-        rows, owners = np.concatenate(rows), np.concatenate(owners)
-        targets = [toxic == 1] + [language == k for k in range(len(self.languages))]
+        targets = ([toxic == 1] + [language == k for k in range(len(self.languages))])[:self.shape.dim]
+        weights = [weight] + [np.where(t, 0.5 / max(1, t.sum()), 0.5 / max(1, n - t.sum())) * n for t in targets[1:]]
+        yes, no = np.zeros((2, len(targets), b + 1))
+        for d in range(n):  # sums by text, so that memory follows one text and not the sample
+            rows = np.unique(ids[first[d]:first[d + 1]])
+            for k, target in enumerate(targets):
+                (yes if target[d] else no)[k, rows] += weights[k][d]
         self.embed *= 0.2
-        for k, target in enumerate(targets[:self.shape.dim]):
-            w = weight if k == 0 else np.where(target, 0.5 / max(1, target.sum()), 0.5 / max(1, n - target.sum())) * n
-            yes = np.bincount(rows, w[owners] * target[owners], b + 1)
-            no = np.bincount(rows, w[owners] * ~target[owners], b + 1)
-            self.embed[:, k] = np.log((yes + 10) / (no + 10)) / len(PREFIXES)
+        for k in range(len(targets)):
+            self.embed[:, k] = np.log((yes[k] + 10) / (no[k] + 10)) / len(PREFIXES)
         self.embed[-1] = 0
         for c in self.conv:
             c *= 0.3
@@ -103,7 +101,7 @@ class ConvNet:
         """Largest value and its position of each column in each text (a text has ``pad`` positions at least)."""
         top = np.maximum.reduceat(z, at[:-1], axis=0)
         hit = z == np.repeat(top, np.diff(at), axis=0)
-        where = np.maximum.reduceat(np.where(hit, np.arange(len(z))[:, None], -1), at[:-1], axis=0)
+        where = np.maximum.reduceat(np.where(hit, np.arange(len(z), dtype=np.int32)[:, None], np.int32(-1)), at[:-1], axis=0)
         return top, where
 
     def fit(self, texts, toxic: np.ndarray, language: np.ndarray, epochs: int = 5, batch: int = 32, rate: float = 0.05) -> None:
@@ -231,19 +229,23 @@ def train(docs: DataFrame, labels: DataFrame, sample: Sample = Sample(), shape:
         one = usable.where(F.col("toxic") == label).orderBy("turn", "doc_id").limit(sample.per_label).select("doc_id", "toxic")
         picked = one if picked is None else picked.unionByName(one)
     local = docs.sparkSession.createDataFrame(picked.toPandas(), "doc_id long, toxic int")
-    rows = ids.where(F.length("text").between(1, sample.max_chars)).join(F.broadcast(local), "doc_id").toPandas().sort_values(["doc_id", "toxic"])
-    languages = sorted({x for x in rows["lang"] if x})
+    rows = (ids.where(F.length("text").between(1, sample.max_chars)).join(F.broadcast(local), "doc_id").toArrow()
+            .sort_by([("doc_id", "ascending"), ("toxic", "ascending")]))
+    toxic, spoken, texts = rows["toxic"].to_numpy(), rows["lang"].to_pylist(), rows["text"]
+    del rows
+    languages = sorted({x for x in spoken if x})
     net = ConvNet(shape, languages)
-    if len(rows):
-        column = pa.array(rows["text"], pa.large_string())
+    if len(texts):
         parts, counts = [], []
-        for _, _, data, offsets in W.blocks(column):
+        for _, _, data, offsets in W.blocks(texts, 1 << 17):
             got, first = word_ids(data, offsets, shape.buckets)
             parts.append(got)
             counts.append(np.diff(first))
+        ids = np.concatenate(parts)
         first = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+        del texts, data, offsets, parts, got  # training reads the word ids alone
         where = {x: k for k, x in enumerate(languages)}
-        net.fit((np.concatenate(parts), first), rows["toxic"].to_numpy(), np.array([where.get(x, -1) for x in rows["lang"]]))
+        net.fit((ids, first), toxic, np.array([where.get(x, -1) for x in spoken]))
     return net
 
 
