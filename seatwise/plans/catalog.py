@@ -605,7 +605,7 @@ def q_sanitise_cells(spark, sf):
 
 # --------------------------------------------------------------------------------------- ingest
 from seatwise.functions import text as T  # noqa: E402
-from seatwise.operators import dims, mapping, upsert  # noqa: E402
+from seatwise.operators import dims, imports, mapping, upsert  # noqa: E402
 from seatwise.sources import files  # noqa: E402
 
 IMPORT_ID = 1_000_000  # id of the import run in the ledger
@@ -856,6 +856,72 @@ def q_import_ledger(spark, sf):
     return _upsert(spark, sf)["ledger"]
 
 
+def _import_files(spark, sf):
+    """Two sets of CSV files from the whole customer table, with other headers and orders, quoted
+    cells, ``NA`` ids and blank keys, imported into the whole member table."""
+    import datetime
+    c, k = td.table(spark, sf, "customer"), F.col("c_custkey")
+    key = k.cast("string")
+    sex = F.when(k % 3 == 0, "M").when(k % 3 == 1, "female")
+    one = c.select(F.lit("NA").alias("Admission ID"), F.concat(F.lit('Member "'), key, F.lit('", first')).alias("Student Name"),
+                   F.when(k % 11 == 3, F.lit(None)).when(k % 2 == 0, F.col("c_name")).otherwise(F.concat(F.lit("New#"), key)).alias("USN Number"),
+                   k.alias("Remark"), F.col("c_mktsegment").alias("Dept"), sex.alias("Sex"))
+    two = c.select(sex.alias("Gender"), F.col("c_mktsegment").alias("Branch"), k.alias("Remark"),
+                   F.concat(F.lit("Second "), key).alias("Candidate Names"),
+                   F.when(k % 3 == 0, F.concat(F.lit("ID"), (k + 1).cast("string"))).otherwise(F.concat(F.lit("N"), key)).alias("Student ID"))
+    root = snapshot.scratch_root(spark, "uploads")
+    for n, rows in enumerate((one, two)):
+        report.write_csv(rows, f"{root}/upload={n}", order=["Remark"])
+    return imports.import_files(spark, root, td.member(spark, sf), td.dept(spark, sf), td.program(spark, sf), td.ledger(spark, sf),
+                                IMPORT_ID, datetime.datetime(2024, 6, 1), BATCH_TAG)
+
+
+IMPORT_FILES_SQL = f"""
+    WITH x AS (SELECT row_number() OVER (ORDER BY c_custkey) AS row_no, c_custkey AS k, c_mktsegment AS seg,
+                      concat('Member "', c_custkey, '", first') AS full_name,
+                      CASE WHEN c_custkey % 11 = 3 THEN NULL WHEN c_custkey % 2 = 0 THEN c_name ELSE concat('New#', c_custkey) END AS code,
+                      CASE WHEN c_custkey % 11 <> 3 AND c_custkey % 2 = 0 THEN c_custkey + 1 END AS hit
+               FROM customer
+               UNION ALL
+               SELECT (SELECT count(*) FROM customer) + row_number() OVER (ORDER BY c_custkey), c_custkey, c_mktsegment,
+                      concat('Second ', c_custkey),
+                      CASE WHEN c_custkey % 3 = 0 THEN concat('ID', c_custkey + 1) ELSE concat('N', c_custkey) END,
+                      CASE WHEN c_custkey % 3 = 0 THEN c_custkey + 1 END
+               FROM customer),
+    r AS (SELECT row_no, coalesce(x.code, printf('STU_%s_%04d', '{BATCH_TAG}', row_no)) AS usn, full_name, hit,
+                 CASE k % 3 WHEN 0 THEN 'Male' WHEN 1 THEN 'Female' ELSE 'Unknown' END AS gender,
+                 coalesce(d.id, (SELECT max(id) + 1 FROM dept)) AS department_id
+          FROM x LEFT JOIN dept d ON d.name = x.seg)"""
+
+
+@query("import_files", IMPORT_FILES_SQL + f""",
+    e AS (SELECT hit, arg_max(usn, row_no) AS usn, arg_max(full_name, row_no) AS full_name, arg_max(gender, row_no) AS gender,
+                 arg_max(department_id, row_no) AS department_id
+          FROM r WHERE hit IS NOT NULL GROUP BY hit)
+    SELECT m.id, coalesce(e.usn, m.usn) AS usn, coalesce(e.usn, m.student_id) AS student_id, coalesce(e.full_name, m.full_name) AS full_name,
+           CAST(CASE WHEN e.hit IS NULL THEN m.department_id ELSE e.department_id END AS BIGINT) AS department_id, m.program_id,
+           coalesce(e.gender, m.gender) AS gender, CASE WHEN e.hit IS NULL THEN m.status ELSE 'Active' END AS status,
+           CAST(CASE WHEN e.hit IS NULL THEN m.import_id ELSE {IMPORT_ID} END AS BIGINT) AS import_id,
+           CASE WHEN e.hit IS NULL THEN m.is_deleted ELSE FALSE END AS is_deleted, m.group_name
+    FROM member m LEFT JOIN e ON e.hit = m.id
+    UNION ALL
+    SELECT CAST((SELECT max(id) FROM member) + row_number() OVER (ORDER BY row_no) AS BIGINT), usn, usn, full_name,
+           CAST(department_id AS BIGINT), CAST((SELECT max(id) + 1 FROM program) AS BIGINT), gender, 'Active', {IMPORT_ID}, FALSE, CAST(NULL AS VARCHAR)
+    FROM r WHERE hit IS NULL""")
+def q_import_files(spark, sf):
+    return _import_files(spark, sf)["members"].select(*UPSERT_COLS)
+
+
+@query("import_files_ledger", IMPORT_FILES_SQL + f"""
+    SELECT CAST({IMPORT_ID} AS BIGINT) AS id, count(*) AS total_rows, count(*) FILTER (WHERE hit IS NULL) AS new_records,
+           count(hit) AS updated_records, CAST(0 AS BIGINT) AS duplicate_records, TIMESTAMP '2024-06-01 00:00:00' AS imported_at
+    FROM r
+    UNION ALL
+    SELECT id, total_rows, new_records, updated_records, duplicate_records, imported_at FROM ledger""")
+def q_import_files_ledger(spark, sf):
+    return _import_files(spark, sf)["ledger"].drop("file_name", "file_hash")
+
+
 # ------------------------------------------------------------------------------------ lifecycle
 from seatwise.operators import lifecycle, snapshot  # noqa: E402
 

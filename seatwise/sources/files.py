@@ -79,13 +79,18 @@ def read_csv_rosters(spark: SparkSession, path: str) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def read_rosters(spark: SparkSession, path: str) -> DataFrame:
-    """A1-A3: read a roster file or folder; only CSV is readable in this build."""
+def check_kind(path: str) -> None:
+    """A3: raise for a file that isn't readable in this build; a folder passes."""
     sfx = suffix_of(path)
     if sfx and sfx not in SUPPORTED:
         raise ValidationError(f"cannot read files of kind {sfx}")
     if SUPPORTED.get(sfx) == "spreadsheet":
         raise ValidationError("spreadsheet reading needs a spreadsheet engine that is not installed")
+
+
+def read_rosters(spark: SparkSession, path: str) -> DataFrame:
+    """A1-A3: read a roster file or folder; only CSV is readable in this build."""
+    check_kind(path)
     return read_csv_rosters(spark, path)
 
 
