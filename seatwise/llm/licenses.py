@@ -4,14 +4,24 @@ A text's words ``[a-z0-9]+`` give shingles of five words. Shingles that occur in
 only dilute a window, so they go by a join with the templates' shingles before anything moves.
 What is left falls into overlapping windows of ``span`` positions, a new one every half span, and
 half a span is at least as long as the longest template, so every whole occurrence lies within a
-window. Each window and each template has one minimum hash a band; equal minima retrieve a
-template. With Jaccard j between window and template the chance to miss it in all bands is
-(1 - j) ** bands: below 1e-6 from j = 0.35 on with 32 bands. Candidates are decided by exact
-containment of the template's shingles.
+window. Templates fall into length classes: class c holds those of 2 ** c to 2 ** (c + 1) - 1
+distinct shingles, and for each class a window is cut into pieces of 2 ** c positions that keep
+the shingles of that class's templates only. Each piece and each template has one minimum hash a
+band; an equal minimum in any piece retrieves the template for the window.
+
+Of a template with n shingles let k be in the window, wherever they lie there. A band retrieves it
+when the template's least shingle is one of the k and is also the least of its piece; a piece of
+w <= n positions adds at most w - 1 shingles, so a band does with a chance of at least
+k / (n + w - 1), and all bands miss with (1 - k / (n + w - 1)) ** bands. The number of bands makes
+that at most ``miss`` for the least k that counts as found, whatever other templates stand beside
+it (at 80% the chance a band is above 0.4). Candidates are decided by exact containment of the
+template's shingles.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +49,7 @@ def _placed(df: DataFrame, key: str, width: int) -> DataFrame:
     return words.select(key, F.posexplode(hashed).alias("pos", "h"))
 
 
-def license_scan(docs: DataFrame, templates: DataFrame, width: int = 5, percent: int = 80, bands: int = 32,
+def license_scan(docs: DataFrame, templates: DataFrame, width: int = 5, percent: int = 80, miss: float = 1e-9,
                  broadcast_shingles: int = 1_000_000) -> DataFrame:
     """(doc_id, template_id, license, n_matched, n_template, containment, first_pos): templates found in each document.
 
@@ -52,23 +62,28 @@ def license_scan(docs: DataFrame, templates: DataFrame, width: int = 5, percent:
     named = t.select("template_id", "license").where("template_id is not null").dropDuplicates(["template_id"])
     known = _placed(t, "template_id", width).select("template_id", "h").distinct()
     sizes = known.groupBy("template_id").agg(F.count("*").alias("n_template"))
-    longest = sizes.agg(F.max("n_template")).first()[0] or 1  # one number
-    half = max(16, longest)
-    domain = known.select("h").distinct()
-    if domain.count() <= broadcast_shingles:  # 8 bytes each; beyond that a shuffle join
+    classed = sizes.withColumn("cls", F.length(F.bin("n_template")) - 1)
+    least = F.greatest(F.lit(1), F.ceil(F.col("n_template") * percent / 100))
+    longest, chance = classed.agg(F.max("n_template"), F.min(least / (F.col("n_template") + F.expr("shiftleft(1L, cls)") - 1))).first()  # two numbers
+    half = max(16, longest or 1)
+    bands = math.ceil(math.log(miss) / math.log1p(-chance)) if chance and chance < 1 else 1
+    known = known.join(classed.select("template_id", "cls"), "template_id")
+    domain = known.groupBy("h").agg(F.collect_set("cls").alias("classes"))
+    if domain.count() <= broadcast_shingles:  # tens of bytes each; beyond that a shuffle join
         domain = F.broadcast(domain)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    hits = _placed(rows, "doc_id", width).join(domain, "h").select("doc_id", "pos", "h")
-    windows = hits.select("doc_id", "pos", "h", F.explode(F.array_distinct(F.array(F.floor(F.col("pos") / half), F.greatest(F.floor(F.col("pos") / half) - 1, F.lit(0))))).alias("window"))
-    windows = windows.groupBy("doc_id", "window", "h").agg(F.min("pos").alias("pos"))
+    hits = _placed(rows, "doc_id", width).join(domain, "h").select("doc_id", "pos", "h", "classes")
+    windows = hits.select("doc_id", "pos", "h", "classes", F.explode(F.array_distinct(F.array(F.floor(F.col("pos") / half), F.greatest(F.floor(F.col("pos") / half) - 1, F.lit(0))))).alias("window"))
+    windows = windows.groupBy("doc_id", "window", "h").agg(F.min("pos").alias("pos"), F.any_value("classes").alias("classes"))
 
     def minima(df, *keys):
         least = df.groupBy(*keys).agg(*[F.min(F.xxhash64("h", F.lit(b))).alias(f"m{b}") for b in range(bands)])
         return least.select(*keys, F.posexplode(F.array(*[f"m{b}" for b in range(bands)])).alias("band", "least"))
 
-    found = (minima(windows, "doc_id", "window").join(minima(known, "template_id"), ["band", "least"])
+    pieces = windows.select("doc_id", "window", "h", "pos", F.explode("classes").alias("cls")).withColumn("piece", F.expr("shiftright(pos, cls)"))
+    found = (minima(pieces, "doc_id", "window", "cls", "piece").join(minima(known, "template_id", "cls"), ["cls", "band", "least"])
              .select("doc_id", "window", "template_id").distinct())
-    matched = (windows.join(found, ["doc_id", "window"]).join(known, ["template_id", "h"])
+    matched = (windows.join(found, ["doc_id", "window"]).join(known.select("template_id", "h"), ["template_id", "h"])
                .groupBy("doc_id", "window", "template_id").agg(F.count("*").alias("n_matched"), F.min("pos").alias("first_pos"))
                .join(sizes, "template_id").where(F.col("n_matched") * 100 >= F.col("n_template") * percent))
     best = (matched.groupBy("doc_id", "template_id", "n_template")

@@ -1,6 +1,7 @@
 """The queries against brute force on the smallest tables, and the edge cases of each operator."""
 
 import hashlib
+import itertools
 import json
 import random
 import re
@@ -319,6 +320,29 @@ def test_license_scan(spark):
     assert rows(licenses.license_scan(docs_of(spark, texts), licenses.notices(spark).limit(0))) == []
 
 
+def check_license_sql(spark, texts):
+    import duckdb
+    import pandas as pd
+
+    docs = docs_of(spark, texts)
+    cols = ["doc_id", "template_id", "license", "n_matched", "n_template", "containment", "first_pos"]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    want = con.execute(f"SELECT {', '.join(cols)} FROM ({queries.ORACLE['op9_license_scan']}) x").fetchall()
+    got = [tuple(r) for r in licenses.license_scan(docs, licenses.notices(spark)).select(*cols).collect()]
+    assert len(got) == len(set(got)) and set(got) == set(want)
+    return got
+
+
+def test_license_scan_finds_adjacent_notices(spark):
+    lines = [x for _, x in licenses.NOTICES[:6]]
+    texts = [" ".join(["word"] * at + list(p)) for p in itertools.permutations(lines, 3) for at in range(16)]
+    texts += [" ".join(["word"] * at + list(p)) for p in itertools.permutations(lines, 4) for at in (0, 5, 160, 171)]
+    texts += ["This work is licensed under the x y of Public License version 3 x the GNU General Public License"]  # in pieces
+    got = Counter(r[0] for r in check_license_sql(spark, texts))
+    assert all(got[k] >= 3 for k in range(len(texts) - 1))
+
+
 def test_bpe_query(spark):
     coder = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     odd = [None, "", " ", "It's we'll O'REILLY 'Re", "<|startoftext|>Hi<|endoftext|>", "日本語 x", "ΣΑΣ İ", "½²a_b", "a\x1cb\x85c", "éÉ", "x" * 5000 + "ü" * 3000, LONG]
