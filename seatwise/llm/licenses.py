@@ -25,7 +25,9 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# fixed values: first lines and notices of public licenses
+from seatwise.llm.passages import PASSAGES
+
+# fixed values: first lines, notices and passages of public licenses
 NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "Released under the MIT License."),
@@ -33,6 +35,7 @@ NOTICES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    *PASSAGES,
 )
 
 
@@ -68,13 +71,13 @@ def license_scan(docs: DataFrame, templates: DataFrame, width: int = 5, percent:
     half = max(16, longest or 1)
     bands = math.ceil(math.log(miss) / math.log1p(-chance)) if chance and chance < 1 else 1
     known = known.join(classed.select("template_id", "cls"), "template_id")
-    domain = known.groupBy("h").agg(F.collect_set("cls").alias("classes"))
+    domain = known.groupBy("h").agg(F.array_sort(F.collect_set("cls")).alias("classes"))
     if domain.count() <= broadcast_shingles:  # tens of bytes each; beyond that a shuffle join
         domain = F.broadcast(domain)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     hits = _placed(rows, "doc_id", width).join(domain, "h").select("doc_id", "pos", "h", "classes")
     windows = hits.select("doc_id", "pos", "h", "classes", F.explode(F.array_distinct(F.array(F.floor(F.col("pos") / half), F.greatest(F.floor(F.col("pos") / half) - 1, F.lit(0))))).alias("window"))
-    windows = windows.groupBy("doc_id", "window", "h").agg(F.min("pos").alias("pos"), F.any_value("classes").alias("classes"))
+    windows = windows.groupBy("doc_id", "window", "h", "classes").agg(F.min("pos").alias("pos"))  # classes go with h
 
     def minima(df, *keys):
         least = df.groupBy(*keys).agg(*[F.min(F.xxhash64("h", F.lit(b))).alias(f"m{b}") for b in range(bands)])

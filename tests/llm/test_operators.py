@@ -343,6 +343,24 @@ def test_license_scan_finds_adjacent_notices(spark):
     assert all(got[k] >= 3 for k in range(len(texts) - 1))
 
 
+def test_license_scan_finds_license_bodies(spark):
+    rng = random.Random(9)
+    texts, want = [], []
+    for k, (name, text) in enumerate(licenses.NOTICES):
+        words = text.split()
+        for changed in (0, len(words) // 60):
+            own = list(words)
+            for at in rng.sample(range(len(own)), changed):
+                own[at] = "other"
+            texts.append(" ".join(["word"] * rng.randrange(700) + ["Copyright 2020 A. Person."] + own + ["x"] * rng.randrange(90)))
+            want.append((name, k + 1))
+    texts += [" ".join(x for _, x in rng.sample(licenses.NOTICES, 12)) for _ in range(150)]
+    found = {(r[0], r[2], r[1]) for r in check_license_sql(spark, texts)}
+    assert all((k, *w) in found for k, w in enumerate(want))
+    named = {name for name, _ in licenses.NOTICES}
+    assert named >= {"BSD-2-Clause", "BSD-3-Clause", "ISC", "LGPL-2.1", "AGPL-3.0", "CC-BY-4.0", "CC-BY-SA-4.0"}
+
+
 def test_bpe_query(spark):
     coder = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     odd = [None, "", " ", "It's we'll O'REILLY 'Re", "<|startoftext|>Hi<|endoftext|>", "日本語 x", "ΣΑΣ İ", "½²a_b", "a\x1cb\x85c", "éÉ", "x" * 5000 + "ü" * 3000, LONG]
