@@ -8,6 +8,7 @@ DuckDB (views come from ``plans.fixtures``). Column names match between the two.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -742,8 +743,8 @@ def q_dim_resolve_new(spark, sf):
     return new
 
 
-def _incoming_bins(spark, sf):
-    s = td.table(spark, sf, "supplier").where(F.col("s_suppkey") % 3 == 0)
+def _incoming_bins(spark, sf, every=3):
+    s = td.table(spark, sf, "supplier").where(F.col("s_suppkey") % every == 0)
     name = F.when(F.col("s_suppkey") % 2 == 0, F.lower(F.col("s_name"))).otherwise(
         F.concat(F.col("s_name"), F.lit(" Annex ")))
     return s.select(F.col("s_suppkey").alias("row_no"), name.alias("name"),
@@ -771,6 +772,18 @@ def q_dim_upsert_bins(spark, sf):
     return dims.upsert_bins(td.bins(spark, sf), _incoming_bins(spark, sf))
 
 
+@query("dim_upsert_bins_whole", """
+    WITH s AS (SELECT s_suppkey AS k, s_name AS name, CAST(2 + s_suppkey % 4 AS BIGINT) AS cap,
+                      concat('Block ', CAST(s_nationkey % 4 AS VARCHAR)) AS loc FROM supplier)
+    SELECT b.id, b.name, CASE WHEN s.k % 2 = 0 THEN s.cap ELSE b.capacity END AS capacity, b.location, b.is_active
+    FROM bin b JOIN s ON s.k + 1 = b.id
+    UNION ALL
+    SELECT CAST((SELECT max(id) FROM bin) + row_number() OVER (ORDER BY k) AS BIGINT), concat(name, ' Annex'), cap, loc, TRUE
+    FROM s WHERE k % 2 <> 0""")
+def q_dim_upsert_bins_whole(spark, sf):
+    return dims.upsert_bins(td.bins(spark, sf), _incoming_bins(spark, sf, every=1))
+
+
 MATCH_SQL = f"""
     WITH c AS ({CLEAN_SQL}),
     tu AS (SELECT upper({_duck_strip('usn')}) AS ukey, max(id) AS t_u FROM upsert_target WHERE usn IS NOT NULL GROUP BY 1),
@@ -791,9 +804,9 @@ def q_import_match(spark, sf):
     return upsert.match(_clean(spark, sf), td.upsert_target(spark, sf)).select("row_no", "matched_id", "matched_by")
 
 
-def _upsert(spark, sf):
+def _upsert(spark, sf, batch=td.batch, target=td.upsert_target):
     import datetime
-    return upsert.upsert(td.batch(spark, sf), td.upsert_target(spark, sf), td.dept(spark, sf),
+    return upsert.upsert(batch(spark, sf), target(spark, sf), td.dept(spark, sf),
                          td.program(spark, sf), IMPORT_ID, now=datetime.datetime(2024, 6, 1), batch_tag=BATCH_TAG)
 
 
@@ -845,17 +858,41 @@ def q_import_upsert(spark, sf):
     return _upsert(spark, sf)["members"].select(*UPSERT_COLS)
 
 
-@query("import_ledger", f"""
+LEDGER_SQL = f"""
     WITH mt AS ({MATCH_SQL}),
     r AS (SELECT *, min(row_no) OVER (PARTITION BY ukey) AS first FROM mt)
     SELECT count(*) AS total_rows, count(DISTINCT CASE WHEN matched_id IS NULL THEN first END) AS new_records,
            count(*) - count(DISTINCT CASE WHEN matched_id IS NULL THEN first END) AS updated_records,
            CAST(0 AS BIGINT) AS duplicate_records
-    FROM r""")
+    FROM r"""
+
+
+@query("import_ledger", LEDGER_SQL)
 def q_import_ledger(spark, sf):
     return _upsert(spark, sf)["ledger"]
 
 
+def _whole(sql: str) -> str:
+    """An import query's SQL on the whole member table, with a third of the orders under new keys."""
+    return sql.replace("FROM batch)", "FROM batch_whole)").replace("upsert_target", "member")
+
+
+@query("import_match_whole", _whole(f"""SELECT row_no, matched_id, matched_by FROM ({MATCH_SQL}) x"""))
+def q_import_match_whole(spark, sf):
+    rows = upsert.clean_batch(td.batch_whole(spark, sf), BATCH_TAG)
+    return upsert.match(rows, td.member(spark, sf)).select("row_no", "matched_id", "matched_by")
+
+
+@query("import_upsert_whole", _whole(UPSERT_SQL))
+def q_import_upsert_whole(spark, sf):
+    return _upsert(spark, sf, td.batch_whole, td.member)["members"].select(*UPSERT_COLS)
+
+
+@query("import_ledger_whole", _whole(LEDGER_SQL))
+def q_import_ledger_whole(spark, sf):
+    return _upsert(spark, sf, td.batch_whole, td.member)["ledger"]
+
+
 def _import_files(spark, sf):
     """Two sets of CSV files from the whole customer table, with other headers and orders, quoted
     cells, ``NA`` ids and blank keys, imported into the whole member table."""
@@ -982,6 +1019,11 @@ def _state(spark, sf):
             "dept": td.dept(spark, sf)}
 
 
+def _whole_state(spark, sf):
+    return _state(spark, sf) | {"program": td.program(spark, sf), "facts": td.facts(spark, sf),
+                                "ledger": td.ledger(spark, sf), "audit": td.audit(spark, sf)}
+
+
 @query("snap_manifest", """
     SELECT 'bins' AS "table", count(*) AS rows FROM bin UNION ALL
     SELECT 'dept', count(*) FROM dept UNION ALL
@@ -1023,6 +1065,53 @@ def q_snap_restore_diff(spark, sf):
         F.lit("members").alias("table"), "rows", diff.agg(F.count(F.lit(1))).scalar().alias("rows_differing"))
 
 
+WHOLE_STATE_SQL = " UNION ALL ".join(
+    f"""SELECT '{name}' AS "table", count(*) AS rows FROM {view}""" for name, view in (
+        ("members", "member"), ("bins", "bin"), ("slots", "slot"), ("dept", "dept"), ("program", "program"),
+        ("facts", "facts"), ("ledger", "ledger"), ("audit", "audit")))
+
+
+@query("snap_manifest_whole", WHOLE_STATE_SQL)
+def q_snap_manifest_whole(spark, sf):
+    root = snapshot.scratch_root(spark)
+    snapshot.create(spark, root, _whole_state(spark, sf), "MANUAL_SNAPSHOT")
+    return snapshot.read_manifest(spark, root).select("table", "rows")
+
+
+@query("snap_list_whole", f"""
+    SELECT CAST(seq AS BIGINT) AS seq, "table", rows, trigger, TRUE AS exists
+    FROM ({WHOLE_STATE_SQL}) x, (VALUES (1, 'PRE_GROUP_ALLOCATION'), (2, 'PRE_VENUE_ALLOCATION')) v(seq, trigger)""")
+def q_snap_list_whole(spark, sf):
+    root = snapshot.scratch_root(spark)
+    st = _whole_state(spark, sf)
+    snapshot.create(spark, root, st, "PRE_GROUP_ALLOCATION")
+    snapshot.create(spark, root, st, "PRE_VENUE_ALLOCATION")
+    return snapshot.list_snapshots(spark, root).select("seq", "table", "rows", "trigger", "exists")
+
+
+@query("snap_verify_whole", f"""
+    SELECT "table", rows, rows AS rows_now, TRUE AS ok FROM ({WHOLE_STATE_SQL}) x""")
+def q_snap_verify_whole(spark, sf):
+    root = snapshot.scratch_root(spark)
+    return snapshot.verify(spark, root, snapshot.create(spark, root, _whole_state(spark, sf), "MANUAL_SNAPSHOT"))
+
+
+@query("snap_restore_diff_whole", f"""
+    SELECT "table", rows, CAST(0 AS BIGINT) AS rows_differing FROM ({WHOLE_STATE_SQL}) x""")
+def q_snap_restore_diff_whole(spark, sf):
+    root = snapshot.scratch_root(spark)
+    st = _whole_state(spark, sf)
+    snap = snapshot.create(spark, root, st, "PRE_GROUP_ALLOCATION")
+    changed = dict(st, members=split.split_cohorts(st["members"], fresh=True).drop("group_allocated"))
+    back = snapshot.restore(spark, root, snap, changed)
+    out = []
+    for name, orig in st.items():
+        diff = back[name].exceptAll(orig).unionByName(orig.exceptAll(back[name]))
+        out.append(back[name].agg(F.count(F.lit(1)).alias("rows")).select(
+            F.lit(name).alias("table"), "rows", diff.agg(F.count(F.lit(1))).scalar().alias("rows_differing")))
+    return reduce(DataFrame.unionByName, out)
+
+
 @query("audit_append", """
     WITH r AS (SELECT count(*) FILTER (WHERE NOT is_deleted AND status = 'Active' AND group_name IS NULL) AS n
                FROM member)
@@ -1094,14 +1183,12 @@ from seatwise.streaming import ingest as stream_ingest  # noqa: E402
 from seatwise.streaming import kpi as stream_kpi  # noqa: E402
 
 
-@query("stream_ingest_equals_batch", f"""
-    SELECT * EXCLUDE (import_id) FROM ({UPSERT_SQL}) x""")
-def q_stream_ingest(spark, sf):
+def _stream_ingest(spark, sf, batch=td.batch, target=td.upsert_target):
     import datetime
     root = snapshot.scratch_root(spark, "stream")
-    b = td.batch(spark, sf)
+    b = batch(spark, sf)
     stream_ingest.write_uploads(b, f"{root}/in", 4)
-    stream_ingest.init_store(f"{root}/store", td.upsert_target(spark, sf), td.dept(spark, sf), td.program(spark, sf))
+    stream_ingest.init_store(f"{root}/store", target(spark, sf), td.dept(spark, sf), td.program(spark, sf))
     v = stream_ingest.run_ingest(spark, f"{root}/in", "row_no long, usn string, department string, program string",
                                  f"{root}/store", f"{root}/ckpt", IMPORT_ID, BATCH_TAG,
                                  now=datetime.datetime(2024, 6, 1))
@@ -1109,6 +1196,18 @@ def q_stream_ingest(spark, sf):
     return out.select(*[c for c in UPSERT_COLS if c != "import_id"])
 
 
+@query("stream_ingest_equals_batch", f"""
+    SELECT * EXCLUDE (import_id) FROM ({UPSERT_SQL}) x""")
+def q_stream_ingest(spark, sf):
+    return _stream_ingest(spark, sf)
+
+
+@query("stream_ingest_whole", _whole(f"""
+    SELECT * EXCLUDE (import_id) FROM ({UPSERT_SQL}) x"""))
+def q_stream_ingest_whole(spark, sf):
+    return _stream_ingest(spark, sf, td.batch_whole, td.member)
+
+
 @query("stream_kpi_counts", """SELECT bin_name, count(*) AS n FROM facts GROUP BY bin_name""")
 def q_stream_kpi(spark, sf):
     root = snapshot.scratch_root(spark, "kpi")

@@ -50,6 +50,11 @@ VIEWS: dict[str, str] = {
                concat('Customer#', lpad(CAST(o_custkey AS VARCHAR), 9, '0')) AS usn,
                o_orderpriority AS department, o_orderstatus AS program
         FROM orders""",
+    "batch_whole": """
+        SELECT CAST(row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS row_no,
+               concat(CASE WHEN o_orderkey % 3 = 0 THEN 'New#' ELSE 'Customer#' END, lpad(CAST(o_custkey AS VARCHAR), 9, '0')) AS usn,
+               o_orderpriority AS department, o_orderstatus AS program
+        FROM orders""",
     "upsert_target": """
         SELECT * FROM member WHERE (id - 1) % 2 = 0""",
     "ledger": """

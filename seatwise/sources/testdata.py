@@ -96,18 +96,27 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit("Group A").alias("group_name"), F.col("ts").alias("created_at"))
 
 
-def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Upsert input: one row per order, row_no in (o_orderdate, o_orderkey) order."""
+def _batch(spark: SparkSession, sf_dir: str, prefix) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate",
                                               "o_orderpriority", "o_orderstatus")
     ranked = ordered_rank(o, [F.col("o_orderdate"), F.col("o_orderkey")])
     return ranked.select(
         (F.col("rank0") + 1).cast("long").alias("row_no"),
-        F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("usn"),
+        F.concat(prefix, F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("usn"),
         F.col("o_orderpriority").alias("department"),
         F.col("o_orderstatus").alias("program"))
 
 
+def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upsert input: one row per order, row_no in (o_orderdate, o_orderkey) order."""
+    return _batch(spark, sf_dir, F.lit("Customer#"))
+
+
+def batch_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``batch`` for the whole member table: every third order key has a usn that no member has."""
+    return _batch(spark, sf_dir, F.when(F.col("o_orderkey") % 3 == 0, "New#").otherwise("Customer#"))
+
+
 def upsert_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored members the batch is merged into: those with an even customer key."""
     return member(spark, sf_dir).where(((F.col("id") - 1) % 2) == 0)
