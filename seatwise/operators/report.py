@@ -31,15 +31,8 @@ def event_names(facts: DataFrame) -> list[str]:
     return [r["event_name"] for r in rows] or ["Venue"]
 
 
-def event_pivot(members: DataFrame, facts: DataFrame, dept: DataFrame, bins: DataFrame,
-                cohort: str | None = None, events: list[str] | None = None) -> DataFrame:
-    """One row per live member, one column per event.
-
-    Cell = venue of the member's last fact (by id) for that event, else the member's own bin,
-    else "". Everything sanitised. Without a cohort the master sheet is followed by one sheet per
-    default cohort (column ``sheet``); with a cohort, only its sheet. Report order (H5) is
-    (cohort, usn) with nulls first -- apply ``orderBy(sheet, group_name, usn)`` when writing.
-    """
+def _sheets(members: DataFrame, dept: DataFrame, bins: DataFrame, cohort: str | None):
+    """Live members of the report with department and own bin, its member columns, its sheets."""
     m = live(members)
     if cohort and cohort.strip() and cohort.strip().lower() not in ("master", "all"):
         c = cohort.strip()
@@ -47,28 +40,62 @@ def event_pivot(members: DataFrame, facts: DataFrame, dept: DataFrame, bins: Dat
         sheets = [(f"{c} Allocations"[:31], None)]
     else:
         sheets = [("Master Allocation", None), ("Group A", "Group A"), ("Group B", "Group B")]
-    events = events or event_names(facts)
-    last = (facts.groupBy("member_id").pivot("event_name", events)
-            .agg(F.max_by("bin_name", "id")))
     d = dept.select(F.col("id").alias("_did"), F.col("name").alias("_dname"))
     b = bins.select(F.col("id").alias("_bid"), F.col("name").alias("_bname"))
-    j = (m.join(d, m["department_id"] == d["_did"], "left")
-         .join(b, m["bin_id"] == b["_bid"], "left")
-         .join(last, m["id"] == last["member_id"], "left"))
-    cells = [sanitise(F.coalesce(blank_to_null(F.col(f"`{e}`")) if e in last.columns else F.lit(None),
-                                 F.col("_bname"), F.lit(""))).alias(e) for e in events]
-    rows = j.select(
+    j = m.join(d, m["department_id"] == d["_did"], "left").join(b, m["bin_id"] == b["_bid"], "left")
+    about = [
         "id", F.col("group_name").alias("_g"),
         sanitise(F.col("usn")).alias("usn"), sanitise(F.col("full_name")).alias("full_name"),
         sanitise(F.col("gender")).alias("gender"),
         sanitise(F.coalesce(F.col("_dname"), F.lit(""))).alias("department"),
-        sanitise(F.coalesce(F.col("group_name"), F.lit(""))).alias("group_name"), *cells)
+        sanitise(F.coalesce(F.col("group_name"), F.lit(""))).alias("group_name")]
+    return j, about, sheets
+
+
+def _on_sheets(rows: DataFrame, sheets) -> DataFrame:
     # every row lands on the master sheet and on its own cohort's sheet: one pass, exploded
     opts = [F.when(F.lit(True) if only is None else (F.col("_g") == only), F.lit(title)) for title, only in sheets]
     return (rows.withColumn("sheet", F.explode(F.filter(F.array(*opts), lambda x: x.isNotNull())))
             .drop("_g"))
 
 
+def event_pivot(members: DataFrame, facts: DataFrame, dept: DataFrame, bins: DataFrame,
+                cohort: str | None = None, events: list[str] | None = None) -> DataFrame:
+    """One row per live member, one column per event.
+
+    Cell = venue of the member's last fact (by id) for that event, else the member's own bin,
+    else "". Everything sanitised. Without a cohort the master sheet is followed by one sheet per
+    default cohort (column ``sheet``); with a cohort, only its sheet. Report order (H5) is
+    (cohort, usn) with nulls first -- apply ``orderBy(sheet, group_name, usn)`` when writing.
+    ``event_long`` has the same cells for any number of events.
+    """
+    j, about, sheets = _sheets(members, dept, bins, cohort)
+    events = events or event_names(facts)
+    last = (facts.groupBy("member_id").pivot("event_name", events)
+            .agg(F.max_by("bin_name", "id")))
+    j = j.join(last, j["id"] == last["member_id"], "left")
+    cells = [sanitise(F.coalesce(blank_to_null(F.col(f"`{e}`")) if e in last.columns else F.lit(None),
+                                 F.col("_bname"), F.lit(""))).alias(e) for e in events]
+    return _on_sheets(j.select(*about, *cells), sheets)
+
+
+def event_long(members: DataFrame, facts: DataFrame, dept: DataFrame, bins: DataFrame,
+               cohort: str | None = None) -> DataFrame:
+    """The cells of ``event_pivot`` as rows: one per sheet, live member and event, with its venue.
+
+    Events are joined as a table, so their number isn't bounded; without facts the event is "Venue".
+    """
+    j, about, sheets = _sheets(members, dept, bins, cohort)
+    events = facts.select("event_name").distinct()
+    if events.isEmpty():
+        events = facts.sparkSession.range(1).select(F.lit("Venue").alias("event_name"))
+    last = (facts.groupBy(F.col("member_id").alias("_m"), F.col("event_name").alias("_e"))
+            .agg(F.max_by("bin_name", "id").alias("_venue")))
+    j = j.crossJoin(events).join(last, (F.col("id") == F.col("_m")) & F.col("event_name").eqNullSafe(F.col("_e")), "left")
+    venue = sanitise(F.coalesce(blank_to_null(F.col("_venue")), F.col("_bname"), F.lit(""))).alias("venue")
+    return _on_sheets(j.select(*about, "event_name", venue), sheets)
+
+
 def flat_roster(members: DataFrame, dept: DataFrame, program: DataFrame, bins: DataFrame,
                 slots: DataFrame) -> DataFrame:
     """B1: the ten-column roster, sanitised, with its null labels; write ordered by usn."""

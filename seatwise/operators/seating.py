@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from seatwise.operators import apportion, kpi
 from seatwise.operators.rank import ordered_rank
-from seatwise.operators.util import BROADCAST_ROW_LIMIT, blank_to_null, local_frame
+from seatwise.operators.util import BROADCAST_ROW_LIMIT, blank_to_null, local_frame, strip
 
 
 class CapacityExceededError(Exception):
@@ -221,14 +221,18 @@ def seat_cohort(members: DataFrame, venues: DataFrame, cohort: str | None = None
     return out.select("id", "bin_name", "dk", "gk").withColumn("group_name", F.lit(grp))
 
 
-def event_facts(assigned: DataFrame, events: list[str]) -> DataFrame:
+def event_facts(assigned: DataFrame, events: list[str] | DataFrame) -> DataFrame:
     """The same bin for every configured event -- one fact per (member, event).
 
-    ``events`` is the short configured event list; it is exploded in place (no join).
+    ``events`` is a table with ``event_name``, joined whatever its size, or a short list, exploded
+    in place. Without events there is one, "Event 1".
     """
-    names = [e.strip() for e in events] or ["Event 1"]
-    return assigned.select(F.col("id").alias("member_id"), F.explode(F.array(*[F.lit(n) for n in names]))
-                           .alias("event_name"), F.col("bin_name"), "group_name")
+    who = [F.col("id").alias("member_id"), F.col("event_name"), F.col("bin_name"), F.col("group_name")]
+    if isinstance(events, DataFrame) and not events.isEmpty():
+        return assigned.crossJoin(events.select(strip(F.col("event_name")).alias("event_name"))).select(*who)
+    names = [e.strip() for e in events] if isinstance(events, list) else []
+    names = names or ["Event 1"]
+    return assigned.withColumn("event_name", F.explode(F.array(*[F.lit(n) for n in names]))).select(*who)
 
 
 def replace_facts(prior: DataFrame, members: DataFrame, cohort: str, new: DataFrame) -> DataFrame:

@@ -432,7 +432,6 @@ def q_balance_report(spark, sf):
 from seatwise.operators import report  # noqa: E402
 
 COHORT = "Group A"
-MAX_EVENTS = 10_000
 
 
 def _venues(spark, sf):
@@ -442,13 +441,6 @@ def _venues(spark, sf):
     return b.select((F.row_number().over(Window.orderBy("id")) - 1).cast("long").alias("ord"), "name", "capacity")
 
 
-def _events(spark, sf) -> list[str]:
-    rows = td.event_cfg(spark, sf).orderBy("first_id").limit(MAX_EVENTS + 1).collect()
-    if len(rows) > MAX_EVENTS:
-        raise ValueError("event configuration is not a short list")
-    return [r["event_name"] for r in rows]
-
-
 COHORT_SEAT_SQL = f"""
     WITH g AS (SELECT *, coalesce(department_id, 0) AS dk, coalesce(nullif(gender, ''), 'Unknown') AS gk
                FROM member WHERE NOT is_deleted AND status = 'Active' AND group_name = '{COHORT}'),
@@ -481,7 +473,7 @@ def q_seat_cohort(spark, sf):
     SELECT s.id AS member_id, e.event_name, s.bin_name, s.group_name
     FROM ({COHORT_SEAT_SQL}) s, event_cfg e""")
 def q_seat_cohort_events(spark, sf):
-    return seating.event_facts(_cohort_seats(spark, sf), _events(spark, sf))
+    return seating.event_facts(_cohort_seats(spark, sf), td.event_cfg(spark, sf))
 
 
 @query("seat_cohort_replace", f"""
@@ -491,7 +483,7 @@ def q_seat_cohort_events(spark, sf):
     SELECT s.id, e.event_name, s.bin_name, s.group_name FROM ({COHORT_SEAT_SQL}) s, event_cfg e""")
 def q_seat_cohort_replace(spark, sf):
     m = td.member(spark, sf)
-    new = seating.event_facts(_cohort_seats(spark, sf), _events(spark, sf))
+    new = seating.event_facts(_cohort_seats(spark, sf), td.event_cfg(spark, sf))
     return (seating.replace_facts(td.facts(spark, sf), m, COHORT, new)
             .select("member_id", "event_name", "bin_name", "group_name"))
 
@@ -547,6 +539,22 @@ def q_export_event_pivot_cohort(spark, sf):
     return _pivot(spark, sf, COHORT)
 
 
+@query("export_event_long", f"""
+    WITH last AS (SELECT member_id, event_name, arg_max(bin_name, id) AS venue FROM facts GROUP BY member_id, event_name),
+    ev AS (SELECT DISTINCT event_name FROM facts),
+    r AS (SELECT m.id, m.group_name AS g, {_san('m.usn')} AS usn, {_san('m.full_name')} AS full_name, {_san('m.gender')} AS gender,
+                 {_san("coalesce(d.name, '')")} AS department, {_san("coalesce(m.group_name, '')")} AS group_name, ev.event_name,
+                 {_san("coalesce(nullif(last.venue, ''), bb.name, '')")} AS venue
+          FROM member m CROSS JOIN ev LEFT JOIN dept d ON d.id = m.department_id LEFT JOIN bin bb ON bb.id = m.bin_id
+          LEFT JOIN last ON last.member_id = m.id AND last.event_name = ev.event_name
+          WHERE NOT m.is_deleted)
+    SELECT id, usn, full_name, gender, department, group_name, event_name, venue, 'Master Allocation' AS sheet FROM r
+    UNION ALL
+    SELECT id, usn, full_name, gender, department, group_name, event_name, venue, g FROM r WHERE g IN ('Group A', 'Group B')""")
+def q_export_event_long(spark, sf):
+    return report.event_long(td.member(spark, sf), td.facts(spark, sf), td.dept(spark, sf), td.bins(spark, sf))
+
+
 FLAT_SQL = f"""
     SELECT m.id, {_san('m.usn')} AS "USN", {_san("coalesce(nullif(m.student_id, ''), '')")} AS "Student ID",
            {_san('m.full_name')} AS "Full Name", {_san('m.gender')} AS "Gender",

@@ -17,6 +17,8 @@ from seatwise.operators.util import strip
 
 SUPPORTED = {".csv": "csv", ".xlsx": "spreadsheet", ".xls": "spreadsheet"}
 
+WHOLE_BYTES = 128 << 20  # of a file that is read as one row
+
 
 class ValidationError(Exception):
     """Unsupported file or unreadable content."""
@@ -106,10 +108,30 @@ def profile_files(spark: SparkSession, path: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [profile(df.select(*headers, "source_file")) for headers, df in csv_groups(spark, path)])
 
 
+def _streamed_sha256(spark: SparkSession, path: str) -> str:
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p)
+    try:
+        return jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
+
+
 def fingerprint(spark: SparkSession, path: str) -> DataFrame:
-    """A5: SHA-256 of each file's bytes (binaryFile source; one row per file)."""
+    """A5: SHA-256 of each file's bytes; one row per file, none for an empty file (binaryFile skips it).
+
+    Files up to ``WHOLE_BYTES`` are hashed by the executors, one binaryFile row each. A larger file
+    doesn't fit a row; the driver reads it as a stream, in small buffers, so its size isn't bounded.
+    """
+    whole = min(WHOLE_BYTES, int(spark.conf.get("spark.sql.sources.binaryFile.maxLength")))
     b = spark.read.format("binaryFile").load(path)
-    return b.select(F.col("path"), F.col("length"), F.sha2(F.col("content"), 256).alias("file_hash"))
+    prints = b.where(F.col("length") <= whole).select(F.col("path"), F.col("length"), F.sha2(F.col("content"), 256).alias("file_hash"))
+    large = b.where(F.col("length") > whole).select("path", "length").collect()  # an upload's large files: a short list
+    if large:
+        prints = prints.unionByName(spark.createDataFrame(
+            [(r["path"], r["length"], _streamed_sha256(spark, r["path"])) for r in large], "path string, length long, file_hash string"))
+    return prints
 
 
 def flag_reimports(prints: DataFrame, ledger: DataFrame) -> DataFrame:
