@@ -56,19 +56,19 @@ def dedup_append(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", te
 
     Texts are equal when they are after deleting white space ``[\\x20\\x09-\\x0D]``; null counts as
     empty, and empty texts equal each other. Of the rows of a text that the index lacks, that with
-    the most code points and then the smallest id stays; a text the index holds keeps its earlier
+    an id, the most code points and then the smallest id stays; a text the index holds keeps its earlier
     id and none of the batch stays. group_size counts rows of the batch. A repeated id with an equal
-    text is one document and shares the decision; null ids come last and are never kept. Other
-    columns are ignored whatever their names; an empty table gives an empty result.
+    text is one document and shares the decision; null ids come last, however
+    long their texts, are never kept and don't enter the index. Other columns are ignored whatever their names; an empty table gives an empty result.
     """
     rows, rows_path = materialise(docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("points"),
         F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("digest")), "digests")
     groups, groups_path = materialise(rows.groupBy("digest").agg(
-        F.max(F.struct("points", F.bitwise_not("doc_id").alias("x"))).alias("top"), F.count("*").alias("group_size"))
+        F.max(F.struct(F.col("doc_id").isNotNull().alias("named"), "points", F.bitwise_not("doc_id").alias("x"))).alias("top"), F.count("*").alias("group_size"))
         .select("digest", F.bitwise_not("top.x").alias("keep_id"), "group_size"), "digest-groups")
-    index.append(groups.select("digest", "keep_id"))
-    decided = groups.select("digest", "group_size").join(index.scan(), "digest")
+    index.append(groups.where("keep_id is not null").select("digest", "keep_id"))
+    decided = groups.select("digest", "group_size").join(index.scan(), "digest", "left")
     result, _ = materialise(rows.join(decided, "digest").select(
         "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256")), "digest-result")

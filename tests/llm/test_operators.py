@@ -217,6 +217,15 @@ def test_exact_dedup(spark):
     assert rows(exact.dedup_append(docs.limit(0), index)) == []
 
 
+def test_exact_dedup_keeps_a_named_copy(spark):
+    docs = spark.createDataFrame([(None, "a   b"), (7, "a b"), (8, "ab"), (5, "ab"), (None, "x y"), (None, " ")], "doc_id long, text string")
+    index = exact.fresh_index(spark)
+    got = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in rows(exact.dedup_append(docs, index))}
+    assert got == {(None, 7, 4, False), (7, 7, 4, True), (8, 7, 4, False), (5, 7, 4, False), (None, None, 1, False)}
+    later = rows(exact.dedup_append(spark.createDataFrame([(9, "xy"), (10, "ab")], "doc_id long, text string"), index))
+    assert {(r["doc_id"], r["keep_id"], r["kept"]) for r in later} == {(9, 9, True), (10, 7, False)}
+
+
 def test_chat_layouts_and_round_trip(spark):
     records = [
         (1, {"messages": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": "yo"}], "noise": {"role": 1}}),
