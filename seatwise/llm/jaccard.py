@@ -27,7 +27,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seatwise.llm import words as W
@@ -388,6 +388,17 @@ def _close_blocks(percent: int):
     return run
 
 
+def _families(entries: DataFrame, degree: DataFrame) -> DataFrame:
+    """(lead, sid): of each signature's sets the one of the highest degree, then smallest sid.
+
+    An aggregate and a join, which Spark combines before the shuffle and may split: a signature
+    can be that of a third of all rows.
+    """
+    top = (entries.join(degree, "sid").groupBy("sig")
+           .agg(F.max(F.struct("degree", (-F.col("sid")).alias("x"))).alias("top")))
+    return entries.join(top, "sig").select((-F.col("top.x")).alias("lead"), "sid").distinct()
+
+
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85,
                    block: int = 2048, broadcast_ids: int = 2_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id): components of documents linked by word-shingle Jaccard.
@@ -419,9 +430,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # each signature's lead: the set that shares most signatures, which is the hub of near copies
     degree = entries.groupBy("sid").agg(F.count("*").alias("degree"))
-    ranked = entries.join(degree, "sid").select(
-        "sid", F.max(F.struct("degree", (-F.col("sid")).alias("x"))).over(Window.partitionBy("sig")).alias("top"))
-    family = keep(ranked.select((-F.col("top.x")).alias("lead"), "sid").distinct(), "family")
+    family = keep(_families(entries, degree), "family")
     about = keep(members.join(degree.select("sid"), "sid", "left_semi")
                  .groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("sketch").alias("sketch")), "about")
 

@@ -78,6 +78,19 @@ def test_jaccard_empty_table(spark):
     assert rows(jaccard.jaccard_groups(docs_of(spark, []))) == []
 
 
+def test_jaccard_leads_without_a_window(spark):
+    rng = random.Random(4)
+    held = sorted({(rng.randrange(30), rng.randrange(1, 200)) for _ in range(900)} | {(99, k) for k in range(1, 200)})
+    entries = spark.createDataFrame([(*h, 5) for h in held + held[:50]], "sig long, sid long, size long")
+    degree = entries.groupBy("sid").count().withColumnRenamed("count", "degree")
+    n = Counter(sid for _, sid in held + held[:50])
+    leads = {g: min((sid for s, sid in held if s == g), key=lambda k: (-n[k], k)) for g, _ in held}
+    family = jaccard._families(entries, degree)
+    got = [tuple(r) for r in family.collect()]
+    assert len(got) == len(set(got)) and set(got) == {(leads[g], sid) for g, sid in held}
+    assert "Window" not in family._jdf.queryExecution().toString()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 400), st.integers(0, 60), st.integers(0, 10**6))
 def test_linked_sets_share_a_signature(size, changes, seed):
