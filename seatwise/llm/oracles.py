@@ -79,3 +79,28 @@ best AS (
 SELECT doc_id, template_id::BIGINT AS template_id, license, n_matched, n_template, n_matched / n_template AS containment, first_pos::BIGINT AS first_pos
 FROM best JOIN template USING (template_id) WHERE k = 1
 """
+
+OP11 = """
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),
+w AS (
+  SELECT r, lang, source, translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+  FROM d, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) u(t)),
+keep AS (SELECT lang, term, count(*)::HUGEINT AS n FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+lang_size AS (SELECT lang, count(*) AS v, sum(n)::HUGEINT AS n FROM keep GROUP BY lang),
+grp AS (SELECT DISTINCT lang, source FROM d),
+seen AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM w SEMI JOIN keep USING (lang, term) GROUP BY ALL),
+size AS (SELECT lang, source, coalesce(sum(seen.n), 0)::HUGEINT AS n FROM grp LEFT JOIN seen USING (lang, source) GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(s.n, 0) AS n, 1 + (1000000000 * (coalesce(s.n, 0) + 1)) // (g.n + l.v) AS p,
+    1 + (1000000000 * (k.n + 1)) // (l.n + l.v) AS q
+  FROM size g JOIN keep k USING (lang) JOIN lang_size l USING (lang) LEFT JOIN seen s ON s.lang = g.lang AND s.source = g.source AND s.term = k.term),
+pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+both_parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM both_parts)
+SELECT lang, source, part, item, value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""

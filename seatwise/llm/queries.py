@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seatwise.llm import bpe, chat, embeddings, exact, langid, licenses, oracles, packing, toxicity, warc
+from seatwise.llm import bpe, chat, divergence, embeddings, exact, langid, licenses, oracles, packing, toxicity, warc
 from seatwise.llm.jaccard import jaccard_groups
 
 
@@ -70,9 +70,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_jaccard_join, op3_near_vectors, op4_language_id, op5_exact_dedup,
-                                   op6_chat_format, op7_packing, op8_warc, op9_license_scan, op10_bpe)}
+                                   op6_chat_format, op7_packing, op8_warc, op9_license_scan, op10_bpe, op11_source_divergence)}
 
 ORACLE: dict[str, str] = {
     "op2_jaccard_join": oracles.OP2, "op3_near_vectors": oracles.OP3, "op5_exact_dedup": oracles.OP5, "op6_chat_format": oracles.OP6,
-    "op8_warc": oracles.OP8, "op9_license_scan": oracles.OP9}
+    "op8_warc": oracles.OP8, "op9_license_scan": oracles.OP9,
+    "op11_source_divergence": oracles.OP11}

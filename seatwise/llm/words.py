@@ -105,3 +105,32 @@ def blocks(column: pa.Array, limit: int = BLOCK):
         hi = min(hi, n)
         yield lo, hi, data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
         lo = hi
+
+
+def plain_words() -> np.ndarray:
+    """True for ASCII letters and every byte of a non-ASCII character."""
+    inside = np.zeros(256, dtype=bool)
+    inside[128:] = True
+    inside[[c for c in range(128) if chr(c).isalpha()]] = True
+    return inside
+
+
+def spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, first) of the words of a block: ``first[d]:first[d + 1]`` are those of text d."""
+    word = inside[data]
+    begin, finish = word.copy(), word.copy()
+    if len(data):
+        edge = np.zeros(len(data) + 1, dtype=bool)  # a text begins here
+        edge[offsets] = True
+        begin[1:] &= ~word[:-1] | edge[1:-1]
+        finish[:-1] &= ~word[1:] | edge[1:-1]
+    start = np.flatnonzero(begin)
+    return start, np.flatnonzero(finish) + 1, np.searchsorted(start, offsets)
+
+
+def gather(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.LargeStringArray:
+    """The words ``data[start:end]`` as an Arrow column."""
+    size = end - start
+    where = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    at = np.repeat(start - where[:-1], size) + np.arange(where[-1])
+    return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(where), pa.py_buffer(np.ascontiguousarray(data[at])))
