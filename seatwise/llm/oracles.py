@@ -104,3 +104,28 @@ both_parts AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM both_parts)
 SELECT lang, source, part, item, value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
 """
+
+OP12 = """
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS tab),
+d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+    xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda x, b: xor(x >> 8, tab[(xor(x, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS h
+  FROM documents, crc),
+place AS (SELECT *, len(w)::BIGINT AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d),
+plan AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM place),
+word AS (SELECT doc_id, i, w[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END] AS x FROM plan, unnest(range(n)) r(i)),
+eq AS (SELECT l.doc_id, r.i - l.i AS q, l.i FROM word l JOIN word r ON l.doc_id = r.doc_id AND l.x = r.x AND r.i > l.i),
+isle AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM eq),
+stretch AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS len FROM isle GROUP BY doc_id, q, k HAVING count(*) >= q),
+run AS (SELECT doc_id, s, len, min(q) AS q FROM stretch GROUP BY doc_id, s, len HAVING len >= 6 AND len >= 4 * min(q)),
+said AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM run GROUP BY doc_id),
+best AS (
+  SELECT r.* FROM run r WHERE NOT EXISTS (
+    SELECT 1 FROM run b WHERE b.doc_id = r.doc_id AND (b.len * r.q > r.len * b.q OR (b.len * r.q = r.len * b.q AND (b.s < r.s OR (b.s = r.s AND b.q < r.q)))))),
+gone AS (SELECT DISTINCT doc_id, i FROM run, unnest(range(s + q, s + len)) u(i)),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, b.s AS start, b.len AS length, b.q AS period, 1000 * b.len // b.q AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM d LEFT JOIN said USING (doc_id) LEFT JOIN best b USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

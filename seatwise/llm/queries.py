@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seatwise.llm import bpe, chat, divergence, embeddings, exact, langid, licenses, oracles, packing, toxicity, warc
+from seatwise.llm import bpe, chat, divergence, embeddings, exact, langid, licenses, oracles, packing, runs, toxicity, warc
 from seatwise.llm.jaccard import jaccard_groups
 
 
@@ -74,10 +74,36 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(_table(spark, sf_dir, "documents"))
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text); of a tenth of the ids, the words from some place on repeat that place's words with some period."""
+    h = F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary"))
+    g, text = F.floor(h / 10), F.col("text").cast("string")
+
+    def plant(w):
+        a = g % F.size(w)
+        p = F.lit(1) + F.floor((F.size(w) - a) / (F.lit(3) + g % 8))
+        at = F.sequence(F.lit(0).cast("long"), F.size(w).cast("long") - 1)
+        return F.when(F.size(w) == 0, "").otherwise(F.array_join(F.transform(at, lambda i: F.get(w, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " "))
+
+    words = F.array(F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))  # bound once by the transform
+    return docs.select("doc_id", F.when(h % 10 == 0, F.get(F.transform(words, plant), F.lit(0))).otherwise(text).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(with_planted_runs(_table(spark, sf_dir, "documents")), least_words=6, least_repeats=4)
+    none = F.lit(None).cast("struct<start:long,length:long,period:long>")  # the first of the greatest exponent, by products
+    best = F.aggregate("runs", none, lambda m, x: F.when(m.isNull() | (x["length"].cast("decimal(19,0)") * m["period"] > m["length"].cast("decimal(19,0)") * x["period"]), x).otherwise(m))
+    lines = F.array_join(F.transform("runs", lambda x: F.concat_ws(",", *[x[c].cast("string") for c in ("start", "length", "period")])), "\n")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("cast(best.length as decimal(19,0)) * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_jaccard_join, op3_near_vectors, op4_language_id, op5_exact_dedup,
-                                   op6_chat_format, op7_packing, op8_warc, op9_license_scan, op10_bpe, op11_source_divergence)}
+                                   op6_chat_format, op7_packing, op8_warc, op9_license_scan, op10_bpe, op11_source_divergence, op12_periodic_runs)}
 
 ORACLE: dict[str, str] = {
     "op2_jaccard_join": oracles.OP2, "op3_near_vectors": oracles.OP3, "op5_exact_dedup": oracles.OP5, "op6_chat_format": oracles.OP6,
     "op8_warc": oracles.OP8, "op9_license_scan": oracles.OP9,
-    "op11_source_divergence": oracles.OP11}
+    "op11_source_divergence": oracles.OP11, "op12_periodic_runs": oracles.OP12}
