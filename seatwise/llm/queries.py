@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seatwise.llm import bpe, chat, divergence, embeddings, exact, langid, licenses, oracles, packing, runs, toxicity, warc
+from seatwise.llm import bpe, chat, divergence, embeddings, exact, langid, licenses, oracles, packing, runs, secret_scan, toxicity, warc
 from seatwise.llm.jaccard import jaccard_groups
 
 
@@ -100,8 +100,15 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.secret_scan(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*secret_scan.BASE))
+    return found.select("doc_id", *[F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in secret_scan.BASE],
+                        F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
+
+
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_jaccard_join, op3_near_vectors, op4_language_id, op5_exact_dedup,
-                                   op6_chat_format, op7_packing, op8_warc, op9_license_scan, op10_bpe, op11_source_divergence, op12_periodic_runs)}
+                                   op6_chat_format, op7_packing, op8_warc, op9_license_scan, op10_bpe, op11_source_divergence, op12_periodic_runs, op13_secret_scan)}
 
 ORACLE: dict[str, str] = {
     "op2_jaccard_join": oracles.OP2, "op3_near_vectors": oracles.OP3, "op5_exact_dedup": oracles.OP5, "op6_chat_format": oracles.OP6,
