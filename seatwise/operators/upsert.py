@@ -7,24 +7,24 @@ the row's keys at that member. Updates overwrite usn, student_id, full_name, dep
 and set Active / not deleted / this import; program, student_number, created_at, cohort and
 placement are kept. Inserts take program and student_number from their first row.
 
-Set-based form. Rows only read and write the map entries of their own two keys, so rows interact
-only through shared keys: rows are grouped into components over shared usn or id keys (label
-propagation on the distinct (usn key, id key) pairs, not on rows). A component with a single key
-pair -- the normal case, however many rows repeat it -- resolves uniformly to
-``stored[usn key] or stored[id key] or new`` and is aggregated with ``max_by``/``min_by``
-(partial aggregation: a hot key never lands in one task). Only multi-pair components run the
-ordered fold, per component, in ``applyInPandas``.
+Set-based form: a forest over usn keys. Once a usn key has a member it keeps it, so every row has the
+member of the first row of its usn key. That first row takes the stored member of the usn key; else
+the member of the last earlier row with its id key -- another usn key, whose first row is earlier still; else
+the stored member of the id key; else it is a new member, named by its row number. So each usn key
+either knows its member or points to one earlier usn key, and the pointers are followed by doubling
+them: O(log n) joins for a chain of n keys. Rows are reduced to one per usn key (partial
+aggregation) before they meet their member, so neither a hot usn key nor a hot id key gathers rows in a task.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seatwise.functions import text as T
 from seatwise.operators import dims
-from seatwise.operators.components import connected_components
 from seatwise.operators.rank import materialise, ordered_rank
 from seatwise.operators.util import ntz_lit, strip
 
@@ -86,104 +86,85 @@ def match(clean: DataFrame, target: DataFrame) -> DataFrame:
         "matched_by", F.when(F.col("t_u").isNotNull(), "usn").when(F.col("t_i").isNotNull(), "student_id"))
 
 
-def components(pairs: DataFrame) -> DataFrame:
-    """Connected components of key pairs linked by a shared usn key or id key.
+CHUNK = 1 << 16  # rows of an id key that one window holds
+
+
+def previous_keys(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(row_no, parent): the usn key of the last earlier row with the same id key, where there is one.
 
-    ``pairs``: distinct (ukey, ikey, pid). Each pair is linked to the first pair of its usn key and
-    to that of its id key; the links are contracted in O(log n) rounds, chains of any length too.
+    An id key's rows are cut by row number into chunks; a chunk's first row looks at the last row of the
+    key's chunk before, so a key that half of the rows share is spread over the cluster.
     """
-    links = None
-    for key in ("ukey", "ikey"):
-        first = pairs.groupBy(key).agg(F.min("pid").alias("b"))
-        own = pairs.join(first, key).select(F.col("pid").alias("a"), "b")
-        links = own if links is None else links.unionByName(own)
-    found = connected_components(links)
-    return (pairs.join(found, pairs["pid"] == found["node"], "left")
-            .select("ukey", "ikey", "pid", F.coalesce("component", "pid").alias("comp")))
-
-
-FOLD_SCHEMA = "row_no long, entity long, is_new boolean"
-
-
-def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The ordered map walk for one multi-pair component (new entities named by first row_no)."""
-    umap: dict = {}
-    imap: dict = {}
-    for r in pdf.itertuples(index=False):
-        if pd.notna(r.t_u):
-            umap.setdefault(r.ukey, ("old", int(r.t_u)))
-        if pd.notna(r.t_i):
-            imap.setdefault(r.ikey, ("old", int(r.t_i)))
-    out = []
-    for r in pdf.sort_values("row_no").itertuples(index=False):
-        e = umap.get(r.ukey) or imap.get(r.ikey)
-        if e is None:
-            e = ("new", int(r.row_no))
-        umap[r.ukey] = e
-        imap[r.ikey] = e
-        out.append((int(r.row_no), e[1], e[0] == "new"))
-    return pd.DataFrame(out, columns=["row_no", "entity", "is_new"])
-
-
-def resolve_entities(matched: DataFrame) -> DataFrame:
-    """The matched batch rows plus ``entity`` (stored id, or the first row_no of a new member)
-    and ``is_new``."""
-    pairs = matched.select("ukey", "ikey").distinct()
-    # no key is shared by two pairs  <=>  #pairs = #distinct usn keys = #distinct id keys
-    c = pairs.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("ukey").alias("nu"),
-                  F.count_distinct("ikey").alias("ni")).first()
-    if c["n"] == c["nu"] == c["ni"]:
-        simple = matched
-        complex_rows = None
-    else:
-        # pairs that share a key with another pair, plus everything connected to them
-        p = ordered_rank(pairs, [F.col("ukey"), F.col("ikey")]).withColumnRenamed("rank0", "pid")
-        comp = components(p)
-        size = comp.groupBy("comp").agg(F.count(F.lit(1)).alias("_np"))
-        comp = comp.join(size, "comp")
-        m = matched.join(comp.select("ukey", "ikey", "comp", "_np"), ["ukey", "ikey"])
-        simple = m.where(F.col("_np") == 1).drop("comp", "_np")
-        complex_rows = m.where(F.col("_np") > 1)
-    # single-pair components: every row of a pair resolves to the same member
-    first = simple.groupBy("ukey", "ikey").agg(F.min("row_no").alias("_first"))
-    s = (simple.join(first, ["ukey", "ikey"])
-         .withColumn("is_new", F.col("matched_id").isNull())
-         .withColumn("entity", F.coalesce(F.col("matched_id"), F.col("_first")).cast("long"))
-         .drop("_first"))
-    if complex_rows is None:
-        return s
-    folded = (complex_rows.select("comp", "row_no", "ukey", "ikey", "t_u", "t_i")
-              .groupBy("comp").applyInPandas(_fold, FOLD_SCHEMA))
-    return s.unionByName(complex_rows.drop("comp", "_np").join(folded, "row_no"))
+    cut = rows.withColumn("_chunk", F.floor(F.col("row_no") / chunk))
+    last = cut.groupBy("ikey", "_chunk").agg(F.max_by("ukey", "row_no").alias("_last"))
+    last = last.withColumn("_before", F.lag("_last").over(Window.partitionBy("ikey").orderBy("_chunk"))).drop("_last")
+    near = cut.withColumn("_near", F.lag("ukey").over(Window.partitionBy("ikey", "_chunk").orderBy("row_no")))
+    return (near.join(last, ["ikey", "_chunk"]).select("row_no", F.coalesce("_near", "_before").alias("parent"))
+            .where(F.col("parent").isNotNull()))
+
+
+def _follow(nodes: DataFrame) -> DataFrame:
+    """(ukey, entity, is_new) of (ukey, parent, entity, is_new), where a row without ``entity`` has its parent's."""
+    keep = ["ukey", "entity", "is_new"]
+    done, open_ = [nodes.where("entity is not null").select(keep)], nodes.where("entity is null").select("ukey", "parent")
+    while not open_.isEmpty():
+        known = [d.select(F.col("ukey").alias("parent"), F.lit(None).cast("string").alias("up"), "entity", "is_new") for d in done]
+        above = open_.select(F.col("ukey").alias("parent"), F.col("parent").alias("up"), F.lit(None).cast("long").alias("entity"),
+                             F.lit(None).cast("boolean").alias("is_new"))
+        hop = materialise(open_.join(reduce(DataFrame.unionByName, known, above), "parent").select("ukey", F.col("up").alias("parent"), "entity", "is_new"),
+                          "upsert-hop")
+        done.append(hop.where("entity is not null").select(keep))
+        open_ = hop.where("entity is null").select("ukey", "parent")
+    return reduce(DataFrame.unionByName, done)
+
+
+def resolve_keys(clean: DataFrame, target: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(ukey, entity, is_new) of every usn key of the cleaned batch: ``entity`` is a stored id, or
+    the row number that names a new member."""
+    u, i = stored_keys(target)
+    nodes = (clean.groupBy("ukey").agg(F.min("row_no").alias("first"), F.min_by("ikey", "row_no").alias("ikey"))
+             .join(u, "ukey", "left"))
+    shared = materialise(clean.groupBy("ikey").agg(F.min("ukey").alias("a"), F.max("ukey").alias("b")).where("a <> b").select("ikey"), "upsert-shared")
+    fresh = F.coalesce("t_i", "first").cast("long").alias("entity"), F.col("t_i").isNull().alias("is_new")
+    if shared.isEmpty():  # no id key joins two usn keys: every key stands alone
+        return nodes.join(i, "ikey", "left").select(
+            "ukey", F.coalesce("t_u", fresh[0]).alias("entity"), (F.col("t_u").isNull() & fresh[1]).alias("is_new"))
+    rows = clean.select("row_no", "ukey", "ikey").join(shared, "ikey", "left_semi")
+    linked = materialise(nodes.join(previous_keys(rows, chunk).withColumnRenamed("row_no", "first"), "first", "left"), "upsert-nodes")
+    none = F.lit(None).cast("string").alias("parent")
+    known = linked.where("t_u is not null").select("ukey", none, F.col("t_u").cast("long").alias("entity"), F.lit(False).alias("is_new"))
+    child = linked.where("t_u is null and parent is not null").select("ukey", "parent", F.lit(None).cast("long").alias("entity"), F.lit(None).cast("boolean").alias("is_new"))
+    # without an earlier row a node has its id key for itself
+    root = linked.where("t_u is null and parent is null").join(i, "ikey", "left").select("ukey", none, *fresh)
+    return _follow(materialise(known.unionByName(child).unionByName(root), "upsert-forest"))
 
 
 def upsert(batch: DataFrame, target: DataFrame, dept: DataFrame, program: DataFrame, import_id: int,
            now=None, batch_tag: str = "0") -> dict[str, DataFrame]:
     """Returns {"members": member table after the import, "new_dept", "new_program",
-    "rows": per-row resolution, "ledger": one-row counts}."""
+    "keys": the member of every usn key, "ledger": one-row counts}."""
     now = ntz_lit(now) if now is not None else F.localtimestamp()
     # cleaned once and written: every later branch reads columns, not the cleaning expressions
     clean = materialise(clean_batch(batch, batch_tag), "upsert-clean")
     dmap, new_dept = dims.spelling_map(clean.select("row_no", F.col("department").alias("name")), dept)
     pmap, new_prog = dims.spelling_map(clean.select("row_no", F.col("program").alias("name")), program)
-    ent = resolve_entities(match(clean, target))
+    keys = resolve_keys(clean, target)
     # spelling -> id maps hold one row per distinct spelling (AQE broadcasts them)
     dmap = dmap.select(F.col("_s_name").alias("_dn"), F.col("dim_id").alias("department_id"))
     pmap = pmap.select(F.col("_s_name").alias("_pn"), F.col("dim_id").alias("program_id"))
-    rows = (ent.join(dmap, ent["department"].eqNullSafe(dmap["_dn"]))
-            .join(pmap, ent["program"].eqNullSafe(pmap["_pn"])).drop("_dn", "_pn"))
-    per = rows.groupBy("entity", "is_new").agg(
-        F.max_by("usn", "row_no").alias("usn"), F.max_by("student_id", "row_no").alias("student_id"),
-        F.max_by("full_name", "row_no").alias("full_name"),
-        F.max_by("department_id", "row_no").alias("department_id"),
-        F.max_by("gender", "row_no").alias("gender"),
-        F.min_by("program_id", "row_no").alias("program_id"),
-        F.min_by("student_number", "row_no").alias("student_number"),
-        F.min("row_no").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    named = (clean.join(dmap, clean["department"].eqNullSafe(dmap["_dn"]))
+             .join(pmap, clean["program"].eqNullSafe(pmap["_pn"])).drop("_dn", "_pn"))
+    over = ("usn", "student_id", "full_name", "department_id", "gender")
+    once = ("program_id", "student_number")
+    by_key = named.groupBy("ukey").agg(
+        *[F.max_by(c, "row_no").alias(c) for c in over], *[F.min_by(c, "row_no").alias(c) for c in once],
+        F.min("row_no").alias("_first"), F.max("row_no").alias("_last"), F.count(F.lit(1)).alias("_rows"))
+    per = by_key.join(keys, "ukey").groupBy("entity", "is_new").agg(
+        *[F.max_by(c, "_last").alias(c) for c in over], *[F.min_by(c, "_first").alias(c) for c in once],
+        F.min("_first").alias("_first"), F.sum("_rows").alias("_rows"))
     # one row per member touched; written once so the update and insert branches (and the
     # insert numbering's sample + write) read it instead of re-running the whole resolution
     per = materialise(per, "upsert-entities")
-    over = ("usn", "student_id", "full_name", "department_id", "gender")
     upd = (per.where(~F.col("is_new"))
            .select(F.col("entity").alias("id"), *[F.col(c).alias(f"_n_{c}") for c in over])
            .withColumn("_hit", F.lit(True)))
@@ -219,4 +200,4 @@ def upsert(batch: DataFrame, target: DataFrame, dept: DataFrame, program: DataFr
     ledger = ledger.select("total_rows", "new_records",
                            (F.col("total_rows") - F.col("new_records")).alias("updated_records"),
                            F.lit(0).cast("long").alias("duplicate_records"))
-    return {"members": members, "new_dept": new_dept, "new_program": new_prog, "rows": rows, "ledger": ledger}
+    return {"members": members, "new_dept": new_dept, "new_program": new_prog, "keys": keys, "ledger": ledger}

@@ -94,7 +94,7 @@ def test_upsert_resolution_matches_sequential(spark):
     target = spark.createDataFrame([(s["id"], s["usn"], s["student_id"]) for s in stored],
                                    "id long, usn string, student_id string")
     ent = {r["row_no"]: ("new" if r["is_new"] else "old", r["entity"])
-           for r in upsert.resolve_entities(upsert.match(clean, target)).collect()}
+           for r in clean.join(upsert.resolve_keys(clean, target), "ukey").collect()}
     model = _seq_upsert([{"row_no": k, "usn": v["usn"], "sid": v["student_id"]} for k, v in cl.items()], stored)
     assert ent == model
 

@@ -49,11 +49,6 @@ def test_search_takes_a_backslash_as_it_is(spark):
     assert [r["usn"] for r in roster.search(m, "A\\b").collect()] == ["a\\b"]
 
 
-def test_key_chain_of_any_length(spark):
-    pairs = spark.range(300).selectExpr("concat('u', id div 2) ukey", "concat('i', (id + 1) div 2) ikey", "id pid")
-    assert {r["comp"] for r in upsert.components(pairs).collect()} == {0}
-
-
 def test_replaced_facts_feed_the_pivot(spark):
     m, prior = td.member(spark, SF001), td.facts(spark, SF001)
     new = seating.event_facts(m.where("group_name = 'Group A' and not is_deleted").selectExpr("id", "'Hall X' bin_name", "group_name"), ["E1", "E2"])
