@@ -110,12 +110,27 @@ def test_query_on_the_table_and_edges(spark):
     assert len(dict(got)[3]) == 2 and len(dict(got)[6]) == 2
     assert S.secret_scan(spark.createDataFrame([], SCHEMA)).collect() == []
 
+
+@pytest.mark.parametrize("planted", [False, True])
+def test_query_matches_brute_force(spark, tmp_path, planted):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    out = QUERIES["op13_secret_scan"](spark, SF).collect()
+    keys = {}
+    if planted:  # keys and base kinds inside the table's texts
+        rng = random.Random(4)
+        for k, x in docs.items():
+            at, key = rng.randrange(len(x or "") + 1), rng.choice([jwt(), lines(EC, 999), "é"])
+            near = rng.choice(["token = 'abcdef'", "AKIA" + "Z" * 16, " ", "0a" * 12 + " password:12345"])
+            docs[k] = f"{(x or '')[:at]} {key} {near} {(x or '')[at:]}"
+            keys[k] = [(kind, at + 1, at + 1 + len(key)) for kind, y in (("jwt", jwt()), ("ec", lines(EC, 999))) if y == key]
+    spark.createDataFrame([(k, x, "r", 1, "k", 2) for k, x in docs.items()], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    out = QUERIES["op13_secret_scan"](spark, str(tmp_path)).collect()
     assert sorted(r["doc_id"] for r in out) == sorted(docs)
+    total = 0
     for r in out:
         base = base_truth(docs[r["doc_id"]] or "")
-        said = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        every = sorted(base + keys.get(r["doc_id"], []), key=lambda s: (s[1], S.KINDS.index(s[0])))
+        total += len(base)
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(s[0] == k for s in base) for k in S.BASE)
-        assert r["base_sha256"] == hashlib.sha256(said.encode()).hexdigest()
-        assert r["spans"] == said  # no keys in these texts
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        assert r["spans"] == ",".join(f"{k}:{a}:{b}" for k, a, b in every)
+    assert bool(total) is planted
