@@ -22,9 +22,9 @@ def read_batch(spark: SparkSession, path: str) -> DataFrame:
     Only header lines pass the driver; a column that a file lacks is null.
     """
     files.check_kind(path)
-    groups = files.csv_groups(spark, path)
+    groups = files.roster_groups(spark, path)
     if not groups:
-        raise files.ValidationError(f"no CSV file in {path}")
+        raise files.ValidationError(f"no roster file in {path}")
     headers = local_frame(spark, [(str(g), p, h) for g, (hs, _) in enumerate(groups) for p, h in enumerate(hs)],
                           "file string, pos long, header string")
     chosen: dict[int, dict[str, str]] = {}
@@ -33,9 +33,7 @@ def read_batch(spark: SparkSession, path: str) -> DataFrame:
     parts = []
     for g, (_, df) in enumerate(groups):
         names = chosen.get(g, {})
-        # one file is one task's input, so ids grow along each file
-        kept = df.select(*[F.col(f"`{h}`") for h in names], "source_file", F.monotonically_increasing_id().alias("_line"))
-        parts.append(apply_mapping(kept, names))
+        parts.append(apply_mapping(df.select(*[F.col(f"`{h}`") for h in names], "source_file", "_line"), names))
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     ranked = ordered_rank(rows, [F.col("source_file"), F.col("_line")])
     return ranked.withColumn("row_no", (F.col("rank0") + 1).cast("long")).drop("rank0", "source_file", "_line")
@@ -43,7 +41,7 @@ def read_batch(spark: SparkSession, path: str) -> DataFrame:
 
 def import_files(spark: SparkSession, path: str, target: DataFrame, dept: DataFrame, program: DataFrame,
                  ledger: DataFrame, import_id: int, now, batch_tag: str = "0") -> dict[str, DataFrame]:
-    """Import an upload (one CSV file or a folder of them) into the member table.
+    """Import an upload (one CSV file or workbook, or a folder of them) into the member table.
 
     Returns what ``upsert`` returns, with "ledger" the ledger plus this import's row (id, name,
     hash, counts, time) and "audit" the audit row. The hash of a folder is that of its files' sorted
@@ -53,7 +51,7 @@ def import_files(spark: SparkSession, path: str, target: DataFrame, dept: DataFr
         raise ValueError(f"import {import_id} is already in the ledger")
     out = upsert(read_batch(spark, path), target, dept, program, import_id, now=now, batch_tag=batch_tag)
     prints = F.sort_array(F.collect_list("file_hash"))
-    hashed = files.fingerprint(spark, path).where(files.suffix(F.col("path")) == ".csv").agg(
+    hashed = files.fingerprint(spark, path).where(files.suffix(F.col("path")).isin(".csv", ".xlsx")).agg(
         F.when(F.size(prints) == 1, prints[0]).otherwise(F.sha2(F.array_join(prints, "\n"), 256)).alias("h"))
     done = out["ledger"].select(
         F.lit(import_id).cast("long").alias("id"), F.lit(path.rstrip("/").rsplit("/", 1)[-1]).alias("file_name"),

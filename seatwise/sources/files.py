@@ -1,19 +1,26 @@
-"""File sources: roster CSV read (A1), dispatch by suffix (A3), profile (A4), fingerprint (A5).
+"""File sources: roster files (A1 CSV, A2 workbooks), dispatch by suffix (A3), profile (A4), fingerprint (A5).
 
-Spreadsheets (A2) need a reader that is not installed here; ``read_rosters`` raises a clear error
-for them instead of guessing. All readers keep every column as string (fix of Q1: no numeric
-inference that would turn ids into floats).
+All readers keep every column as string (fix of Q1: no numeric inference that would turn ids into
+floats). CSV files are read by byte range (``records``), workbooks a file a task (``workbook``); the old
+binary ``.xls`` raises a clear error.
 """
 
 from __future__ import annotations
 
+import csv
+import hashlib
+import io
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seatwise.functions import text
+from seatwise.operators.rank import materialise
 from seatwise.operators.util import strip
+from seatwise.sources.records import csv_records
+from seatwise.sources.workbook import workbook_rows
 
 SUPPORTED = {".csv": "csv", ".xlsx": "spreadsheet", ".xls": "spreadsheet"}
 
@@ -42,43 +49,76 @@ def dispatch(files: DataFrame, path_col: str = "path") -> DataFrame:
     return files.withColumn("suffix", sfx).withColumn("kind", kind)
 
 
-def _csv(spark: SparkSession):
-    # cells may hold doubled quotes and line breaks
-    return (spark.read.option("header", True).option("inferSchema", False).option("mode", "FAILFAST")
-            .option("quote", '"').option("escape", '"').option("multiLine", True))
+def _safe_headers(cells: list[str]) -> list[str]:
+    """Header cells, stripped (fix of Q13); an empty one is named by its place, and repeated ones get their place."""
+    names = [c.strip() for c in cells]
+    low = [n.lower() for n in names]
+    return [f"_c{k}" if not n else f"{n}{k}" if low.count(n.lower()) > 1 else n for k, n in enumerate(names)]
 
 
-def csv_groups(spark: SparkSession, path: str) -> list[tuple[list[str], DataFrame]]:
-    """CSV files of a path grouped by their own header line: (headers, rows with ``source_file``
-    and the columns of partition folders).
+def _grouped(rows: DataFrame, header_of, parse) -> list[tuple[list[str], DataFrame]]:
+    """Rows (file, line, ...) of files grouped by their first row: (headers, cells, folders, source_file, ``_line``).
 
-    Each file's header is read from that file, so files of a folder may order columns as they
-    like; files of other kinds are left out. The list of uploaded files is small by nature.
+    Only distinct header rows reach the driver. ``header_of`` is the column that holds a row's header, ``parse`` turns it into names
+    and ``rows`` into an array of that many cells.
     """
-    found = spark.read.format("binaryFile").load(path).select("path")
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for r in found.where(suffix(F.col("path")) == ".csv").orderBy("path").toLocalIterator():
-        groups.setdefault(tuple(_csv(spark).csv(r["path"]).columns), []).append(r["path"])
+    first = materialise(rows.groupBy("file").agg(F.min_by(header_of, "line").alias("_header"), F.min("line").alias("_first")), "headers")
     out = []
-    for headers, paths in groups.items():
-        reader = _csv(spark) if suffix_of(path) else _csv(spark).option("basePath", path)
-        df = reader.csv(paths)
-        cells = [text.cell(F.col(f"`{c}`")).alias(c.strip()) for c in headers]
-        folders = [F.col(f"`{c}`") for c in df.columns if c not in headers]
-        out.append(([c.strip() for c in headers], df.select(*cells, *folders, F.input_file_name().alias("source_file"))))
+    for r in first.select("_header").distinct().orderBy("_header").collect():
+        headers, body = parse(r["_header"])
+        own = first.where(F.col("_header") == F.lit(r["_header"])).select("file", "_first")
+        df = rows.join(own, "file").where(F.col("line") > F.col("_first"))
+        cells = [text.cell(c).alias(h) for h, c in zip(headers, body, strict=True)]
+        folders = [F.col(f"folders.`{f.name}`") for f in rows.schema["folders"].dataType.fields if f.name != "_none" and f.name not in headers]
+        out.append((headers, df.select(*cells, *folders, F.col("file").alias("source_file"), F.col("line").alias("_line"))))
     return out
 
 
+def csv_groups(spark: SparkSession, path: str) -> list[tuple[list[str], DataFrame]]:
+    """CSV files of a path grouped by their own header line: (headers, rows with the columns of
+    partition folders, ``source_file`` and ``_line``, which grows along a file).
+
+    Files of a folder may order columns as they like; files of other kinds are left out. A record with too few or too many cells
+    is an error.
+    """
+    def parse(header):
+        names = _safe_headers(next(csv.reader(io.StringIO(header.lstrip("\ufeff")))))
+        schema = ", ".join(f"c{k} string" for k in range(len(names)))
+        record = F.from_csv("text", schema, {"quote": '"', "escape": '"', "mode": "FAILFAST"})
+        return names, [record[f"c{k}"] for k in range(len(names))]
+
+    return _grouped(csv_records(spark, path, not suffix_of(path)), F.col("text"), parse)
+
+
+def workbook_groups(spark: SparkSession, path: str) -> list[tuple[list[str], DataFrame]]:
+    """``csv_groups`` of the first sheets of the ``.xlsx`` files of a path; rows without a cell are no rows."""
+    def parse(header):
+        names = _safe_headers([x or "" for x in header])
+        return names, [F.get("cells", F.lit(k)) for k in range(len(names))]
+
+    rows = materialise(workbook_rows(spark, path), "workbook-rows").withColumn("folders", F.struct(F.lit(None).cast("string").alias("_none")))
+    return _grouped(rows, F.col("cells"), parse)
+
+
+def roster_groups(spark: SparkSession, path: str) -> list[tuple[list[str], DataFrame]]:
+    """Groups of all readable files of a path, CSV files first."""
+    kind = suffix_of(path)
+    return (csv_groups(spark, path) if kind in ("", ".csv") else []) + (workbook_groups(spark, path) if kind in ("", ".xlsx") else [])
+
+
+def _together(groups: list[tuple[list[str], DataFrame]], path: str) -> DataFrame:
+    if not groups:
+        raise ValidationError(f"no roster file in {path}")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.drop("_line") for _, df in groups])
+
+
 def read_csv_rosters(spark: SparkSession, path: str) -> DataFrame:
     """A1: CSV files with a header line, every column a string, plus the source file name.
 
     Columns are matched by name, not by place; a column that a file lacks is null there. Header
     cells are stripped (fix of Q13). Cells that mean missing (``NA``, ``NULL``, ...) read as null.
     """
-    parts = [df for _, df in csv_groups(spark, path)]
-    if not parts:
-        raise ValidationError(f"no CSV file in {path}")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return _together(csv_groups(spark, path), path)
 
 
 def check_kind(path: str) -> None:
@@ -86,14 +126,14 @@ def check_kind(path: str) -> None:
     sfx = suffix_of(path)
     if sfx and sfx not in SUPPORTED:
         raise ValidationError(f"cannot read files of kind {sfx}")
-    if SUPPORTED.get(sfx) == "spreadsheet":
-        raise ValidationError("spreadsheet reading needs a spreadsheet engine that is not installed")
+    if sfx == ".xls":
+        raise ValidationError("the binary .xls format is not readable; save the file as .xlsx or .csv")
 
 
 def read_rosters(spark: SparkSession, path: str) -> DataFrame:
-    """A1-A3: read a roster file or folder; only CSV is readable in this build."""
+    """A1-A3: read a roster file, CSV or workbook, or a folder of them; cells read alike from both."""
     check_kind(path)
-    return read_csv_rosters(spark, path)
+    return _together(roster_groups(spark, path), path)
 
 
 def profile(df: DataFrame, file_col: str = "source_file") -> DataFrame:
@@ -105,32 +145,64 @@ def profile(df: DataFrame, file_col: str = "source_file") -> DataFrame:
 
 def profile_files(spark: SparkSession, path: str) -> DataFrame:
     """A4 over a path: (source_file, n_rows, headers), each file with its own headers."""
-    return reduce(DataFrame.unionByName, [profile(df.select(*headers, "source_file")) for headers, df in csv_groups(spark, path)])
+    return reduce(DataFrame.unionByName, [profile(df.select(*headers, "source_file")) for headers, df in roster_groups(spark, path)])
 
 
-def _streamed_sha256(spark: SparkSession, path: str) -> str:
+def _digests(batches):
+    """(path, size, line) in order of path and place -> (path, size, digest); the last line may lack its end."""
+    path, size, seen, digest = None, 0, 0, None
+    out = []
+    for batch in batches:
+        for now, total, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if now != path:
+                if path is not None:
+                    out.append((path, size, digest.hexdigest()))
+                path, size, seen, digest = now, total, 0, hashlib.sha256()
+            part = line.as_buffer()
+            digest.update(part)
+            seen += len(part) + 1
+            if seen <= size:
+                digest.update(b"\n")
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["path", "length", "file_hash"])
+            out = []
+    if path is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (path, size, digest.hexdigest())], ["path", "length", "file_hash"])
+
+
+def _listed(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(path, length) of the files of a path, empty ones too: names alone."""
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p)
-    try:
-        return jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
-    finally:
-        stream.close()
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(p, True)
+    out = []
+    while found.hasNext():
+        f = found.next()
+        if not any(x.startswith(("_", ".")) and "=" not in x for x in f.getPath().toUri().getPath()[len(p.toUri().getPath()):].split("/") if x):
+            out.append((f.getPath().toString(), f.getLen()))
+    return out
 
 
-def fingerprint(spark: SparkSession, path: str) -> DataFrame:
-    """A5: SHA-256 of each file's bytes; one row per file, none for an empty file (binaryFile skips it).
+def fingerprint(spark: SparkSession, path: str, whole: int | None = None) -> DataFrame:
+    """A5: SHA-256 of each file's bytes, one row per file: (path, length, file_hash).
 
-    Files up to ``WHOLE_BYTES`` are hashed by the executors, one binaryFile row each. A larger file
-    doesn't fit a row; the driver reads it as a stream, in small buffers, so its size isn't bounded.
+    The driver lists names only. Files up to ``WHOLE_BYTES`` are hashed as one binaryFile row each; a larger one
+    doesn't fit a row: its lines, as bytes, are sorted into one stream, which Spark may spill, so that a task's memory doesn't grow with the file.
     """
-    whole = min(WHOLE_BYTES, int(spark.conf.get("spark.sql.sources.binaryFile.maxLength")))
-    b = spark.read.format("binaryFile").load(path)
-    prints = b.where(F.col("length") <= whole).select(F.col("path"), F.col("length"), F.sha2(F.col("content"), 256).alias("file_hash"))
-    large = b.where(F.col("length") > whole).select("path", "length").collect()  # an upload's large files: a short list
+    whole = min(WHOLE_BYTES if whole is None else whole, int(spark.conf.get("spark.sql.sources.binaryFile.maxLength")))
+    listed = _listed(spark, path)
+    b = spark.read.format("binaryFile").load(path).where(F.col("length").between(1, whole))
+    prints = b.select("path", "length", F.sha2(F.col("content"), 256).alias("file_hash"))
+    empty = [(p, 0, hashlib.sha256(b"").hexdigest()) for p, n in listed if not n]
+    if empty:
+        prints = prints.unionByName(spark.createDataFrame(empty, "path string, length long, file_hash string"))
+    large = [p for p, n in listed if n > whole]
     if large:
-        prints = prints.unionByName(spark.createDataFrame(
-            [(r["path"], r["length"], _streamed_sha256(spark, r["path"])) for r in large], "path string, length long, file_hash string"))
+        lines = spark.read.option("lineSep", "\n").text(large)
+        placed = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("line"),
+                              F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+        streams = placed.repartition("path").sortWithinPartitions("path", "block", "at").select("path", "size", "line")
+        prints = prints.unionByName(streams.mapInArrow(_digests, "path string, length long, file_hash string"))
     return prints
 
 

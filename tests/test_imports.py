@@ -45,4 +45,4 @@ def test_one_file_keeps_its_own_hash_and_an_id_is_used_once(spark, tmpdir_fresh)
     with pytest.raises(ValueError):
         imports.import_files(spark, path, out["members"], out["new_dept"], out["new_program"], out["ledger"], 9, NOW)
     with pytest.raises(files.ValidationError):
-        imports.read_batch(spark, f"{tmpdir_fresh}/one.xlsx")
+        imports.read_batch(spark, f"{tmpdir_fresh}/one.xls")
