@@ -615,7 +615,7 @@ def q_sanitise_cells(spark, sf):
 # --------------------------------------------------------------------------------------- ingest
 from seatwise.functions import text as T  # noqa: E402
 from seatwise.operators import dims, imports, mapping, upsert  # noqa: E402
-from seatwise.sources import files  # noqa: E402
+from seatwise.sources import files, workbook  # noqa: E402
 
 IMPORT_ID = 1_000_000  # id of the import run in the ledger
 BATCH_TAG = "0042"
@@ -635,13 +635,13 @@ def _duck_code(x: str) -> str:
 
 
 def _header_rows(spark, sf):
-    """Headers of many 'files' derived from the part table: six headers per file."""
+    """Headers of many 'files' derived from the part table, six a file: names that hit a field exactly, nearly, at exactly
+    80 or not at all, blank ones and part names; picked by key and size, so that names repeat and fields are used up."""
     p = td.table(spark, sf, "part")
-    k = F.col("p_partkey") % 4
-    h = (F.when(k == 0, F.col("p_name")).when(k == 1, F.concat(F.col("p_type"), F.lit(" / "), F.col("p_brand")))
-         .when(k == 2, F.upper(F.col("p_name"))).otherwise(F.concat(F.col("p_name"), F.lit(" No."))))
+    pick = (F.col("p_partkey") * 7 + F.col("p_size")) % len(td.HEADER_NAMES)
+    names = F.array(*[F.lit(h) for h in td.HEADER_NAMES])
     return p.select(F.concat(F.lit("file_"), (F.col("p_partkey") / 6).cast("long").cast("string")).alias("file"),
-                    (F.col("p_partkey") % 6).cast("long").alias("pos"), h.alias("header"))
+                    (F.col("p_partkey") % 6).cast("long").alias("pos"), F.coalesce(F.get(names, pick.cast("int")), F.col("p_name")).alias("header"))
 
 
 @query("map_normalise", """
@@ -673,11 +673,13 @@ def q_map_unmapped(spark, sf):
     return mapping.unmapped(h, mapping.map_headers(h))
 
 
-@query("map_missing_required", """
-    SELECT CAST(NULL AS VARCHAR) AS file, CAST(NULL AS VARCHAR) AS label WHERE FALSE""")
+REQUIRED = [(f, label, f in ("usn", "full_name", "department"), aliases) for f, label, _r, aliases in mapping.FIELDS]
+
+
+@query("map_missing_required")
 def q_map_missing_required(spark, sf):
     h = _header_rows(spark, sf)
-    return mapping.missing_required(mapping.map_headers(h), h.select("file").distinct())
+    return mapping.missing_required(mapping.map_headers(h, REQUIRED), h.select("file").distinct(), REQUIRED)
 
 
 CLEAN_SQL = f"""
@@ -695,9 +697,24 @@ CLEAN_SQL = f"""
           FROM batch) b"""
 
 
-@query("import_clean", CLEAN_SQL)
+@query("import_clean", f"""
+    WITH c AS (SELECT row_no, {", ".join(f"CASE WHEN {c} NOT IN ({', '.join(repr(x) for x in T.READER_MISSING)}) THEN {c} END AS {c}" for c in ("usn", "student_id", "full_name", "department", "program", "gender", "student_number"))}
+               FROM messy),
+    t AS (SELECT row_no, coalesce({_duck_strip('usn')}, '') AS u0, coalesce({_duck_strip('student_id')}, '') AS s0, coalesce({_duck_strip('full_name')}, '') AS n0,
+                      coalesce({_duck_strip('department')}, '') AS d0, program, gender, {_duck_strip('student_number')} AS student_number FROM c),
+    f AS (SELECT *, CASE WHEN u0 = '' THEN s0 ELSE u0 END AS u1, CASE WHEN s0 = '' THEN u0 ELSE s0 END AS s1 FROM t),
+    k AS (SELECT *, u1 = '' OR lower(u1) IN ('nan', 'none', 'null') AS lost, printf('STU_%s_%04d', '{BATCH_TAG}', row_no) AS made FROM f)
+    SELECT row_no, CASE WHEN lost THEN made ELSE u1 END AS usn, CASE WHEN lost THEN made ELSE s1 END AS student_id,
+           CASE WHEN n0 = '' OR lower(n0) IN ('nan', 'none', 'null') THEN CASE WHEN lost THEN made ELSE u1 END ELSE n0 END AS full_name,
+           CASE WHEN d0 = '' OR lower(d0) IN ('nan', 'none', 'null') THEN 'General' ELSE d0 END AS department,
+           CASE WHEN program IS NULL THEN 'B.Tech' ELSE {_duck_strip('program')} END AS program,
+           CASE WHEN lower({_duck_strip('gender')}) IN ('m', 'male', 'boy', 'man') THEN 'Male'
+                WHEN lower({_duck_strip('gender')}) IN ('f', 'female', 'girl', 'woman') THEN 'Female'
+                WHEN lower({_duck_strip('gender')}) IN ('o', 'other') THEN 'Other' ELSE 'Unknown' END AS gender, student_number,
+           upper(CASE WHEN lost THEN made ELSE u1 END) AS ukey, upper(CASE WHEN lost THEN made ELSE s1 END) AS ikey
+    FROM k""")
 def q_import_clean(spark, sf):
-    return upsert.clean_batch(td.batch(spark, sf), BATCH_TAG)
+    return upsert.clean_batch(td.messy(spark, sf), BATCH_TAG)
 
 
 @query("canon_category", """
@@ -751,8 +768,8 @@ def q_dim_resolve_new(spark, sf):
     return new
 
 
-def _incoming_bins(spark, sf, every=3):
-    s = td.table(spark, sf, "supplier").where(F.col("s_suppkey") % every == 0)
+def _incoming_bins(spark, sf):
+    s = td.table(spark, sf, "supplier")
     name = F.when(F.col("s_suppkey") % 2 == 0, F.lower(F.col("s_name"))).otherwise(
         F.concat(F.col("s_name"), F.lit(" Annex ")))
     return s.select(F.col("s_suppkey").alias("row_no"), name.alias("name"),
@@ -760,27 +777,7 @@ def _incoming_bins(spark, sf, every=3):
                     F.concat(F.lit("Block "), (F.col("s_nationkey") % 4).cast("string")).alias("location"))
 
 
-@query("dim_upsert_bins", f"""
-    WITH inc AS (SELECT s_suppkey AS row_no,
-                        CASE WHEN s_suppkey % 2 = 0 THEN lower(s_name) ELSE concat(s_name, ' Annex ') END AS name,
-                        CAST(2 + s_suppkey % 4 AS BIGINT) AS capacity,
-                        concat('Block ', CAST(s_nationkey % 4 AS VARCHAR)) AS location
-                 FROM supplier WHERE s_suppkey % 3 = 0),
-    a AS (SELECT lower({_duck_strip('name')}) AS k, arg_min({_duck_strip('name')}, row_no) AS nm,
-                 arg_max(capacity, row_no) AS cap, arg_min(location, row_no) AS loc, min(row_no) AS first
-          FROM inc GROUP BY 1),
-    ex AS (SELECT lower(name) AS k, min(id) AS eid FROM bin GROUP BY 1),
-    am AS (SELECT a.*, ex.eid FROM a LEFT JOIN ex USING (k))
-    SELECT b.id, b.name, CAST(coalesce(am.cap, b.capacity) AS BIGINT) AS capacity, b.location, b.is_active
-    FROM bin b LEFT JOIN am ON am.eid = b.id
-    UNION ALL
-    SELECT CAST((SELECT max(id) FROM bin) + row_number() OVER (ORDER BY first, k) AS BIGINT), nm, cap, loc, TRUE
-    FROM am WHERE eid IS NULL""")
-def q_dim_upsert_bins(spark, sf):
-    return dims.upsert_bins(td.bins(spark, sf), _incoming_bins(spark, sf))
-
-
-@query("dim_upsert_bins_whole", """
+@query("dim_upsert_bins", """
     WITH s AS (SELECT s_suppkey AS k, s_name AS name, CAST(2 + s_suppkey % 4 AS BIGINT) AS cap,
                       concat('Block ', CAST(s_nationkey % 4 AS VARCHAR)) AS loc FROM supplier)
     SELECT b.id, b.name, CASE WHEN s.k % 2 = 0 THEN s.cap ELSE b.capacity END AS capacity, b.location, b.is_active
@@ -788,14 +785,14 @@ def q_dim_upsert_bins(spark, sf):
     UNION ALL
     SELECT CAST((SELECT max(id) FROM bin) + row_number() OVER (ORDER BY k) AS BIGINT), concat(name, ' Annex'), cap, loc, TRUE
     FROM s WHERE k % 2 <> 0""")
-def q_dim_upsert_bins_whole(spark, sf):
-    return dims.upsert_bins(td.bins(spark, sf), _incoming_bins(spark, sf, every=1))
+def q_dim_upsert_bins(spark, sf):
+    return dims.upsert_bins(td.bins(spark, sf), _incoming_bins(spark, sf))
 
 
 MATCH_SQL = f"""
     WITH c AS ({CLEAN_SQL}),
-    tu AS (SELECT upper({_duck_strip('usn')}) AS ukey, max(id) AS t_u FROM upsert_target WHERE usn IS NOT NULL GROUP BY 1),
-    ti AS (SELECT upper({_duck_strip('student_id')}) AS ikey, max(id) AS t_i FROM upsert_target
+    tu AS (SELECT upper({_duck_strip('usn')}) AS ukey, max(id) AS t_u FROM member WHERE usn IS NOT NULL GROUP BY 1),
+    ti AS (SELECT upper({_duck_strip('student_id')}) AS ikey, max(id) AS t_i FROM member
            WHERE student_id IS NOT NULL GROUP BY 1)
     SELECT c.row_no, coalesce(tu.t_u, ti.t_i) AS matched_id,
            CASE WHEN tu.t_u IS NOT NULL THEN 'usn' WHEN ti.t_i IS NOT NULL THEN 'student_id' END AS matched_by,
@@ -809,12 +806,12 @@ def _clean(spark, sf):
 
 @query("import_match", f"""SELECT row_no, matched_id, matched_by FROM ({MATCH_SQL}) x""")
 def q_import_match(spark, sf):
-    return upsert.match(_clean(spark, sf), td.upsert_target(spark, sf)).select("row_no", "matched_id", "matched_by")
+    return upsert.match(_clean(spark, sf), td.member(spark, sf)).select("row_no", "matched_id", "matched_by")
 
 
-def _upsert(spark, sf, batch=td.batch, target=td.upsert_target):
+def _upsert(spark, sf):
     import datetime
-    return upsert.upsert(batch(spark, sf), target(spark, sf), td.dept(spark, sf),
+    return upsert.upsert(td.batch(spark, sf), td.member(spark, sf), td.dept(spark, sf),
                          td.program(spark, sf), IMPORT_ID, now=datetime.datetime(2024, 6, 1), batch_tag=BATCH_TAG)
 
 
@@ -850,9 +847,9 @@ UPSERT_SQL = f"""
            CASE WHEN e.entity IS NULL THEN t.import_id ELSE {IMPORT_ID} END AS import_id,
            CASE WHEN e.entity IS NULL THEN t.is_deleted ELSE FALSE END AS is_deleted,
            t.group_name
-    FROM upsert_target t LEFT JOIN (SELECT * FROM e WHERE NOT is_new) e ON e.entity = t.id
+    FROM member t LEFT JOIN (SELECT * FROM e WHERE NOT is_new) e ON e.entity = t.id
     UNION ALL
-    SELECT CAST((SELECT max(id) FROM upsert_target) + row_number() OVER (ORDER BY first) AS BIGINT), usn, student_id,
+    SELECT CAST((SELECT max(id) FROM member) + row_number() OVER (ORDER BY first) AS BIGINT), usn, student_id,
            full_name, CAST(department_id AS BIGINT), CAST(program_id AS BIGINT), gender, 'Active', {IMPORT_ID}, FALSE,
            CAST(NULL AS VARCHAR)
     FROM e WHERE is_new"""
@@ -880,27 +877,6 @@ def q_import_ledger(spark, sf):
     return _upsert(spark, sf)["ledger"]
 
 
-def _whole(sql: str) -> str:
-    """An import query's SQL on the whole member table, with a third of the orders under new keys."""
-    return sql.replace("FROM batch)", "FROM batch_whole)").replace("upsert_target", "member")
-
-
-@query("import_match_whole", _whole(f"""SELECT row_no, matched_id, matched_by FROM ({MATCH_SQL}) x"""))
-def q_import_match_whole(spark, sf):
-    rows = upsert.clean_batch(td.batch_whole(spark, sf), BATCH_TAG)
-    return upsert.match(rows, td.member(spark, sf)).select("row_no", "matched_id", "matched_by")
-
-
-@query("import_upsert_whole", _whole(UPSERT_SQL))
-def q_import_upsert_whole(spark, sf):
-    return _upsert(spark, sf, td.batch_whole, td.member)["members"].select(*UPSERT_COLS)
-
-
-@query("import_ledger_whole", _whole(LEDGER_SQL))
-def q_import_ledger_whole(spark, sf):
-    return _upsert(spark, sf, td.batch_whole, td.member)["ledger"]
-
-
 def _import_files(spark, sf):
     """Two sets of CSV files from the whole customer table, with other headers and orders, quoted
     cells, ``NA`` ids and blank keys, imported into the whole member table."""
@@ -1024,26 +1000,26 @@ def q_delete_slot_setnull(spark, sf):
 
 def _state(spark, sf):
     return {"members": td.member(spark, sf), "bins": td.bins(spark, sf), "slots": td.slots(spark, sf),
-            "dept": td.dept(spark, sf)}
+            "dept": td.dept(spark, sf), "program": td.program(spark, sf), "facts": td.facts(spark, sf),
+            "ledger": td.ledger(spark, sf), "audit": td.audit(spark, sf)}
 
 
-def _whole_state(spark, sf):
-    return _state(spark, sf) | {"program": td.program(spark, sf), "facts": td.facts(spark, sf),
-                                "ledger": td.ledger(spark, sf), "audit": td.audit(spark, sf)}
+STATE_SQL = " UNION ALL ".join(
+    f"""SELECT '{name}' AS "table", count(*) AS rows FROM {view}""" for name, view in (
+        ("members", "member"), ("bins", "bin"), ("slots", "slot"), ("dept", "dept"), ("program", "program"),
+        ("facts", "facts"), ("ledger", "ledger"), ("audit", "audit")))
 
 
-@query("snap_manifest", """
-    SELECT 'bins' AS "table", count(*) AS rows FROM bin UNION ALL
-    SELECT 'dept', count(*) FROM dept UNION ALL
-    SELECT 'members', count(*) FROM member UNION ALL
-    SELECT 'slots', count(*) FROM slot""")
+@query("snap_manifest", STATE_SQL)
 def q_snap_manifest(spark, sf):
     root = snapshot.scratch_root(spark)
     snapshot.create(spark, root, _state(spark, sf), "MANUAL_SNAPSHOT")
     return snapshot.read_manifest(spark, root).select("table", "rows")
 
 
-@query("snap_list")
+@query("snap_list", f"""
+    SELECT CAST(seq AS BIGINT) AS seq, "table", rows, trigger, TRUE AS exists
+    FROM ({STATE_SQL}) x, (VALUES (1, 'PRE_GROUP_ALLOCATION'), (2, 'PRE_VENUE_ALLOCATION')) v(seq, trigger)""")
 def q_snap_list(spark, sf):
     root = snapshot.scratch_root(spark)
     st = _state(spark, sf)
@@ -1052,65 +1028,20 @@ def q_snap_list(spark, sf):
     return snapshot.list_snapshots(spark, root).select("seq", "table", "rows", "trigger", "exists")
 
 
-@query("snap_verify")
+@query("snap_verify", f"""
+    SELECT "table", rows, rows AS rows_now, TRUE AS ok FROM ({STATE_SQL}) x""")
 def q_snap_verify(spark, sf):
     root = snapshot.scratch_root(spark)
-    snap = snapshot.create(spark, root, _state(spark, sf), "MANUAL_SNAPSHOT")
-    return snapshot.verify(spark, root, snap)
+    return snapshot.verify(spark, root, snapshot.create(spark, root, _state(spark, sf), "MANUAL_SNAPSHOT"))
 
 
-@query("snap_restore_diff", """
-    SELECT 'members' AS "table", count(*) AS rows, CAST(0 AS BIGINT) AS rows_differing FROM member""")
+@query("snap_restore_diff", f"""
+    SELECT "table", rows, CAST(0 AS BIGINT) AS rows_differing FROM ({STATE_SQL}) x""")
 def q_snap_restore_diff(spark, sf):
     root = snapshot.scratch_root(spark)
     st = _state(spark, sf)
     snap = snapshot.create(spark, root, st, "PRE_GROUP_ALLOCATION")
     changed = dict(st, members=split.split_cohorts(st["members"], fresh=True).drop("group_allocated"))
-    back = snapshot.restore(spark, root, snap, changed)["members"]
-    orig = st["members"]
-    diff = back.exceptAll(orig).unionByName(orig.exceptAll(back))
-    return back.agg(F.count(F.lit(1)).alias("rows")).select(
-        F.lit("members").alias("table"), "rows", diff.agg(F.count(F.lit(1))).scalar().alias("rows_differing"))
-
-
-WHOLE_STATE_SQL = " UNION ALL ".join(
-    f"""SELECT '{name}' AS "table", count(*) AS rows FROM {view}""" for name, view in (
-        ("members", "member"), ("bins", "bin"), ("slots", "slot"), ("dept", "dept"), ("program", "program"),
-        ("facts", "facts"), ("ledger", "ledger"), ("audit", "audit")))
-
-
-@query("snap_manifest_whole", WHOLE_STATE_SQL)
-def q_snap_manifest_whole(spark, sf):
-    root = snapshot.scratch_root(spark)
-    snapshot.create(spark, root, _whole_state(spark, sf), "MANUAL_SNAPSHOT")
-    return snapshot.read_manifest(spark, root).select("table", "rows")
-
-
-@query("snap_list_whole", f"""
-    SELECT CAST(seq AS BIGINT) AS seq, "table", rows, trigger, TRUE AS exists
-    FROM ({WHOLE_STATE_SQL}) x, (VALUES (1, 'PRE_GROUP_ALLOCATION'), (2, 'PRE_VENUE_ALLOCATION')) v(seq, trigger)""")
-def q_snap_list_whole(spark, sf):
-    root = snapshot.scratch_root(spark)
-    st = _whole_state(spark, sf)
-    snapshot.create(spark, root, st, "PRE_GROUP_ALLOCATION")
-    snapshot.create(spark, root, st, "PRE_VENUE_ALLOCATION")
-    return snapshot.list_snapshots(spark, root).select("seq", "table", "rows", "trigger", "exists")
-
-
-@query("snap_verify_whole", f"""
-    SELECT "table", rows, rows AS rows_now, TRUE AS ok FROM ({WHOLE_STATE_SQL}) x""")
-def q_snap_verify_whole(spark, sf):
-    root = snapshot.scratch_root(spark)
-    return snapshot.verify(spark, root, snapshot.create(spark, root, _whole_state(spark, sf), "MANUAL_SNAPSHOT"))
-
-
-@query("snap_restore_diff_whole", f"""
-    SELECT "table", rows, CAST(0 AS BIGINT) AS rows_differing FROM ({WHOLE_STATE_SQL}) x""")
-def q_snap_restore_diff_whole(spark, sf):
-    root = snapshot.scratch_root(spark)
-    st = _whole_state(spark, sf)
-    snap = snapshot.create(spark, root, st, "PRE_GROUP_ALLOCATION")
-    changed = dict(st, members=split.split_cohorts(st["members"], fresh=True).drop("group_allocated"))
     back = snapshot.restore(spark, root, snap, changed)
     out = []
     for name, orig in st.items():
@@ -1172,17 +1103,45 @@ def q_src_profile(spark, sf):
             .select("department", "n_rows", F.array_join("h", ",").alias("headers")))
 
 
-@query("src_fingerprint_dup")
+@query("src_xlsx_roundtrip", """
+    SELECT CAST(row_no AS VARCHAR) AS row_no, usn, department, program FROM batch""")
+def q_src_xlsx_roundtrip(spark, sf):
+    path = snapshot.scratch_root(spark, "xlsx")
+    workbook.write_workbooks(td.batch(spark, sf).withColumn("sheet", F.lit("Roster")), path, ["Roster"], ["row_no", "usn", "department", "program"],
+                             [F.col("row_no")], rows=50_000)
+    return files.read_rosters(spark, path).drop("source_file")
+
+
+@query("export_workbook", f"""
+    SELECT nullif(COLUMNS(* EXCLUDE (id)), '') FROM ({_pivot_sql(None)}) x""")
+def q_export_workbook(spark, sf):
+    """The pivot as a workbook of three sheets, read back sheet by sheet."""
+    pivot = _pivot(spark, sf, None)
+    columns = [c for c in pivot.columns if c not in ("id", "sheet")]
+    path = snapshot.scratch_root(spark, "workbook")
+    sheets = ["Master Allocation", "Group A", "Group B"]
+    workbook.write_workbooks(pivot, path, sheets, columns, [F.col("group_name"), F.col("usn"), F.col("id")])
+    back = []
+    for k, sheet in enumerate(sheets):
+        rows = workbook.workbook_rows(spark, path, k).where("line > 0")
+        back.append(rows.select(F.lit(sheet).alias("sheet"), *[F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(columns)]))
+    return reduce(DataFrame.unionByName, back)
+
+
+@query("src_fingerprint_dup", """
+    SELECT DISTINCT department, department < '3' AS is_reimport FROM batch""")
 def q_src_fingerprint_dup(spark, sf):
+    """A folder uploaded twice; from priority 3 on, the second files have one more row."""
     b = td.batch(spark, sf)
+    added = b.groupBy("department").agg(F.max("row_no").alias("row_no")).where("department >= '3'").select(
+        (F.col("row_no") + 1).alias("row_no"), F.lit("late").alias("usn"), "department", F.lit("F").alias("program"))
     runs = []
-    for k in range(2):
+    for k, rows in enumerate((b, b.unionByName(added))):
         path = snapshot.scratch_root(spark, f"upload{k}")
-        (b.repartition("department").sortWithinPartitions("row_no")
+        (rows.repartition("department").sortWithinPartitions("row_no")
          .write.partitionBy("department").option("header", True).csv(path))
         runs.append(files.fingerprint(spark, path))
-    history = runs[0].select("file_hash")
-    flagged = files.flag_reimports(runs[1], history)
+    flagged = files.flag_reimports(runs[1], runs[0].select("file_hash"))
     return flagged.select(F.regexp_extract("path", r"department=([^/]*)", 1).alias("department"), "is_reimport")
 
 
@@ -1191,12 +1150,13 @@ from seatwise.streaming import ingest as stream_ingest  # noqa: E402
 from seatwise.streaming import kpi as stream_kpi  # noqa: E402
 
 
-def _stream_ingest(spark, sf, batch=td.batch, target=td.upsert_target):
+@query("stream_ingest_equals_batch", f"""
+    SELECT * EXCLUDE (import_id) FROM ({UPSERT_SQL}) x""")
+def q_stream_ingest(spark, sf):
     import datetime
     root = snapshot.scratch_root(spark, "stream")
-    b = batch(spark, sf)
-    stream_ingest.write_uploads(b, f"{root}/in", 4)
-    stream_ingest.init_store(f"{root}/store", target(spark, sf), td.dept(spark, sf), td.program(spark, sf))
+    stream_ingest.write_uploads(td.batch(spark, sf), f"{root}/in", 4)
+    stream_ingest.init_store(f"{root}/store", td.member(spark, sf), td.dept(spark, sf), td.program(spark, sf))
     v = stream_ingest.run_ingest(spark, f"{root}/in", "row_no long, usn string, department string, program string",
                                  f"{root}/store", f"{root}/ckpt", IMPORT_ID, BATCH_TAG,
                                  now=datetime.datetime(2024, 6, 1))
@@ -1204,18 +1164,6 @@ def _stream_ingest(spark, sf, batch=td.batch, target=td.upsert_target):
     return out.select(*[c for c in UPSERT_COLS if c != "import_id"])
 
 
-@query("stream_ingest_equals_batch", f"""
-    SELECT * EXCLUDE (import_id) FROM ({UPSERT_SQL}) x""")
-def q_stream_ingest(spark, sf):
-    return _stream_ingest(spark, sf)
-
-
-@query("stream_ingest_whole", _whole(f"""
-    SELECT * EXCLUDE (import_id) FROM ({UPSERT_SQL}) x"""))
-def q_stream_ingest_whole(spark, sf):
-    return _stream_ingest(spark, sf, td.batch_whole, td.member)
-
-
 @query("stream_kpi_counts", """SELECT bin_name, count(*) AS n FROM facts GROUP BY bin_name""")
 def q_stream_kpi(spark, sf):
     root = snapshot.scratch_root(spark, "kpi")
@@ -1322,22 +1270,6 @@ ORACLE["balance_report"] = _seating_oracle("""
     FROM cell c LEFT JOIN bin b ON b.id = c.bin_id""")
 
 
-SNAP_TABLES_SQL = """
-    SELECT 'bins' AS "table", count(*) AS rows FROM bin UNION ALL
-    SELECT 'dept', count(*) FROM dept UNION ALL
-    SELECT 'members', count(*) FROM member UNION ALL
-    SELECT 'slots', count(*) FROM slot"""
-ORACLE["snap_verify"] = with_views(f"""
-    SELECT "table", rows, rows AS rows_now, TRUE AS ok FROM ({SNAP_TABLES_SQL}) x""")
-ORACLE["snap_list"] = with_views(f"""
-    SELECT s.seq, x."table", x.rows, s.trigger, TRUE AS "exists"
-    FROM ({SNAP_TABLES_SQL}) x,
-         (SELECT CAST(1 AS BIGINT) AS seq, 'PRE_GROUP_ALLOCATION' AS trigger UNION ALL
-          SELECT CAST(2 AS BIGINT), 'PRE_VENUE_ALLOCATION') s""")
-ORACLE["src_fingerprint_dup"] = with_views("""
-    SELECT DISTINCT department, TRUE AS is_reimport FROM batch""")
-
-
 @query("seat_result", """
     SELECT count(*) AS total_processed, CAST(0 AS BIGINT) AS newly_allocated_groups,
            count(*) AS newly_allocated_bins, CAST(0 AS BIGINT) AS skipped_existing
@@ -1358,10 +1290,9 @@ def _tsort(x: str) -> str:
 
 
 HEADER_SCORES_SQL = f"""
-    hdr AS (SELECT 'file_' || CAST(p_partkey // 6 AS VARCHAR) AS file, CAST(p_partkey % 6 AS BIGINT) AS pos,
-                   {_duck_strip('''CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN p_type || ' / ' || p_brand
-                        WHEN 2 THEN upper(p_name) ELSE p_name || ' No.' END''')} AS header
-            FROM part),
+    hdr AS (SELECT file, pos, raw, {_duck_strip('raw')} AS header FROM (SELECT 'file_' || CAST(p_partkey // 6 AS VARCHAR) AS file, CAST(p_partkey % 6 AS BIGINT) AS pos,
+                   coalesce([{", ".join("NULL" if h is None else f"'{h}'" for h in td.HEADER_NAMES)}][1 + (p_partkey * 7 + p_size) % {len(td.HEADER_NAMES)}], p_name) AS raw
+            FROM part) x),
     hn AS (SELECT *, regexp_replace(regexp_replace({_duck_strip('lower(header)')}, '[_\\-/:.]', ' ', 'g'),
                                     '\\s+', ' ', 'g') AS norm FROM hdr WHERE header <> ''),
     al AS ({_alias_values()}),
@@ -1424,5 +1355,9 @@ MAP_WALK_SQL = f"""WITH {HEADER_SCORES_SQL},
 ORACLE["map_headers"] = with_views(f"""{MAP_WALK_SQL}
     SELECT file, pos, header, field, score FROM walk WHERE field IS NOT NULL""")
 ORACLE["map_unmapped"] = with_views(f"""{MAP_WALK_SQL}
-    SELECT h.file, h.pos, h.header FROM hdr h
+    SELECT h.file, h.pos, h.raw AS header FROM hdr h
     WHERE NOT EXISTS (SELECT 1 FROM walk w WHERE w.file = h.file AND w.pos = h.pos AND w.field IS NOT NULL)""")
+ORACLE["map_missing_required"] = with_views(f"""{MAP_WALK_SQL}
+    SELECT f.file, r.label FROM (SELECT DISTINCT file FROM hdr) f,
+         (VALUES {", ".join(f"('{f}', '{label}')" for f, label, needed, _a in REQUIRED if needed)}) r(field, label)
+    WHERE NOT EXISTS (SELECT 1 FROM walk w WHERE w.file = f.file AND w.field = r.field)""")

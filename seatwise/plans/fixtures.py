@@ -46,17 +46,20 @@ VIEWS: dict[str, str] = {
                ts AS created_at
         FROM events""",
     "batch": """
-        SELECT CAST(row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS row_no,
-               concat('Customer#', lpad(CAST(o_custkey AS VARCHAR), 9, '0')) AS usn,
-               o_orderpriority AS department, o_orderstatus AS program
-        FROM orders""",
-    "batch_whole": """
         SELECT CAST(row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS row_no,
                concat(CASE WHEN o_orderkey % 3 = 0 THEN 'New#' ELSE 'Customer#' END, lpad(CAST(o_custkey AS VARCHAR), 9, '0')) AS usn,
                o_orderpriority AS department, o_orderstatus AS program
         FROM orders""",
-    "upsert_target": """
-        SELECT * FROM member WHERE (id - 1) % 2 = 0""",
+    "messy": """
+        SELECT CAST(c_custkey + 1 AS BIGINT) AS row_no,
+               CASE c_custkey % 7 WHEN 0 THEN '' WHEN 1 THEN ' ' || c_name || chr(9) WHEN 2 THEN 'NaN' WHEN 3 THEN c_name WHEN 4 THEN 'null' WHEN 5 THEN lower(c_name) END AS usn,
+               CASE c_custkey % 5 WHEN 0 THEN 'ID' || c_custkey WHEN 1 THEN ' ' WHEN 3 THEN ' x' || c_custkey END AS student_id,
+               CASE c_custkey % 4 WHEN 0 THEN '  Member ' || c_custkey WHEN 1 THEN 'None' WHEN 2 THEN '' END AS full_name,
+               CASE c_custkey % 6 WHEN 0 THEN c_mktsegment WHEN 1 THEN ' nan ' WHEN 2 THEN c_mktsegment || ' ' END AS department,
+               CASE c_custkey % 3 WHEN 0 THEN ' MBA ' WHEN 1 THEN '' END AS program,
+               CASE c_custkey % 9 WHEN 0 THEN ' M' WHEN 1 THEN 'female ' WHEN 2 THEN 'Boy' WHEN 3 THEN 'F' WHEN 4 THEN 'WOMAN' WHEN 5 THEN 'o' WHEN 6 THEN 'Other' WHEN 7 THEN c_mktsegment END AS gender,
+               CASE c_custkey % 8 WHEN 0 THEN CAST(c_custkey AS VARCHAR) WHEN 1 THEN ' 7 ' END AS student_number
+        FROM customer""",
     "ledger": """
         SELECT event_id AS id, concat(event_type, '_', CAST(user_id AS VARCHAR), '.csv') AS file_name,
                sha256(props) AS file_hash, CAST(floor(value) AS BIGINT) AS total_rows,
@@ -71,7 +74,7 @@ VIEWS: dict[str, str] = {
         SELECT p_partkey AS row_no, p_name AS name FROM part""",
 }
 
-DEPENDS = {"member": ["dept"], "upsert_target": ["member"]}
+DEPENDS = {"member": ["dept"]}
 
 
 def _needed(sql: str) -> list[str]:

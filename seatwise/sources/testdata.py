@@ -96,30 +96,44 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit("Group A").alias("group_name"), F.col("ts").alias("created_at"))
 
 
-def _batch(spark: SparkSession, sf_dir: str, prefix) -> DataFrame:
+def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upsert input: one row per order, row_no in (o_orderdate, o_orderkey) order; every third order
+    key has a usn that no member has."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate",
                                               "o_orderpriority", "o_orderstatus")
     ranked = ordered_rank(o, [F.col("o_orderdate"), F.col("o_orderkey")])
     return ranked.select(
         (F.col("rank0") + 1).cast("long").alias("row_no"),
-        F.concat(prefix, F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("usn"),
+        F.concat(F.when(F.col("o_orderkey") % 3 == 0, "New#").otherwise("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("usn"),
         F.col("o_orderpriority").alias("department"),
         F.col("o_orderstatus").alias("program"))
 
 
-def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Upsert input: one row per order, row_no in (o_orderdate, o_orderkey) order."""
-    return _batch(spark, sf_dir, F.lit("Customer#"))
-
+#: Headers that hit a field exactly (by any spelling), nearly, at exactly 80, or not; None: the part's name.
+HEADER_NAMES = ["USN_Number", " Dept ", "Sex", "Degree", "Studnt Name", "SI.No.", "Regn No", None, "Remarks", "Name", "Candidate-Name", "sl no", "  ", "Roll Nmber",
+                "Enrolment ID", "Gender (M/F)", "stream course", None, "Mobile", "branch", "Id", "Program/Name", "number student"]
 
-def batch_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``batch`` for the whole member table: every third order key has a usn that no member has."""
-    return _batch(spark, sf_dir, F.when(F.col("o_orderkey") % 3 == 0, "New#").otherwise("Customer#"))
 
+def messy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A raw batch as uploads have it, a row per customer: blank, missing and padded cells, ids in one column only, gender words."""
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
 
-def upsert_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored members the batch is merged into: those with an even customer key."""
-    return member(spark, sf_dir).where(((F.col("id") - 1) % 2) == 0)
+    def cycle(n, *values):
+        out = F.lit(None).cast("string")
+        for i, v in enumerate(values):
+            out = F.when(k % n == i, v).otherwise(out)
+        return out
+
+    return c.select(
+        (k + 1).cast("long").alias("row_no"),
+        cycle(7, F.lit(""), F.concat(F.lit(" "), F.col("c_name"), F.lit("\t")), F.lit("NaN"), F.col("c_name"), F.lit("null"), F.lower(F.col("c_name"))).alias("usn"),
+        cycle(5, F.concat(F.lit("ID"), k.cast("string")), F.lit(" "), F.lit(None).cast("string"), F.concat(F.lit(" x"), k.cast("string"))).alias("student_id"),
+        cycle(4, F.concat(F.lit("  Member "), k.cast("string")), F.lit("None"), F.lit("")).alias("full_name"),
+        cycle(6, F.col("c_mktsegment"), F.lit(" nan "), F.concat(F.col("c_mktsegment"), F.lit(" "))).alias("department"),
+        cycle(3, F.lit(" MBA "), F.lit("")).alias("program"),
+        cycle(9, F.lit(" M"), F.lit("female "), F.lit("Boy"), F.lit("F"), F.lit("WOMAN"), F.lit("o"), F.lit("Other"), F.col("c_mktsegment")).alias("gender"),
+        cycle(8, k.cast("string"), F.lit(" 7 ")).alias("student_number"))
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import io
 import os
 import random
 import zipfile
+from unittest import mock
 
 import pytest
 from hypothesis import given, settings
@@ -190,14 +191,6 @@ def test_an_empty_report_has_one_book_and_a_failed_one_none(spark, tmpdir_fresh)
     df = spark.range(0).select(F.lit("x").alias("k"), F.lit("All").alias("sheet"), "id")
     assert sheets_of(f"{tmpdir_fresh}/a", workbook.write_workbooks(df, f"{tmpdir_fresh}/a", ["All"], ["k"], [F.col("id")])) == {"All": []}
 
-    def fail(batches):
-        yield from batches
-        raise RuntimeError("task lost")
-
-    def broken(*_):
-        return fail
-
-    import unittest.mock as mock
     with mock.patch.object(workbook, "_books", lambda *a: (lambda b: (_ for _ in ()).throw(RuntimeError("task lost")))), pytest.raises(Exception, match="task lost"):
         workbook.write_workbooks(spark.range(9).select(F.lit("x").alias("k"), F.lit("All").alias("sheet"), "id"), f"{tmpdir_fresh}/b", ["All"], ["k"], [F.col("id")])
     assert [x for x in os.listdir(f"{tmpdir_fresh}/b")] == []

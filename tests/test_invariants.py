@@ -25,7 +25,7 @@ def test_split_and_seating_ignore_input_order(spark):
 
 def test_upsert_ignores_input_order(spark):
     b = td.batch(spark, SF01)
-    t = td.upsert_target(spark, SF01)
+    t = td.member(spark, SF01)
     d, p = td.dept(spark, SF01), td.program(spark, SF01)
     now = dt.datetime(2024, 6, 1)
     a = upsert.upsert(b, t, d, p, 1, now=now)["members"]

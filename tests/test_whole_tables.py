@@ -1,4 +1,4 @@
-"""The queries on whole tables against their SQL, and that no stored row is left out."""
+"""The import, bin, stream and snapshot queries on whole tables against their SQL, and that no stored row is left out."""
 
 import duckdb
 import pytest
@@ -8,7 +8,8 @@ from seatwise.plans import catalog
 from seatwise.sources import testdata as td
 from tests.conftest import SF001
 
-WHOLE = [k for k in catalog.QUERIES if k.endswith("_whole")]
+WHOLE = ["dim_upsert_bins", "import_match", "import_upsert", "import_ledger", "import_clean", "stream_ingest_equals_batch", "snap_manifest", "snap_list", "snap_verify", "snap_restore_diff",
+         "src_xlsx_roundtrip", "export_workbook", "src_fingerprint_dup", "map_headers", "map_unmapped", "map_missing_required"]
 
 
 @pytest.mark.parametrize("key", WHOLE)
@@ -22,17 +23,28 @@ def test_whole_query_matches_its_sql(spark, key):
 
 
 def test_whole_queries_reach_every_row(spark):
-    assert len(WHOLE) == 9
     members, bins = td.member(spark, SF001).count(), td.bins(spark, SF001).count()
     ordered = td.table(spark, SF001, "orders").where("o_orderkey % 3 <> 0").select("o_custkey").distinct().count()
-    found = catalog.QUERIES["import_match_whole"](spark, SF001)
+    found = catalog.QUERIES["import_match"](spark, SF001)
     assert found.where("matched_id is not null").select("matched_id").distinct().count() == ordered
-    assert catalog.QUERIES["import_upsert_whole"](spark, SF001).count() > members
+    assert catalog.QUERIES["import_upsert"](spark, SF001).count() > members
     odd = td.table(spark, SF001, "supplier").where("s_suppkey % 2 <> 0").count()
-    assert catalog.QUERIES["dim_upsert_bins_whole"](spark, SF001).count() == bins + odd
+    assert catalog.QUERIES["dim_upsert_bins"](spark, SF001).count() == bins + odd
 
 
-@pytest.mark.parametrize("key", ["snap_list_whole", "snap_verify_whole", "snap_restore_diff_whole"])
+@pytest.mark.parametrize("key", ["snap_list", "snap_verify", "snap_restore_diff"])
 def test_snapshots_hold_every_state_table(spark, key):
     names = {r["table"] for r in catalog.QUERIES[key](spark, SF001).collect()}
     assert names == {"members", "bins", "slots", "dept", "program", "facts", "ledger", "audit"}
+
+
+def test_header_queries_hold_all_cases(spark):
+    headers = {(r["file"], r["pos"]): r["header"] for r in catalog._header_rows(spark, SF001).collect()}
+    got = catalog.QUERIES["map_headers"](spark, SF001).collect()
+    scores = {r["score"] for r in got}
+    assert 100.0 in scores and 80.0 in scores and any(80 < x < 100 for x in scores)
+    named = {r["field"] for r in got}
+    left = catalog.QUERIES["map_unmapped"](spark, SF001).collect()
+    exact = {h.strip() for h in headers.values()} & {"Sex", "Dept", "Id", "Name"}
+    assert len(named) == 7 and {r["header"].strip() for r in left} & exact  # a field that an earlier header used up
+    assert catalog.QUERIES["map_missing_required"](spark, SF001).count() > 0
