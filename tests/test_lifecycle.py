@@ -75,13 +75,61 @@ def test_snapshot_round_trip_and_corruption(spark):
     assert back.exceptAll(mem).count() == 0 and mem.exceptAll(back).count() == 0
     lst = snapshot.list_snapshots(spark, root).collect()
     assert [r["trigger"] for r in lst] == ["PRE_ROLLBACK_AUTO_SAVE", "MANUAL"]  # newest first, history kept
-    # overwrite the snapshot's files with different content: verification must fail
-    _members(spark, [_m(i) for i in range(1, 5)]).write.mode("overwrite").parquet(f"{root}/snap={snap}/members")
-    assert [r["ok"] for r in snapshot.verify(spark, root, snap).collect()] == [False]
+    # overwrite the snapshot's files with one changed cell: verification must fail
+    import glob
+    part = glob.glob(f"{root.removeprefix('file:')}/data/members/0-*")
+    held = [p for p in part if spark.read.parquet(p).where("group_name is null").count()][0]
+    changed = spark.read.parquet(held).withColumn("gender", F.when(F.col("id") == 3, "Other").otherwise(F.col("gender"))).collect()
+    spark.createDataFrame(changed, mem.schema).write.mode("overwrite").parquet(held)
+    assert [(r["rows"], r["rows_now"], r["ok"]) for r in snapshot.verify(spark, root, snap).collect()] == [(5, 5, False)]
     with pytest.raises(snapshot.SnapshotError):
         snapshot.restore(spark, root, snap, {"members": mem})
 
 
+def _names(root):
+    import glob
+    return {p for p in glob.glob(f"{root.removeprefix('file:')}/data/*/*") if "_run-" not in p}
+
+
+def test_snapshots_share_unchanged_buckets(spark):
+    mem = _members(spark, [_m(i) for i in range(1, 60)])
+    empty = mem.limit(0)
+    root = snapshot.scratch_root(spark, "test-share")
+    snapshot.create(spark, root, {"members": mem, "gone": empty}, "A", bucket_rows=8)
+    first = _names(root)
+    assert len(first) == 8
+    second = snapshot.create(spark, root, {"members": mem.repartition(3), "gone": empty}, "B", bucket_rows=8)
+    assert _names(root) == first  # manifest rows only
+    third = snapshot.create(spark, root, {"members": mem.withColumn("gender", F.when(F.col("id") == 7, "Other").otherwise(F.col("gender"))), "gone": empty}, "C", bucket_rows=8)
+    assert len(_names(root) - first) == 1
+    for snap, n in ((second, 0), (third, 1)):
+        back = snapshot.read_snapshot(spark, root, snap)
+        assert back["members"].exceptAll(mem).count() == n and back["members"].count() == 59
+        assert back["gone"].count() == 0 and back["gone"].schema == empty.schema
+    assert {(r["table"], r["ok"]) for r in snapshot.verify(spark, root, third).collect()} == {("members", True), ("gone", True)}
+    assert {(r["snapshot"], r["exists"]) for r in snapshot.list_snapshots(spark, root).collect()} == {("000001", True), ("000002", True), ("000003", True)}
+
+
+def test_a_crash_before_the_manifest_blocks_nothing(spark, monkeypatch):
+    mem = _members(spark, [_m(i) for i in range(1, 9)])
+    root = snapshot.scratch_root(spark, "test-crash")
+    old = snapshot.commit(spark, root, {"members": mem}, "A")
+    changed = mem.withColumn("group_name", F.lit("Group B"))
+    with monkeypatch.context() as m:
+        m.setattr(snapshot, "REFERENCE_SCHEMA", "broken long")
+        with pytest.raises(Exception):
+            snapshot.create(spark, root, {"members": changed}, "B")
+    assert snapshot.current(spark, root)["members"].exceptAll(mem).count() == 0
+    new = snapshot.commit(spark, root, {"members": changed}, "B")
+    assert new == "000002" and snapshot.current(spark, root)["members"].exceptAll(changed).count() == 0
+    saved = snapshot.restore_state(spark, root, old)
+    assert snapshot.current(spark, root)["members"].exceptAll(mem).count() == 0
+    assert snapshot.read_snapshot(spark, root, saved)["members"].exceptAll(changed).count() == 0
+    assert [(r["action"], r["entity_id"]) for r in spark.read.parquet(f"{root}/_audit").collect()] == [("DATABASE_RESTORED", old)]
+    with pytest.raises(snapshot.SnapshotError):
+        snapshot.restore_state(spark, root, "000099")
+
+
 def test_stream_ingest_equals_batch(spark):
     batch = spark.createDataFrame(
         [(i, f"U{(i * 7) % 13}", ["CSE", "ECE", "Mech Eng"][i % 3], "B.Tech", ["m", "f", ""][i % 3])
