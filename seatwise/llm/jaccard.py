@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seatwise.llm import words as W
+from seatwise.llm.memory import frugal, small_batches
 from seatwise.operators.components import connected_components
 from seatwise.session import drop_scratch, materialise, scratch_path
 
@@ -178,6 +179,8 @@ class _Shared:
     that have become shared are given out, and their signature is remembered as shared.
     """
 
+    SLICES = 8
+
     def __init__(self, hold: int = 1 << 22):
         self.hold, self.parts, self.count = hold, [], 0
         self.known = np.zeros(0, np.uint64)
@@ -197,19 +200,24 @@ class _Shared:
     def settle(self):
         if not self.parts:
             return
-        sig, sid, size = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        order = np.lexsort((sid, sig))
-        sig, sid, size = sig[order], sid[order], size[order]
-        new = np.ones(len(sig), bool)
-        new[1:] = (sig[1:] != sig[:-1]) | (sid[1:] != sid[:-1])
-        sig, sid, size = sig[new], sid[new], size[new]
-        same = np.zeros(len(sig) + 1, bool)
-        same[1:-1] = sig[1:] == sig[:-1]
-        many = same[1:] | same[:-1]
-        if many.any():
-            self.known = np.union1d(self.known, sig[many])
-            yield sig[many], sid[many], size[many]
-        self.parts, self.count = [(sig[~many], sid[~many], size[~many])], int((~many).sum())
+        every = [np.concatenate(x) for x in zip(*self.parts, strict=True)]
+        self.parts, self.count = [], 0
+        share = every[0] % np.uint64(self.SLICES)  # sorted a share of the signatures at a time
+        for k in range(self.SLICES):
+            sig, sid, size = (x[share == k] for x in every)
+            order = np.lexsort((sid, sig))
+            sig, sid, size = sig[order], sid[order], size[order]
+            new = np.ones(len(sig), bool)
+            new[1:] = (sig[1:] != sig[:-1]) | (sid[1:] != sid[:-1])
+            sig, sid, size = sig[new], sid[new], size[new]
+            same = np.zeros(len(sig) + 1, bool)
+            same[1:-1] = sig[1:] == sig[:-1]
+            many = same[1:] | same[:-1]
+            if many.any():
+                self.known = np.union1d(self.known, sig[many])
+                yield sig[many], sid[many], size[many]
+            self.parts.append((sig[~many], sid[~many], size[~many]))
+            self.count += len(self.parts[-1][0])
 
 
 _GATHERED = "kind string, doc_id long, sig long, sid long, size int, sketch binary"
@@ -399,31 +407,14 @@ def _families(entries: DataFrame, degree: DataFrame) -> DataFrame:
     return entries.join(top, "sig").select((-F.col("top.x")).alias("lead"), "sid").distinct()
 
 
-def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85,
-                   block: int = 2048, broadcast_ids: int = 2_000_000) -> DataFrame:
-    """(doc_id, n_shingles, component_id): components of documents linked by word-shingle Jaccard.
-
-    Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased. Null and empty texts, and
-    texts of white space, have n_shingles 0 and are alone in their component; texts with fewer than
-    ``width`` words have their whole sequence as one shingle; equal sets are linked; other columns
-    are ignored whatever their names; rows with a null id are left out; a repeated id gives a row
-    each time. An empty table gives an empty result. ``block`` bounds the sets compared in one task; the ids of sets to read again are broadcast up to
-    ``broadcast_ids`` rows of two longs, counted first, and joined by a shuffle beyond that.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    scratch = []
-
-    def keep(df, name):
-        out, p = materialise(df, f"jaccard-{name}")
-        scratch.append(p)
-        return out
-
+def _grouped(rows: DataFrame, keep, scratch: list[str], width: int, percent: int, block: int, broadcast_ids: int) -> DataFrame:
+    """The written result of ``jaccard_groups``; ``keep`` writes a table for the time of the run."""
+    spark = rows.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = scratch_path(spark, "jaccard")
     scratch.append(path)
-    (rows.mapInArrow(_deal(width, percent, buckets), _DEALT).repartition("bucket").sortWithinPartitions("bucket")
-     .mapInArrow(_gather, _GATHERED).write.partitionBy("kind").parquet(path))
+    (rows.mapInArrow(frugal(_deal(width, percent, buckets)), _DEALT).repartition("bucket").sortWithinPartitions("bucket")
+     .mapInArrow(frugal(_gather), _GATHERED).write.partitionBy("kind").parquet(path))
     found = spark.read.schema(_GATHERED).parquet(path)
     members = found.where("kind = 'd'")
     entries = found.where("kind = 'g'").select("sig", "sid", "size")
@@ -439,17 +430,17 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     near = keep(family.where("lead <> sid").select(F.greatest("lead", "sid").alias("a"), F.least("lead", "sid").alias("b")).distinct()
                 .join(side("a"), "a").join(side("b"), "b")
-                .select("a", "b", "a_size", "b_size", "a_sketch", "b_sketch").mapInArrow(_may_link(percent), "a long, b long"), "near")
+                .select("a", "b", "a_size", "b_size", "a_sketch", "b_sketch").mapInArrow(frugal(_may_link(percent)), "a long, b long"), "near")
 
     def sets_of(wanted):
         ids = keep(about.join(wanted.distinct(), "sid", "left_semi").select("sid", "doc_id"), "wanted")
         if ids.count() <= broadcast_ids:  # else the texts move to the ids
             ids = F.broadcast(ids)
-        return rows.join(ids, "doc_id").select("sid", "text").mapInArrow(_sets(width), "sid long, elements binary")
+        return rows.join(ids, "doc_id").select("sid", "text").mapInArrow(frugal(_sets(width)), "sid long, elements binary")
 
     sets = keep(sets_of(near.select(F.col("a").alias("sid")).unionByName(near.select(F.col("b").alias("sid")))), "sets")
     x, y = (sets.select(F.col("sid").alias(c), F.col("elements").alias(f"{c}_set")) for c in "ab")
-    links = keep(near.join(x, "a").join(y, "b").select("a", "b", "a_set", "b_set").mapInArrow(_verify(percent), "a long, b long"), "links")
+    links = keep(near.join(x, "a").join(y, "b").select("a", "b", "a_set", "b_set").mapInArrow(frugal(_verify(percent)), "a long, b long"), "links")
     first = keep(connected_components(links), "labels")
 
     # families that still hold members, besides the lead, of several components
@@ -463,17 +454,41 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
               .withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
               .select("lead", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sid", "size", "label", "sketch"))
     open_ = keep(spread.repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j")
-                 .mapInArrow(_open_blocks(percent), f"{_BLOCK_KEY}, block int, sid long, label long"), "open")
+                 .mapInArrow(frugal(_open_blocks(percent)), f"{_BLOCK_KEY}, block int, sid long, label long"), "open")
     more = keep(sets_of(open_.select("sid")), "more-sets")
     late = keep(open_.join(more, "sid").select("lead", "i", "j", "block", "sid", "label", "elements")
                 .repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j")
-                .mapInArrow(_close_blocks(percent), "a long, b long"), "late")
+                .mapInArrow(frugal(_close_blocks(percent)), "a long, b long"), "late")
     labels = keep(connected_components(links.unionByName(late)), "final")
 
     joined = members.join(labels, members["sid"] == labels["node"], "left").select(
         "doc_id", F.when(F.col("size") > 0, F.coalesce("component", "sid")).alias("c"), F.col("size").cast("long").alias("n_shingles"))
     least = joined.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"))
-    result, _ = materialise(joined.join(least, "c", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id")), "jaccard-result")
+    return materialise(joined.join(least, "c", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id")), "jaccard-result")[0]
+
+
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85,
+                   block: int = 2048, broadcast_ids: int = 2_000_000) -> DataFrame:
+    """(doc_id, n_shingles, component_id): components of documents linked by word-shingle Jaccard.
+
+    Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased. Null and empty texts, and
+    texts of white space, have n_shingles 0 and are alone in their component; texts with fewer than
+    ``width`` words have their whole sequence as one shingle; equal sets are linked; other columns
+    are ignored whatever their names; rows with a null id are left out; a repeated id gives a row
+    each time. An empty table gives an empty result. ``block`` bounds the sets compared in one task; the ids of sets to read again are broadcast up to
+    ``broadcast_ids`` rows of two longs, counted first, and joined by a shuffle beyond that.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    scratch = []
+
+    def keep(df, name):
+        out, p = materialise(df, f"jaccard-{name}")
+        scratch.append(p)
+        return out
+
+    with small_batches(spark):
+        result = _grouped(rows, keep, scratch, width, percent, block, broadcast_ids)
     for p in scratch:
         drop_scratch(spark, p)
     return result

@@ -19,10 +19,12 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seatwise.llm.memory import frugal
 from seatwise.llm.words import blocks
 
 SEGMENT = 1024
@@ -182,26 +184,32 @@ def train(docs: DataFrame, sample: Sample = Sample()) -> Model:  # noqa: B008
     return Model({lang: "\n".join(own["text"])[:sample.chars] for lang, own in found.groupby("lang")}, sample.alphabet)
 
 
-def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = (), block: int = 2 << 20) -> DataFrame:
+def share(spark: SparkSession, model: Model) -> Broadcast:
+    """The model for ``identify``; whoever shares it destroys it once the languages are written."""
+    return spark.sparkContext.broadcast(model)
+
+
+def identify(docs: DataFrame, model: Model | Broadcast, carry: tuple[str, ...] = (), block: int = 1 << 20) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row of ``docs`` and its columns ``carry``; whole texts, only they are read.
 
     Null and empty texts and those without a letter are ``und`` with score 0. Rows with a null
-    doc_id are kept, with held_out null; other columns are ignored whatever their names.
+    doc_id are kept, with held_out null; other columns are ignored whatever their names. Texts don't come back
+    from the workers; a carried column may have any name but those of the result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = model if isinstance(model, Broadcast) else share(docs.sparkSession, model)
 
     def run(batches):
         net = shared.value
         for batch in batches:
             for lo, hi, _, _ in blocks(batch.column(1), block):
                 names, score = net.classify(batch.column(1).slice(lo, hi - lo).to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(names, pa.string()), pa.array(score)],
-                                                 [*batch.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(names, pa.string()), pa.array(score)], ["row", "lang_pred", "score"])
 
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c) for c in carry if c not in ("doc_id", "text")])
-    schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(run, schema).select("doc_id", held.alias("held_out"), "lang_pred", "score", *[c for c in carry if c != "doc_id"])
+    held = F.crc32(F.col("row.doc_id").cast("string").cast("binary")) % 3 == 1
+    own = [F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c) for c in carry if c != "doc_id"]]
+    rows = docs.select(F.struct(*own).alias("row"), F.col("text").cast("string").alias("text"))
+    schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(frugal(run), schema).select("row.doc_id", held.alias("held_out"), "lang_pred", "score", *[f"row.{c}" for c in carry if c != "doc_id"])
 
 
 def language_id(docs: DataFrame, sample: Sample = Sample()) -> DataFrame:  # noqa: B008

@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seatwise.llm.memory import frugal, small_batches
 from seatwise.llm.words import blocks
 from seatwise.session import drop_scratch, materialise
 
@@ -175,9 +176,10 @@ def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, pa
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces, path = materialise(rows.mapInArrow(
-        _pieces(tokenizer_path, ranks_path, pattern, end_id, size),
-        "doc_id long, piece int, start long, length long, ids_crc32 long, nth long, part int"), "pieces")
+    with small_batches(spark):
+        pieces, path = materialise(rows.mapInArrow(
+            frugal(_pieces(tokenizer_path, ranks_path, pattern, end_id, size)),
+            "doc_id long, piece int, start long, length long, ids_crc32 long, nth long, part int"), "pieces")
     tasks, tasks_path = materialise(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "pieces-counts")
     counts = {r["length"]: r["n"] for r in tasks.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `size` rows
     table = spark.sparkContext.broadcast(slots(plan(counts, size)))
@@ -198,7 +200,8 @@ def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, pa
     shift = tasks.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
     result, _ = materialise(
         pieces.join(shift, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("nth") + F.col("shift")).alias("rank"))
-        .mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"), "packed")
+        .mapInArrow(frugal(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"), "packed")
     for p in (path, tasks_path):
         drop_scratch(spark, p)
+    table.destroy()  # the result is written
     return result

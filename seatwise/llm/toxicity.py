@@ -17,11 +17,13 @@ import dataclasses
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seatwise.llm import words as W
+from seatwise.llm.memory import frugal
 
 PREFIXES = (None, 4, 5, 6)
 
@@ -30,8 +32,8 @@ PREFIXES = (None, 4, 5, 6)
 class Sample:
     """Bounds of the training sample: texts of each label, and characters of a text in it."""
 
-    per_label: int = 2500
-    max_chars: int = 10_000
+    per_label: int = 4000
+    max_chars: int = 20_000
 
 
 @dataclasses.dataclass(frozen=True)
@@ -249,13 +251,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: Sample = Sample(), shape:
     return net
 
 
-def score(docs: DataFrame, net: ConvNet, carry: tuple[str, ...] = ()) -> DataFrame:
+def share(spark: SparkSession, net: ConvNet) -> Broadcast:
+    """The net and its tables for ``score``; whoever shares it destroys it once the scores are written."""
+    return spark.sparkContext.broadcast((net, net.tables()))
+
+
+def score(docs: DataFrame, net: ConvNet | Broadcast, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, held_out, score, predicted, lang_guess) of every row of ``docs``, and its columns ``carry``.
 
     Whole texts; null and empty texts, and texts without a word, get the score of the empty text.
-    Only the text is read for the score. Rows with a null doc_id are kept, with held_out null.
+    Only the text is read for the score, and it doesn't come back from the workers; a carried column may have
+    any name but those of the result. Rows with a null doc_id are kept, with held_out null.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((net, net.tables()))
+    shared = net if isinstance(net, Broadcast) else share(docs.sparkSession, net)
 
     def run(batches):
         model, table = shared.value
@@ -265,13 +273,14 @@ def score(docs: DataFrame, net: ConvNet, carry: tuple[str, ...] = ()) -> DataFra
                 logit[lo:hi], guess[lo:hi] = model.logits(*word_ids(data, offsets, model.shape.buckets), table)
             p = 1 / (1 + np.exp(-np.clip(logit - model.thresholds[guess], -30, 30).astype(np.float64)))
             name = [model.languages[k] if model.languages else None for k in guess]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array(name, pa.string())], [*batch.schema.names, "score", "lang_guess"])
-
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c) for c in carry if c not in ("doc_id", "text")])
-    schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("lang_guess", T.StringType())])
-    return (rows.mapInArrow(run, schema).select(
-        "doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "lang_guess", *[c for c in carry if c != "doc_id"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(name, pa.string())], ["row", "score", "lang_guess"])
+
+    held = F.crc32(F.col("row.doc_id").cast("string").cast("binary")) % 5 == 0
+    own = [F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c) for c in carry if c != "doc_id"]]
+    rows = docs.select(F.struct(*own).alias("row"), F.col("text").cast("string").alias("text"))
+    schema = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType()), T.StructField("lang_guess", T.StringType())])
+    return (rows.mapInArrow(frugal(run), schema).select(
+        "row.doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "lang_guess", *[f"row.{c}" for c in carry if c != "doc_id"]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: Sample = Sample(), shape: Shape = Shape()) -> DataFrame:  # noqa: B008
