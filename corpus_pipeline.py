@@ -16,29 +16,51 @@ from pyspark.sql import functions as F
 
 from seatwise.llm import exact, langid, packing, toxicity
 from seatwise.llm.jaccard import jaccard_groups
+from seatwise.llm.memory import small_batches
 from seatwise.session import drop_scratch, materialise
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 BROADCAST_IDS = 2_000_000
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """``rows``, of a few numbers each, broadcast if they are few; beyond that a shuffle join."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+
+
 def _keep(docs: DataFrame, decided: DataFrame) -> DataFrame:
     """``docs`` without the ids none of whose rows in (doc_id, kept) is kept."""
     gone, _ = materialise(decided.groupBy("doc_id").agg(F.max("kept").alias("kept")).where(~F.col("kept")).select("doc_id"), "dropped")
-    if gone.count() <= BROADCAST_IDS:  # one long each; beyond that a shuffle join
-        gone = F.broadcast(gone)
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return docs.select(*COLUMNS).join(_small(gone), "doc_id", "left_anti").select(*COLUMNS)
+
+
+KEY = ("key_id", "key_text")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The columns of documents and a row key of two numbers, never null: a verdict on a text holds for its id and its text."""
+    return docs.select(*COLUMNS, F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("key_id"), F.xxhash64(F.col("doc_id").isNull(), "text").alias("key_text"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones, doesn't call toxic."""
-    net = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, net, COLUMNS).where("predicted = 0").select(*COLUMNS)
+    rows = _keyed(docs)
+    net = toxicity.share(spark, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    with small_batches(spark):
+        gone, _ = materialise(toxicity.score(rows, net, KEY).where("predicted = 1").select(*KEY).distinct(), "toxic")
+    net.destroy()
+    return rows.join(_small(gone), list(KEY), "left_anti").select(*COLUMNS)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; a null ``lang`` is filled in."""
-    named = langid.identify(docs, langid.train(docs), COLUMNS).where("lang_pred <> 'und'")
+    rows = _keyed(docs)
+    model = langid.share(spark, langid.train(docs))
+    told = langid.identify(rows, model, (*KEY, "lang")).where("lang_pred = 'und' or lang is null")
+    with small_batches(spark):
+        told, _ = materialise(told.select(*KEY, "lang_pred").distinct(), "languages")
+    model.destroy()
+    named = rows.join(_small(told), list(KEY), "left").where("lang_pred is null or lang_pred <> 'und'")
     return named.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
