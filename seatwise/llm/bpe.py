@@ -1,11 +1,15 @@
-"""BPE encoding and decoding with tree concatenation of long unsplit text.
-
-The pre-tokeniser cuts a text into words that are encoded independently; each distinct word is
-encoded once and kept in a bounded cache. A long run that it cannot cut (letters without a space)
-is a tree: the run is halved down to leaves, all leaves are encoded in one parallel call, and at
-each join a window of tokens around it is encoded anew, growing until its first and last tokens
-agree with those of the two sides. As every pair of neighbouring tokens then stands in one true
-encoding, the joined tokens are those of the whole run.
+"""BPE encoding and decoding with tree concatenation.
+
+A text is a tree: it is halved, at any code point, down to leaves of at most ``TEXT_LEAF`` of them, and the leaves of all texts
+of a block are encoded together. Neighbours are then joined, pair by pair: a window of text around the cut
+is encoded anew, and grows until its first and last words agree with those of the two sides. A window begins
+and ends at white space, which neither the normaliser nor the split rule nor a special token reaches across, or where its side
+does, so that what the cut has torn apart (a word, a letter and its accent, a special token) lies inside it.
+
+The words of the leaves are encoded once each and kept in a bounded cache. A word that is too long for that (letters
+without a space) is a tree in its own right: its leaves are encoded in one parallel call, and at each join the
+window is one of tokens, which grows until its first and last tokens agree. As every pair of neighbouring tokens
+then stands in one true encoding, the joined tokens are those of the whole run.
 """
 
 from __future__ import annotations
@@ -19,14 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seatwise.llm.memory import frugal
 from seatwise.llm.words import blocks
 
-LEAF = 512
+LEAF = 512  # letters of an unsplit run
+TEXT_LEAF = 2048  # code points of a text
 _CACHE = 150_000  # words; cleared when full
 
 #: Texts of these characters alone are cut with the standard library; others by the tokenizer's own normaliser and pre-tokeniser.
 _UNUSUAL = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa0-ɏ‐-‧€]")
 #: The tokenizer's split rule for those characters.
+_GAP = re.compile("[ \t\n\r]")
 _WORDS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_²³¹¼-¾]+|[\d²³¹¼-¾]|(?:[^\w\s]|_)+")
 
 
@@ -64,6 +71,9 @@ class Coder:
         split = [x for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if x["type"] == "Split"]
         self.plain = kinds == ["NFC", "Replace", "Lowercase"] and len(split) == 1 and split[0]["pattern"].get("Regex") == (
             r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        #: Without white space in special tokens, and with the known rule, texts may be cut anywhere.
+        self.cuttable = self.plain and not any(re.search(r"\s", t) for t in self.special)
+        self.joins = 0
         self.ids: dict[str, str] = {}
         self.text: dict[str, str] = {}
 
@@ -129,12 +139,52 @@ class Coder:
             self.ids[w] = " ".join(map(str, ids))
             self.text[w] = self.whole.decode(ids, skip_special_tokens=False)
 
-    def encode(self, texts: list[str]) -> list[tuple[str, str]]:
+    def units(self, text: str) -> list[str]:
+        """Words and special tokens of a stretch of text."""
+        parts = self.cut.split(text) if self.cut and any(s in text for s in self.special) else [text]
+        return [w for k, p in enumerate(parts) for w in (["\1" + p] if k % 2 else self.words(p))]
+
+    def _same(self, x: str, y: str) -> bool:
+        """Whether two units have the same tokens."""
+        if x == y or x[0] == "\1" or y[0] == "\1":
+            return x == y
+        self.learn([x, y])
+        return self.ids[x] == self.ids[y]
+
+    def _join_text(self, text: str, start: int, middle: int, end: int, left: list[str], right: list[str]) -> list[str]:
+        """Units of text[start:end] from those of text[start:middle] and text[middle:end]."""
+        reach = 32
+        self.joins += 1
+        while True:
+            a, b = max(start, middle - reach), min(end, middle + reach)
+            if a > start:  # at white space, with a whole word between it and the cut's own
+                gaps = [m.start() for m in _GAP.finditer(text, a, middle)]
+                a = gaps[0] if len(gaps) > 1 and gaps[-1] - gaps[0] >= len(gaps) else None
+            if b < end:
+                gaps = [m.end() for m in _GAP.finditer(text, middle, b)]
+                b = gaps[-1] if len(gaps) > 1 and gaps[-1] - gaps[0] >= len(gaps) else None
+            if a is not None and b is not None:
+                new, x, y = self.units(text[a:b]), len(self.units(text[a:middle])), len(self.units(text[middle:b]))
+                if (a == start or self._same(new[0], left[len(left) - x])) and (b == end or self._same(new[-1], right[y - 1])):
+                    return left[:len(left) - x] + new + right[y:]
+            reach *= 2
+
+    def tree_units(self, text: str, leaf: int = TEXT_LEAF) -> list[str]:
+        """Units of a text by halves."""
+        if len(text) <= leaf or not self.cuttable:
+            return self.units(text)
+        cuts = [0, len(text)]
+        while cuts[1] > leaf:  # halves of halves
+            cuts = [c for x, y in zip(cuts[:-1], cuts[1:], strict=True) for c in (x, (x + y) // 2)] + [len(text)]
+        level = [self.units(text[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        while len(level) > 1:
+            level = [self._join_text(text, *cuts[2 * k:2 * k + 3], level[2 * k], level[2 * k + 1]) for k in range(len(level) // 2)]
+            cuts = cuts[::2]
+        return level[0]
+
+    def encode(self, texts: list[str], leaf: int = TEXT_LEAF) -> list[tuple[str, str]]:
         """(ids joined by a space, decoded text) of each text."""
-        cut = []
-        for text in texts:
-            parts = self.cut.split(text) if self.cut and any(s in text for s in self.special) else [text]
-            cut.append([w for k, p in enumerate(parts) for w in (["\1" + p] if k % 2 else self.words(p))])
+        cut = [self.tree_units(text, leaf) for text in texts]
         self.learn({w for words in cut for w in words if w[0] != "\1"})
         for s, i in self.special.items():
             self.ids["\1" + s], self.text["\1" + s] = str(i), self.whole.decode([i], skip_special_tokens=False)
@@ -166,7 +216,7 @@ def encode_rows(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
                                                   pa.array([y for _, y in out], pa.string())], ["doc_id", "ids", "decoded"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, ids string, decoded string")
+        frugal(run), "doc_id long, ids string, decoded string")
 
 
 def encode_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
