@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from seatwise.operators import apportion, kpi
 from seatwise.operators.rank import ordered_rank
-from seatwise.operators.util import BROADCAST_ROW_LIMIT, blank_to_null, local_frame, strip
+from seatwise.operators.util import BROADCAST_ROW_LIMIT, blank_to_null, local_frame, ntz_lit, strip
 
 
 class CapacityExceededError(Exception):
@@ -130,13 +130,19 @@ def assign_ranges(split: DataFrame, strata: DataFrame, cells: DataFrame, small_s
     return j.select("id", F.col("_bin").alias("bin_id"), "slot_id", "dk", "gk")
 
 
-def apply_seats(members: DataFrame, seats: DataFrame) -> DataFrame:
-    """Write seats back: members with bin_id/slot_id from ``seats`` (a key join on id)."""
-    s = seats.select("id", F.col("bin_id").alias("_nb"), F.col("slot_id").alias("_ns"))
+def apply_seats(members: DataFrame, seats: DataFrame, now=None) -> DataFrame:
+    """Write seats back: members with bin_id, slot_id and ``bin_allocated_at`` from ``seats`` (a key join on id).
+
+    The time is that of the run for seated members, and what it was (or null) for others.
+    """
+    now = ntz_lit(now) if now is not None else F.localtimestamp()
+    s = seats.select("id", F.col("bin_id").alias("_nb"), F.col("slot_id").alias("_ns"), F.lit(True).alias("_hit"))
+    kept = F.col("bin_allocated_at") if "bin_allocated_at" in members.columns else F.lit(None)
     return (members.join(s, "id", "left")
             .withColumn("bin_id", F.coalesce(F.col("_nb"), F.col("bin_id")))
             .withColumn("slot_id", F.coalesce(F.col("_ns"), F.col("slot_id")))
-            .drop("_nb", "_ns"))
+            .withColumn("bin_allocated_at", F.when(F.col("_hit"), now).otherwise(kept).cast("timestamp_ntz"))
+            .drop("_nb", "_ns", "_hit"))
 
 
 def balance_report(members: DataFrame, seats: DataFrame, bins: DataFrame) -> DataFrame:

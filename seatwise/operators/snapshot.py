@@ -75,7 +75,7 @@ def _digests(df: DataFrame) -> DataFrame:
     """(_bucket, rows, checksum, digest) of a bucketed table: two independent sums of row hashes and the columns."""
     own = df.drop("_bucket")
     d = df.groupBy("_bucket").agg(F.count(F.lit(1)).alias("rows"), _sum_hash(own).alias("checksum"), _sum_hash(own, 1).alias("other"))
-    named = F.concat_ws(":", F.lit(own.schema.json()), "rows", "checksum", "other")
+    named = F.concat_ws(":", F.lit(own.schema.simpleString()), "rows", "checksum", "other")
     return d.select("_bucket", "rows", "checksum", F.substring(F.sha2(named, 256), 1, 32).alias("digest"))
 
 

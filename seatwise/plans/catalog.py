@@ -768,6 +768,60 @@ def q_dim_resolve_new(spark, sf):
     return new
 
 
+CODED_SQL = """
+    SELECT p_partkey AS row_no, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_type || ' ' || p_brand ELSE upper(p_name) END AS name,
+           CASE p_size % 6 WHEN 1 THEN lower(p_brand) WHEN 2 THEN p_name WHEN 4 THEN ' X' || CAST(p_size % 4 AS VARCHAR) WHEN 5 THEN '' END AS code
+    FROM part"""
+
+
+@query("dim_resolve_codes", f"""
+    WITH RECURSIVE coded AS ({CODED_SQL}),
+    sp AS (SELECT name, code, min(row_no) AS first, {_duck_strip('name')} AS n, CASE WHEN coalesce({_duck_strip('code')}, '') <> '' THEN upper({_duck_strip('code')})[1:20]
+           ELSE {_duck_code('name')} END AS c FROM coded GROUP BY name, code),
+    m AS (SELECT sp.*, (SELECT min(d.id) FROM dept d WHERE lower(d.code) = lower(sp.c) OR lower(d.code) = lower(sp.n) OR lower(d.name) = lower(sp.n)) AS hit FROM sp),
+    o AS (SELECT *, row_number() OVER (ORDER BY first) AS k FROM m WHERE hit IS NULL),
+    w(k, made) AS (
+        SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(c VARCHAR, n VARCHAR)[])
+        UNION ALL
+        SELECT o.k, CASE WHEN len(list_filter(w.made, lambda r: r.c = lower(o.c) OR r.c = lower(o.n) OR r.n = lower(o.n))) > 0 THEN w.made
+                         ELSE list_append(w.made, struct_pack(c := lower(o.c), n := lower(o.n))) END
+        FROM w JOIN o ON o.k = w.k + 1),
+    rows AS (SELECT made FROM w ORDER BY k DESC LIMIT 1),
+    ids AS (SELECT (SELECT max(id) FROM dept) + i AS id, made[i].c AS c, made[i].n AS n FROM rows, unnest(range(1, len(made) + 1)) u(i)),
+    found AS (SELECT o.name, o.code, min(ids.id) AS id FROM o JOIN ids ON ids.c = lower(o.c) OR ids.c = lower(o.n) OR ids.n = lower(o.n) GROUP BY 1, 2)
+    SELECT coded.row_no, CAST(coalesce(m.hit, found.id) AS BIGINT) AS dim_id, m.hit IS NULL AS created
+    FROM coded JOIN m ON m.name = coded.name AND m.code IS NOT DISTINCT FROM coded.code
+    LEFT JOIN found ON found.name = coded.name AND found.code IS NOT DISTINCT FROM coded.code""")
+def q_dim_resolve_codes(spark, sf):
+    p = td.table(spark, sf, "part")
+    size, brand, name = F.col("p_size"), F.col("p_brand"), F.col("p_name")
+    spelled = F.when(F.col("p_partkey") % 3 == 0, name).when(F.col("p_partkey") % 3 == 1, F.concat("p_type", F.lit(" "), brand)).otherwise(F.upper(name))
+    code = (F.when(size % 6 == 1, F.lower(brand)).when(size % 6 == 2, name).when(size % 6 == 4, F.concat(F.lit(" X"), (size % 4).cast("string")))
+            .when(size % 6 == 5, ""))
+    out, _new = dims.resolve(p.select(F.col("p_partkey").alias("row_no"), spelled.alias("name"), code.alias("code")), td.dept(spark, sf), code_col="code")
+    return out
+
+
+@query("dim_upsert_slots", f"""
+    WITH inc AS (SELECT n_nationkey AS row_no, CASE n_nationkey % 3 WHEN 0 THEN ' ' || lower(r_name) WHEN 1 THEN n_name || ' Hour ' ELSE upper(n_name) || ' hour' END AS slot_name,
+                        CAST(9 + n_nationkey % 4 AS VARCHAR) || ':00 AM' AS start_time, CASE WHEN n_nationkey % 4 <> 3 THEN 1 + n_nationkey % 2 END AS day_number
+                 FROM nation JOIN region ON r_regionkey = n_regionkey),
+    a AS (SELECT lower({_duck_strip('slot_name')}) AS k, CAST(coalesce(day_number, 1) AS INT) AS d, arg_min({_duck_strip('slot_name')}, row_no) AS nm,
+                 arg_min(start_time, row_no) AS st, min(row_no) AS first FROM inc GROUP BY 1, 2),
+    new AS (SELECT a.* FROM a WHERE NOT EXISTS (SELECT 1 FROM slot s WHERE lower(s.slot_name) = a.k AND s.day_number = a.d))
+    SELECT id, slot_name, start_time, end_time, day_number FROM slot
+    UNION ALL
+    SELECT CAST((SELECT max(id) FROM slot) + row_number() OVER (ORDER BY first, k, d) AS BIGINT), nm, st, '01:00 PM', d FROM new""")
+def q_dim_upsert_slots(spark, sf):
+    k = F.col("n_nationkey")
+    n = td.table(spark, sf, "nation").join(td.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    name = (F.when(k % 3 == 0, F.concat(F.lit(" "), F.lower("r_name"))).when(k % 3 == 1, F.concat("n_name", F.lit(" Hour ")))
+            .otherwise(F.concat(F.upper("n_name"), F.lit(" hour"))))
+    inc = n.select(k.alias("row_no"), name.alias("slot_name"), F.concat((9 + k % 4).cast("string"), F.lit(":00 AM")).alias("start_time"), F.lit("01:00 PM").alias("end_time"),
+                   F.when(k % 4 != 3, 1 + k % 2).cast("int").alias("day_number"))
+    return dims.upsert_slots(td.slots(spark, sf), inc)
+
+
 def _incoming_bins(spark, sf):
     s = td.table(spark, sf, "supplier")
     name = F.when(F.col("s_suppkey") % 2 == 0, F.lower(F.col("s_name"))).otherwise(
@@ -1029,10 +1083,41 @@ def q_snap_list(spark, sf):
 
 
 @query("snap_verify", f"""
-    SELECT "table", rows, rows AS rows_now, TRUE AS ok FROM ({STATE_SQL}) x""")
+    SELECT "table", rows, rows AS rows_now, "table" <> 'bins' AS ok FROM ({STATE_SQL}) x""")
 def q_snap_verify(spark, sf):
+    """Of a snapshot one of whose files was written over with a changed cell."""
+    root = snapshot.scratch_root(spark)
+    snap = snapshot.create(spark, root, _state(spark, sf), "MANUAL_SNAPSHOT")
+    ref = snapshot.references(spark, root).where(F.col("table") == "bins").first()
+    other = snapshot.read_snapshot(spark, root, snap)["bins"].withColumn("capacity", F.col("capacity") + (F.col("id") == 1).cast("long"))
+    path = f"{root}/changed"
+    other.write.parquet(path)
+    spark.read.parquet(path).write.mode("overwrite").parquet(f"{root}/data/bins/{ref['bucket']}-{ref['digest']}")
+    return snapshot.verify(spark, root, snap)
+
+
+@query("snap_unchanged", f"""
+    SELECT "table", "table" = 'slots' AS written FROM ({STATE_SQL}) x""")
+def q_snap_unchanged(spark, sf):
+    """Which tables a second snapshot writes files for, when only the slots have changed."""
+    root = snapshot.scratch_root(spark)
+    st = _state(spark, sf)
+    snapshot.create(spark, root, st, "PRE_GROUP_ALLOCATION")
+    snapshot.create(spark, root, st | {"slots": st["slots"].withColumn("day_number", F.lit(2))}, "PRE_VENUE_ALLOCATION")
+    parts = snapshot.references(spark, root).groupBy("table", "bucket", "digest").agg(F.min("seq").alias("seq"))
+    return parts.groupBy("table").agg((F.max("seq") > 1).alias("written"))
+
+
+@query("snap_restore_state", """
+    SELECT id, usn, full_name, status, group_name, bin_id, slot_id, created_at, is_deleted FROM member""")
+def q_snap_restore_state(spark, sf):
+    """The members of the current state after a split was committed and taken back."""
     root = snapshot.scratch_root(spark)
-    return snapshot.verify(spark, root, snapshot.create(spark, root, _state(spark, sf), "MANUAL_SNAPSHOT"))
+    st = _state(spark, sf)
+    snap = snapshot.commit(spark, root, st, "PRE_GROUP_ALLOCATION")
+    snapshot.commit(spark, root, st | {"members": split.split_cohorts(st["members"], fresh=True).drop("group_allocated")}, "GROUP_ALLOCATION")
+    snapshot.restore_state(spark, root, snap)
+    return snapshot.current(spark, root)["members"].select("id", "usn", "full_name", "status", "group_name", "bin_id", "slot_id", "created_at", "is_deleted")
 
 
 @query("snap_restore_diff", f"""
@@ -1270,6 +1355,20 @@ ORACLE["balance_report"] = _seating_oracle("""
     FROM cell c LEFT JOIN bin b ON b.id = c.bin_id""")
 
 
+ORACLE["seat_applied"] = _seating_oracle("""
+    SELECT m.id, coalesce(s.bin_id, m.bin_id) AS bin_id, coalesce(s.slot_id, m.slot_id) AS slot_id,
+           CASE WHEN s.id IS NOT NULL THEN TIMESTAMP '2024-06-01 09:30:00' END AS bin_allocated_at
+    FROM member m LEFT JOIN seats s ON s.id = m.id""")
+
+
+@query("seat_applied")
+def q_seat_applied(spark, sf):
+    import datetime
+    m, b, s = _seat_inputs(spark, sf)
+    done = seating.apply_seats(m, seating.seat_slots(m, b, s), now=datetime.datetime(2024, 6, 1, 9, 30))
+    return done.select("id", "bin_id", "slot_id", "bin_allocated_at")
+
+
 @query("seat_result", """
     SELECT count(*) AS total_processed, CAST(0 AS BIGINT) AS newly_allocated_groups,
            count(*) AS newly_allocated_bins, CAST(0 AS BIGINT) AS skipped_existing
