@@ -1249,6 +1249,22 @@ def q_stream_ingest(spark, sf):
     return out.select(*[c for c in UPSERT_COLS if c != "import_id"])
 
 
+@query("stream_kpi_changes", """
+    WITH log AS (SELECT member_id, CASE WHEN id % 11 <> 0 THEN bin_name END AS bin_name, row_number() OVER (PARTITION BY member_id ORDER BY id DESC) AS k FROM facts)
+    SELECT bin_name, count(*) AS n FROM log WHERE k = 1 AND bin_name IS NOT NULL GROUP BY bin_name""")
+def q_stream_kpi_changes(spark, sf):
+    """Members by hall after a log in which they move, and leave by every eleventh row, read in four parts."""
+    root = snapshot.scratch_root(spark, "kpi-changes")
+    f = td.facts(spark, sf).select("id", "member_id", F.when(F.col("id") % 11 != 0, F.col("bin_name")).alias("bin_name"))
+    lo, hi = f.agg(F.min("id"), F.max("id")).first()
+    step = (int(hi) - int(lo)) // 4 + 1
+    for k in range(4):
+        f.where(F.floor((F.col("id") - int(lo)) / step) == k).coalesce(1).write.parquet(f"{root}/log/part_{k}")
+    v = stream_kpi.changes_stream(spark, f"{root}/log/*", "id long, member_id long, bin_name string", "member_id", "bin_name", "id",
+                                  f"{root}/sink", f"{root}/ckpt", files_per_batch=1)
+    return spark.read.parquet(f"{root}/sink/v={v}").select(F.col("label").alias("bin_name"), "n")
+
+
 @query("stream_kpi_counts", """SELECT bin_name, count(*) AS n FROM facts GROUP BY bin_name""")
 def q_stream_kpi(spark, sf):
     root = snapshot.scratch_root(spark, "kpi")

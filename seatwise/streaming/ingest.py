@@ -1,10 +1,15 @@
 """K1: incremental roster ingest as a Structured Streaming job.
 
 Each arriving CSV upload (file source, one file per micro-batch so uploads stack in arrival
-order) is upserted onto the current roster with ``operators.upsert``. State lives in versioned
-folders ``<store>/<table>/v=<n>``: micro-batch ``e`` reads version ``e`` and writes version
-``e + 1``, so a replayed micro-batch (foreachBatch is at-least-once) rewrites the same version
-from the same input -- exactly-once effect. The stream checkpoint tracks which files were taken.
+order) is upserted onto the current roster with ``operators.upsert``. A table of the state is a base and
+the deltas since: ``<store>/<table>/base=<n>`` and ``delta=<n>``, the latter with only the rows that micro-batch changed, so what
+a micro-batch writes follows its own size and not the roster's. Readers take the last delta of an id, else the base.
+Once the deltas hold a quarter of the base's rows, the next micro-batch writes a new base beside its delta.
+
+``<store>/_versions/v=<n>`` names the base and the deltas of version n and is written last. Micro-batch ``e`` reads
+the newest version up to ``e`` and writes version ``e + 1``, so a replayed micro-batch (foreachBatch is
+at-least-once) writes the same files over from the same input -- exactly-once effect. The stream
+checkpoint tracks which files were taken.
 """
 
 from __future__ import annotations
@@ -15,30 +20,50 @@ from pyspark.sql import functions as F
 from seatwise.operators import upsert
 
 TABLES = ("members", "dept", "program")
-
-
-def _path(store: str, table: str, version: int) -> str:
-    return f"{store}/{table}/v={version:08d}"
+VERSION = "version long, base long, deltas array<long>, delta_rows long, base_rows long"
+COMPACT = 0.25  # of the base's rows
 
 
 def init_store(store: str, members: DataFrame, dept: DataFrame, program: DataFrame) -> None:
     """Version 0 of the state."""
     for name, df in zip(TABLES, (members, dept, program)):
-        df.write.mode("overwrite").parquet(_path(store, name, 0))
+        df.write.mode("overwrite").parquet(f"{store}/{name}/base=0")
+    spark = members.sparkSession
+    rows = spark.read.parquet(f"{store}/members/base=0").count()
+    _publish(spark, store, 0, 0, [], 0, rows)
+
+
+def _publish(spark: SparkSession, store: str, version: int, base: int, deltas: list[int], delta_rows: int, base_rows: int) -> None:
+    spark.createDataFrame([(version, base, deltas, delta_rows, base_rows)], VERSION).coalesce(1).write.mode("overwrite").parquet(f"{store}/_versions/v={version}")
+
+
+def _version(spark: SparkSession, store: str, version: int):
+    return spark.read.schema(VERSION).parquet(f"{store}/_versions/v={version}").first()
 
 
 def read_version(spark: SparkSession, store: str, version: int) -> dict[str, DataFrame]:
-    return {t: spark.read.parquet(_path(store, t, version)) for t in TABLES}
+    """The tables of a version: of each id the row of its last delta, else the base's."""
+    v = _version(spark, store, version)
+    out = {}
+    for name in TABLES:
+        base = spark.read.parquet(f"{store}/{name}/base={v['base']}")
+        if not v["deltas"]:
+            out[name] = base
+            continue
+        changed = spark.read.schema(base.schema).option("basePath", f"{store}/{name}").parquet(*[f"{store}/{name}/delta={d}" for d in v["deltas"]])
+        own = F.struct(*[F.col(f"`{c}`") for c in base.columns])
+        last = changed.groupBy(F.col("id").alias("_id")).agg(F.max_by(own, "delta").alias("_row")).select("_row.*")
+        out[name] = base.join(last.select("id"), "id", "left_anti").select(*base.columns).unionByName(last)
+    return out
 
 
 def latest_version(spark: SparkSession, store: str, at_most: int | None = None) -> int:
     """Highest complete version (optionally not above ``at_most``); -1 when none."""
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(f"{store}/members")
-    fs = p.getFileSystem(conf)
+    p = jvm.org.apache.hadoop.fs.Path(f"{store}/_versions")
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     best = -1
-    for st in fs.listStatus(p):
+    for st in fs.listStatus(p) if fs.exists(p) else ():
         name = st.getPath().getName()
         if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
             v = int(name[2:])
@@ -47,6 +72,22 @@ def latest_version(spark: SparkSession, store: str, at_most: int | None = None)
     return best
 
 
+def write_changes(spark: SparkSession, store: str, epoch: int, changed: dict[str, DataFrame]) -> None:
+    """Version ``epoch + 1``: the deltas of a micro-batch and, when those since the base have grown, a new base."""
+    before = _version(spark, store, latest_version(spark, store, at_most=epoch))
+    new = epoch + 1
+    for name in TABLES:
+        changed[name].write.mode("overwrite").parquet(f"{store}/{name}/delta={new}")
+    rows = before["delta_rows"] + spark.read.parquet(f"{store}/members/delta={new}").count()
+    deltas = [*before["deltas"], new]
+    _publish(spark, store, new, before["base"], deltas, rows, before["base_rows"])
+    if rows > COMPACT * before["base_rows"]:
+        state = read_version(spark, store, new)
+        for name in TABLES:
+            state[name].write.mode("overwrite").parquet(f"{store}/{name}/base={new}")
+        _publish(spark, store, new, new, [], 0, spark.read.parquet(f"{store}/members/base={new}").count())
+
+
 def run_ingest(spark: SparkSession, input_dir: str, schema: str, store: str, checkpoint: str,
                first_import_id: int, batch_tag: str = "0", now=None) -> int:
     """Run the stream over everything available, then stop. Returns the final version."""
@@ -58,11 +99,9 @@ def run_ingest(spark: SparkSession, input_dir: str, schema: str, store: str, che
         cur = read_version(spark, store, latest_version(spark, store, at_most=epoch))
         res = upsert.upsert(batch, cur["members"], cur["dept"], cur["program"],
                             import_id=first_import_id + epoch, now=now, batch_tag=batch_tag)
-        # checkpointed through the write: the next micro-batch reads files, not this lineage
-        res["members"].write.mode("overwrite").parquet(_path(store, "members", epoch + 1))
-        cur["dept"].unionByName(res["new_dept"]).write.mode("overwrite").parquet(_path(store, "dept", epoch + 1))
-        cur["program"].unionByName(res["new_program"]).write.mode("overwrite").parquet(
-            _path(store, "program", epoch + 1))
+        # written before the next micro-batch reads it: files, not this lineage
+        write_changes(spark, store, epoch, {
+            "members": res["members"].where(F.col("import_id") == first_import_id + epoch), "dept": res["new_dept"], "program": res["new_program"]})
 
     stream = (spark.readStream.schema(schema).option("header", True).option("maxFilesPerTrigger", 1)
               .csv(f"{input_dir}/*/*.csv"))

@@ -1,4 +1,8 @@
-"""K2: live counts over an append-only assignment log (Structured Streaming).
+"""K2: live counts over an assignment log (Structured Streaming).
+
+``counts_stream`` counts the rows of an append-only log. ``changes_stream`` counts members: its state holds each
+member's label, a change takes one from the old label's count and adds one to the new one's, and a
+null label takes the member out, so the counts are those of the log's final table at any time.
 
 ``groupBy(label).count()`` runs as a stateful streaming aggregation (state store keyed by the
 label, partial aggregation before the shuffle); every micro-batch publishes the full, small
@@ -8,6 +12,7 @@ processing-time trigger to keep a dashboard fresh.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,3 +34,47 @@ def counts_stream(spark: SparkSession, log_dir: str, schema: str, label_col: str
     if available_now:
         q.awaitTermination()
     return q
+
+
+STATE = "turn long, label string"
+CHANGE = "label string, n long"
+
+
+def _moves(key, batches, state):
+    """(label, -1 or 1) of one member's changes in a micro-batch; rows older than what was seen change nothing."""
+    turn, label = state.get if state.exists else (None, None)
+    was = label
+    for pdf in batches:
+        pdf = pdf[pdf["turn"] > turn] if turn is not None else pdf
+        if len(pdf):
+            last = pdf.loc[pdf["turn"].idxmax()]
+            turn, label = int(last["turn"]), last["label"] if isinstance(last["label"], str) and last["label"] else None
+    if turn is not None:
+        state.update((turn, label))
+    if was != label:
+        yield pd.DataFrame([(x, n) for x, n in ((was, -1), (label, 1)) if x is not None], columns=["label", "n"])
+
+
+def changes_stream(spark: SparkSession, log_dir: str, schema: str, key_col: str, label_col: str, turn_col: str,
+                   sink: str, checkpoint: str, files_per_batch: int | None = None) -> int:
+    """Follow a change log (key, label, a turn that grows) to its end; returns the last version of the counts.
+
+    ``<sink>/v=<n>`` holds (label, n) after n micro-batches: the counts before plus the micro-batch's moves, so a
+    replayed micro-batch writes the same version again.
+    """
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    log = reader.parquet(log_dir).select(F.col(key_col).alias("member"), F.col(label_col).cast("string").alias("label"), F.col(turn_col).cast("long").alias("turn"))
+    moves = log.where("member is not null and turn is not null").groupBy("member").applyInPandasWithState(_moves, CHANGE, STATE, "append", "NoTimeout")
+
+    def publish(df: DataFrame, epoch: int) -> None:
+        if epoch:
+            df = df.unionByName(spark.read.parquet(f"{sink}/v={epoch}"))
+        df.groupBy("label").agg(F.sum("n").alias("n")).where("n <> 0").write.mode("overwrite").parquet(f"{sink}/v={epoch + 1}")
+        done.append(epoch + 1)
+
+    done: list[int] = []
+    q = moves.writeStream.outputMode("append").foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return done[-1] if done else 0

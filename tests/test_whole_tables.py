@@ -9,7 +9,7 @@ from seatwise.sources import testdata as td
 from tests.conftest import SF001
 
 WHOLE = ["dim_upsert_bins", "import_match", "import_upsert", "import_ledger", "import_clean", "stream_ingest_equals_batch", "snap_manifest", "snap_list", "snap_verify", "snap_restore_diff",
-         "src_xlsx_roundtrip", "export_workbook", "src_fingerprint_dup", "map_headers", "map_unmapped", "map_missing_required", "dim_resolve_codes", "dim_upsert_slots", "seat_applied", "snap_unchanged", "snap_restore_state"]
+         "src_xlsx_roundtrip", "export_workbook", "src_fingerprint_dup", "map_headers", "map_unmapped", "map_missing_required", "dim_resolve_codes", "dim_upsert_slots", "seat_applied", "snap_unchanged", "snap_restore_state", "stream_kpi_changes"]
 
 
 @pytest.mark.parametrize("key", WHOLE)
