@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seatwise.llm.words import LOWER, blocks, gather, plain_words, spans
-from seatwise.session import materialise
+from seatwise.session import drop_scratch, materialise
 
 TILE = 64
 BLOCK = 4 << 20
@@ -142,19 +142,26 @@ def source_divergence(docs: DataFrame, least_docs: int = 3, top: int = 200, tile
     row counts as a document, repeated ids too; an empty table has no rows; other columns are ignored.
     """
     read = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    kept, _ = materialise(cells(read, least_docs), "divergence-cells")
+    scratch = []
+
+    def keep(df, name):
+        out, path = materialise(df, f"divergence-{name}")
+        scratch.append(path)
+        return out
+
+    kept = keep(cells(read, least_docs), "cells")
     langs = read.select("lang").distinct().join(kept.groupBy("lang").agg(F.sum("n").alias("n_lang"), F.sum("lead").alias("v")), "lang", "left").fillna(0)
     sums = kept.groupBy("lang", "source").agg(F.sum("n").alias("n_all"))
     groups = read.select("lang", "source").distinct().join(sums, ["lang", "source"], "left").fillna(0, ["n_all"]).join(langs, "lang")
     groups = groups.select("lang", "source", "v", (F.col("n_all") + F.col("v")).alias("size"), (F.col("n_lang") + F.col("v")).alias("lang_size"))
-    groups, _ = materialise(groups.withColumn("p0", share(F.lit(0).cast("long"), F.col("size"))), "divergence-groups")
+    groups = keep(groups.withColumn("p0", share(F.lit(0).cast("long"), F.col("size"))), "groups")
     width = groups.agg(F.sum(F.length("lang") + F.length("source") + 64)).first()[0] or 0
     most = groups.groupBy("lang").count().agg(F.max("count")).first()[0] or 1
     tiles = -(-most // tile)
     small = F.broadcast(groups) if width <= BROADCAST_BYTES else groups  # measured; beyond that a shuffle join
 
     bits = bitsets(kept).join(small, ["lang", "source"]).select("lang", "block", "source", share(F.col("n"), F.col("size")).alias("p"), "p0", "bits")
-    bits, _ = materialise(bits, "divergence-bits")
+    bits = keep(bits, "bits")
     left, right = _dealt(bits, bits, tiles)
     ap, a0, bp, b0 = (F.col(c) for c in ("a.p", "a.p0", "b.p", "b.p0"))
     cell = F.bit_count(F.col("a.bits").bitwiseAND(F.col("b.bits"))).cast("long")
@@ -182,4 +189,7 @@ def source_divergence(docs: DataFrame, least_docs: int = 3, top: int = 200, tile
     term = (kept.join(small, ["lang", "source"]).select("lang", "source", F.col("term").alias("item"), p.alias("p"), q.alias("q")).where("p > q")
             .select("lang", "source", "item", f(F.col("p"), F.col("q")).alias("value")).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= top))
     out = pair.withColumn("rank", F.row_number().over(ranked)).withColumn("part", F.lit("pair")).unionByName(term.withColumn("part", F.lit("term")))
-    return out.select("lang", "source", "part", "item", "value", "rank")
+    result, _ = materialise(out.select("lang", "source", "part", "item", "value", "rank"), "divergence")
+    for path in scratch:
+        drop_scratch(docs.sparkSession, path)
+    return result
