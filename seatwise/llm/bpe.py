@@ -66,6 +66,9 @@ class Coder:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.joined = spec.get("decoder") is None  # tokens are then joined by a space, so words decode singly
+        named = {i: t for t, i in self.whole.get_vocab(with_added_tokens=True).items()}
+        self.tokens = [named.get(i, "") for i in range(max(named, default=-1) + 1)]
+        self.digits = [*map(str, range(len(self.tokens)))]
         #: The fast cut is the rule of this normaliser and pre-tokeniser only.
         kinds = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         split = [x for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if x["type"] == "Split"]
@@ -133,11 +136,15 @@ class Coder:
         new = [w for w in words if w not in self.ids]
         shown = [w[1:] if w[0] == "\0" else byte_level(w) for w in new]
         short = [k for k, s in enumerate(shown) if len(s) <= LEAF]
-        found = dict(zip(short, (e.ids for e in self.closed.encode_batch([shown[k] for k in short], add_special_tokens=False)), strict=True))
-        for k, w in enumerate(new):
-            ids = found[k] if k in found else self.tree(shown[k])
-            self.ids[w] = " ".join(map(str, ids))
-            self.text[w] = self.whole.decode(ids, skip_special_tokens=False)
+        digits, tokens = self.digits, self.tokens
+        for k, e in zip(short, self.closed.encode_batch([shown[k] for k in short], add_special_tokens=False), strict=True):
+            ids = e.ids
+            self.ids[new[k]] = " ".join([digits[i] for i in ids])
+            self.text[new[k]] = " ".join([tokens[i] for i in ids])
+        for k in {*range(len(new))}.difference(short):
+            ids = self.tree(shown[k])
+            self.ids[new[k]] = " ".join([digits[i] for i in ids])
+            self.text[new[k]] = " ".join([tokens[i] for i in ids])
 
     def units(self, text: str) -> list[str]:
         """Words and special tokens of a stretch of text."""
