@@ -78,7 +78,9 @@ def _hash(k: int, tables: int, width: float, seed: int):
 
 
 def _compare(cosine: float, kind: str):
-    """Rows (t, cell, i, j, block, vec_id, x, cells) sorted by block pair -> (a, b, n): n links of a, or an edge a-b with n 0."""
+    """Rows (t, cell, i, j, block, vec_id, x, cells, m) sorted by block pair -> (a, b, n): n links of a, or an edge a-b with n 0.
+
+    A row stands for the m vectors that are equal to it."""
     def run(batches):
         for (t, _, i, j), rows in _by_key(batches, 4):
             block, ids = (rows.column(c).to_numpy().astype(np.int64) for c in (4, 5))
@@ -93,6 +95,7 @@ def _compare(cosine: float, kind: str):
             cells = np.stack([c.values.to_numpy() for part in rows.column(7).chunks for c in part])[:, :t]
             left = np.flatnonzero(block == i)
             right = left if i == j else np.flatnonzero(block == j)
+            copies = rows.column(8).to_numpy().astype(np.int64)
             counts = np.zeros(len(ids), np.int64)
             parent = np.arange(len(ids))
 
@@ -111,7 +114,8 @@ def _compare(cosine: float, kind: str):
                 # decided one by one: a matrix product may round otherwise than a dot product
                 ok = (np.einsum("ij,ij->i", x[a], x[b]) >= cosine) & (dim[a] == dim[b]) & ~(cells[a] == cells[b]).any(1)
                 a, b = a[ok], b[ok]
-                counts += np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids))
+                np.add.at(counts, a, copies[b])
+                np.add.at(counts, b, copies[a])
                 for v, w in zip(a.tolist(), b.tolist(), strict=True):
                     r, s = root(v), root(w)
                     if r != s:
@@ -141,21 +145,26 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     k, tables = plan(rows.count(), cosine, width, recall)
     kind = {"float": "<f4", "double": "<f8"}[rows.schema["embedding"].dataType.elementType.typeName()]
     hashed, hashed_path = materialise(rows.mapInArrow(_hash(k, tables, width, seed), "vec_id long, x binary, cells array<int>"), "vectors-hashed")
-    placed = hashed.select("vec_id", F.posexplode("cells").alias("t", "cell"))
+    # equal vectors meet once: the one of the least id stands for all, in every table
+    alike, alike_path = materialise(hashed.groupBy("x").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("m"), F.first("cells").alias("cells")), "vectors-alike")
+    placed = alike.select("vec_id", F.posexplode("cells").alias("t", "cell"))
     size = placed.groupBy("t", "cell").agg(F.count("*").alias("n")).where("n > 1").select("t", "cell", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     spread = (placed.join(size, ["t", "cell"])
               .withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
               .select("t", "cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "vec_id")
-              .join(hashed, "vec_id").select("t", "cell", "i", "j", "block", "vec_id", "x", "cells"))
+              .join(alike, "vec_id").select("t", "cell", "i", "j", "block", "vec_id", "x", "cells", "m"))
     found, found_path = materialise(
         spread.repartition("t", "cell", "i", "j").sortWithinPartitions("t", "cell", "i", "j").mapInArrow(_compare(cosine, kind), "a long, b long, n long"), "vectors-found")
     labels = connected_components(found.where("n = 0").select("a", "b"))
     links = found.where("n > 0").groupBy("a").agg(F.sum("n").alias("n_links"))
+    several = alike.where("m > 1").select("x", F.col("vec_id").alias("lead"), "m")
+    of = hashed.select("vec_id", "x").join(several, "x", "inner").select(F.col("vec_id").alias("own"), "lead", "m")
+    named = rows.select("vec_id").join(of, F.col("vec_id") == of["own"], "left").select("vec_id", F.coalesce("lead", "vec_id").alias("lead"), F.coalesce("m", F.lit(1)).alias("m"))
     result, _ = materialise(
-        rows.select("vec_id").join(links, F.col("vec_id") == links["a"], "left").join(labels, F.col("vec_id") == labels["node"], "left")
-        .select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+        named.join(links, F.col("lead") == links["a"], "left").join(labels, F.col("lead") == labels["node"], "left")
+        .select("vec_id", (F.coalesce("n_links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "lead").alias("component_id"))
         .withColumn("kept", F.col("vec_id") == F.col("component_id")), "vectors-result")
-    for p in (rows_path, hashed_path, found_path):
+    for p in (rows_path, hashed_path, alike_path, found_path):
         drop_scratch(spark, p)
     return result
