@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seatwise.operators.rank import ordered_rank
 from seatwise.operators.util import all_of, blank_to_null, live
 
 UNASSIGNED = "Unassigned"
@@ -88,3 +89,24 @@ def page(members: DataFrame, limit: int | None = 50, offset: int | None = 0,
     if limit is not None:
         ordered = ordered.limit(limit)
     return ordered, total
+
+
+PAGE_BLOCK = 100_000  # rows of one block of a page index
+
+
+def write_page_index(members: DataFrame, path: str, order_col: str = "usn", block: int = PAGE_BLOCK) -> None:
+    """H1 for deep pages: the rows with their rank in page order, as a table of blocks of consecutive ranks.
+
+    Ranks come from range partitions and their counts, so no task holds more than a range. The index is
+    that of the rows when it was written; write it again after they change.
+    """
+    ranked = ordered_rank(members, [F.col(order_col), F.col("id")], {"_rank": []})  # nulls first
+    cut = ranked.withColumn("_block", F.floor(F.col("_rank") / block))
+    cut.repartition("_block").sortWithinPartitions("_rank").write.mode("overwrite").partitionBy("_block").parquet(path)
+
+
+def read_page(spark: SparkSession, path: str, limit: int, offset: int, block: int = PAGE_BLOCK) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit`` of a page index: only the blocks that hold them are read, however deep the page."""
+    at = (F.col("_rank") >= offset) & (F.col("_rank") < offset + limit)
+    rows = spark.read.parquet(path).where(F.col("_block").between(offset // block, (offset + max(1, limit) - 1) // block) & at)
+    return rows.orderBy("_rank").drop("_rank", "_block")

@@ -96,6 +96,18 @@ def q_roster_page(spark, sf):
     return rows.select("id", "usn", "full_name", "group_name")
 
 
+@query("roster_page_deep", f"""
+    SELECT id, usn, full_name, group_name FROM ({ROSTER_SQL}) r
+    ORDER BY usn, id LIMIT 50 OFFSET (SELECT count(*) - 70 FROM member WHERE NOT is_deleted)""")
+def q_roster_page_deep(spark, sf):
+    """A page near the end, from a page index: one or two blocks are read."""
+    from seatwise.operators.snapshot import scratch_root
+    rows, path = _roster(spark, sf), scratch_root(spark, "pages")
+    roster.write_page_index(rows, path, block=500)
+    total = roster.page(rows)[1].first()["total"]
+    return roster.read_page(spark, path, 50, max(0, total - 70), block=500).select("id", "usn", "full_name", "group_name")
+
+
 @query("roster_total", f"""SELECT count(*) AS total FROM ({ROSTER_SQL}) r""")
 def q_roster_total(spark, sf):
     return roster.page(_roster(spark, sf), limit=50, offset=20)[1]
