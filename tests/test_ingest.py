@@ -10,16 +10,20 @@ def _headers(spark, file, hs):
     return spark.createDataFrame([(file, i, h) for i, h in enumerate(hs)], "file string, pos long, header string")
 
 
-def test_map_exact_and_fuzzy(spark):
-    hs = ["Candidate Name", "Univ USN", "Branch / Department", "M/F", "College ID", "Extra Random Column"]
-    h = _headers(spark, "f1", hs)
-    m = {r["header"]: r["field"] for r in mapping.map_headers(h).collect()}
-    assert m == {"Candidate Name": "full_name", "Univ USN": "usn", "Branch / Department": "department",
-                 "M/F": "gender", "College ID": "student_id"}
-    um = [r["header"] for r in mapping.unmapped(h, mapping.map_headers(h)).collect()]
-    assert um == ["Extra Random Column"]
-    files = h.select("file").distinct()
-    assert mapping.missing_required(mapping.map_headers(h), files).count() == 0
+def test_each_header_takes_the_best_field_that_is_left(spark):
+    """Exact spellings, near ones, one at the threshold, a field used up by an earlier header, and strangers."""
+    cases = [("Roll-No", "usn", 100.0), ("Enrollment_ID", "student_id", 100.0), ("Stream:", "department", None), ("Genders", "gender", None),
+             ("progam name", "program", None), ("Sex", None, None), ("Blood Group", None, None), ("NAME OF STUDENT", "full_name", 100.0), ("si no.", "student_number", None)]
+    h = _headers(spark, "upload.csv", [c[0] for c in cases])
+    mapped = mapping.map_headers(h)
+    got = {r["header"]: (r["field"], r["score"]) for r in mapped.collect()}
+    assert {k: f for k, (f, _) in got.items()} == {c[0]: c[1] for c in cases if c[1]}
+    assert all(got[name][1] == score for name, _, score in cases if score)
+    assert all(80 <= got[c[0]][1] < 100 for c in cases if c[1] and not c[2] and c[0] not in ("Stream:", "si no."))
+    assert {r["header"] for r in mapping.unmapped(h, mapped).collect()} == {"Sex", "Blood Group"}
+    needed = [(f, label, f in ("usn", "program"), a) for f, label, _r, a in mapping.FIELDS]
+    without = mapping.map_headers(h.where("header <> 'progam name'"), needed)
+    assert [r["label"] for r in mapping.missing_required(without, h.select("file").distinct(), needed).collect()] == ["Program"]
 
 
 def test_map_quirks(spark):
@@ -52,15 +56,15 @@ def test_similarity_sql_and_vector_agree(spark):
     assert abs(T._indel_ratio_series(["branch department"], ["branch / department"])[0] - 94.4444444) < 1e-6
 
 
-def test_dimension_resolve_idempotent(spark):
-    existing = spark.createDataFrame([(1, "Computer Science & Engineering", "CSE")], "id long, name string, code string")
-    names = spark.createDataFrame([(1, "CSE"), (2, "Computer Science Engineering"), (3, "Mechanical Eng"),
-                                   (4, "mechanical   eng"), (5, "Civil")], "row_no long, name string")
-    out, new = dims.resolve(names, existing)
-    got = {r["row_no"]: r["dim_id"] for r in out.collect()}
-    assert got[1] == 1 and got[2] == 1
-    assert got[3] == got[4] == 2 and got[5] == 3
-    assert {(r["id"], r["name"], r["code"]) for r in new.collect()} == {(2, "Mechanical Eng", "ME"), (3, "Civil", "CIVIL")}
+def test_a_name_finds_its_row_by_code_by_name_or_makes_one(spark):
+    stored = spark.createDataFrame([(4, "Marine Biology", "MB"), (9, "Law", "LAW")], "id long, name string, code string")
+    names = spark.createDataFrame([(10, "mb"), (11, "  marine biology"), (12, "Music & Ballet"), (13, "History of Art"), (14, "HOA"), (15, "history  of art"), (16, "Botany"), (17, "law")],
+                                  "row_no long, name string")
+    out, new = dims.resolve(names, stored)
+    assert {r["row_no"]: r["dim_id"] for r in out.collect()} == {10: 4, 11: 4, 12: 4, 13: 10, 14: 10, 15: 10, 16: 11, 17: 9}
+    assert {tuple(r) for r in new.collect()} == {(10, "History of Art", "HOA"), (11, "Botany", "BOTANY")}
+    again, none = dims.resolve(names, stored.unionByName(new))
+    assert {r["dim_id"] for r in again.collect()} == {4, 9, 10, 11} and none.count() == 0
 
 
 def _seq_upsert(rows, stored):
