@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seatwise.llm.jaccard import _by_key
-from seatwise.operators.components import connected_components
+from seatwise.llm.components import connected_components
 from seatwise.session import drop_scratch, materialise
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from seatwise.llm import words as W
 from seatwise.llm.memory import frugal, small_batches
-from seatwise.operators.components import connected_components
+from seatwise.llm.components import connected_components
 from seatwise.session import drop_scratch, materialise, scratch_path
 
 _MULTIPLIERS = np.array([0x9DDFEA08EB382D69, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)

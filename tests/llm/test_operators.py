@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from seatwise.llm import bpe, chat, embeddings, exact, jaccard, langid, licenses, packing, queries, toxicity, warc
-from seatwise.operators.components import connected_components
+from seatwise.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, sid long, a long, component string"
