@@ -295,9 +295,10 @@ def write_workbooks(df: DataFrame, path: str, sheets: list[str], columns: list[s
     cells = [F.col(f"`{c}`").cast("string") for c in columns]
     place = F.array_position(F.array(*map(F.lit, sheets)), F.col(sheet_col)).cast("int") - 1
     tagged = df.withColumns({"_sheet": place, "_cells": F.array(*cells)}).where("_sheet >= 0")
-    sizes = {r["_sheet"]: r for r in tagged.groupBy("_sheet").agg(*[F.max(F.length(F.col("_cells")[k])).alias(str(k)) for k in range(len(columns))]).collect()}  # a row a sheet
-    widths = [[max(12, 3 + max(len(c), (sizes[s][str(k)] or 0) if s in sizes else 0)) for k, c in enumerate(columns)] for s in range(len(sheets))]
+    # written by the rank, so the report is not computed again for the widths
     ranked = ordered_rank(tagged, order, {"_rank": ["_sheet"]})
+    sizes = {r["_sheet"]: r for r in ranked.groupBy("_sheet").agg(*[F.max(F.length(F.col("_cells")[k])).alias(str(k)) for k in range(len(columns))]).collect()}  # a row a sheet
+    widths = [[max(12, 3 + max(len(c), (sizes[s][str(k)] or 0) if s in sizes else 0)) for k, c in enumerate(columns)] for s in range(len(sheets))]
     dealt = ranked.select(F.floor(F.col("_rank") / rows).alias("book"), F.col("_sheet").alias("sheet"), F.col("_rank").alias("rank"), F.col("_cells").alias("cells"))
     first = spark.range(1).select(F.col("id").alias("book"), F.lit(-1).alias("sheet"), F.lit(-1).cast("long").alias("rank"), F.lit(None).cast("array<string>").alias("cells"))
     books = (dealt.unionByName(first).repartition("book").sortWithinPartitions("book", "sheet", "rank")
