@@ -5,7 +5,7 @@ task, and ``PARTITION BY dept`` puts a hot department (a third of all rows) into
 two-phase rank avoids both:
 
 1. range-partition on (group cols, order cols) and sort inside partitions; tag each row with its
-   partition id ``_p`` and its position ``_i`` inside the partition;
+   partition id ``_rank_p`` and its position ``_rank_i`` inside the partition;
 2. write that frame once as parquet into the shared checkpoint folder and read it back, so
    partition ids and positions are fixed facts that cannot change if an executor is lost and a
    stage is recomputed (and the lineage is cut);
@@ -15,7 +15,8 @@ two-phase rank avoids both:
    table is small (checked: collected with a row limit) the offsets are computed on the driver
    and shipped as a broadcast local table; otherwise a distributed window + join does it.
 
-Ranges never split a row's order: keys are unique because callers end the order with ``id``.
+Ranges never split a row's order: keys are unique because callers end the order with ``id``. Columns of
+its own begin with ``_rank_``; callers may have any others.
 """
 
 from __future__ import annotations
@@ -48,20 +49,20 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
 
 
 def range_sorted(df: DataFrame, order: list, num_partitions: int | None = None) -> DataFrame:
-    """Range-partitioned, partition-sorted, materialised copy of ``df`` with ``_p`` and ``_i``.
+    """Range-partitioned, partition-sorted, materialised copy of ``df`` with ``_rank_p`` and ``_rank_i``.
 
-    ``order`` items are column names or expressions; they are materialised as ``_o<k>``.
+    ``order`` items are column names or expressions; they are materialised as ``_rank_o<k>``.
     """
     spark = df.sparkSession
     # at least as many ranges as the input has splits (maxPartitionBytes-sized), so a range
     # partition's sort stays bounded however large the input grows
     n = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
-    keys = [f"_o{k}" for k in range(len(order))]
+    keys = [f"_rank_o{k}" for k in range(len(order))]
     tagged = df.withColumns({k: _as_col(c) for k, c in zip(keys, order)})
     ranged = (tagged.repartitionByRange(n, *keys)
               .sortWithinPartitions(*keys)
-              .withColumn("_p", F.spark_partition_id())
-              .withColumn("_i", F.monotonically_increasing_id()
+              .withColumn("_rank_p", F.spark_partition_id())
+              .withColumn("_rank_i", F.monotonically_increasing_id()
                           - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
     return materialise(ranged, "rank")
 
@@ -69,7 +70,7 @@ def range_sorted(df: DataFrame, order: list, num_partitions: int | None = None)
 def _local_offsets(rows: list[tuple], ncols: int, contiguous: bool) -> list[tuple]:
     """Prefix sums per group over partition order, on a collected count table.
 
-    Row layout: (_p, *group values, _n[, _start]).
+    Row layout: (_rank_p, *group values, _rank_n[, _rank_start]).
     """
     def gkey(r):
         return tuple(r[1:1 + ncols])
@@ -97,32 +98,32 @@ def add_ranks(ranged: DataFrame, groups: dict[str, list[str]], lead: list[str] =
         cols = list(cols)
         contiguous = cols == list(lead)[:len(cols)]
         if contiguous:
-            local = F.col("_i") - F.col("_start")
-            aggs = [F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_start")]
+            local = F.col("_rank_i") - F.col("_rank_start")
+            aggs = [F.count(F.lit(1)).alias("_rank_n"), F.min("_rank_i").alias("_rank_start")]
         else:
-            out = out.withColumn("_loc", F.row_number().over(Window.partitionBy("_p", *cols).orderBy("_i")) - 1)
-            local = F.col("_loc")
-            aggs = [F.count(F.lit(1)).alias("_n")]
-        counts = ranged.groupBy("_p", *cols).agg(*aggs)
-        gk = [f"_g{k}" for k in range(len(cols))]
+            out = out.withColumn("_rank_loc", F.row_number().over(Window.partitionBy("_rank_p", *cols).orderBy("_rank_i")) - 1)
+            local = F.col("_rank_loc")
+            aggs = [F.count(F.lit(1)).alias("_rank_n")]
+        counts = ranged.groupBy("_rank_p", *cols).agg(*aggs)
+        gk = [f"_rank_g{k}" for k in range(len(cols))]
         rows = counts.limit(LOCAL_OFFSETS_LIMIT + 1).collect()
         if len(rows) <= LOCAL_OFFSETS_LIMIT:
-            fields = [T.StructField("_p", T.IntegerType())]
+            fields = [T.StructField("_rank_p", T.IntegerType())]
             fields += [T.StructField(g, ranged.schema[c].dataType) for c, g in zip(cols, gk)]
-            fields += [T.StructField("_off", T.LongType())]
+            fields += [T.StructField("_rank_off", T.LongType())]
             if contiguous:
-                fields += [T.StructField("_start", T.LongType())]
+                fields += [T.StructField("_rank_start", T.LongType())]
             data = _local_offsets([tuple(r) for r in rows], len(cols), contiguous)
             offs = F.broadcast(local_frame(spark, data, T.StructType(fields)))  # size checked above
         else:
-            w = Window.partitionBy(*cols).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-            offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-            offs = offs.select("_p", *[F.col(c).alias(g) for c, g in zip(cols, gk)], "_off",
-                               *(["_start"] if contiguous else []))
-        cond = [out["_p"] == offs["_p"]] + [out[c].eqNullSafe(offs[g]) for c, g in zip(cols, gk)]
-        out = (out.join(offs, cond).drop(offs["_p"]).drop(*gk)
-               .withColumn(name, (F.col("_off") + local).cast("long"))
-               .drop("_off", "_start", "_loc"))
+            w = Window.partitionBy(*cols).orderBy("_rank_p").rowsBetween(Window.unboundedPreceding, -1)
+            offs = counts.withColumn("_rank_off", F.coalesce(F.sum("_rank_n").over(w), F.lit(0))).drop("_rank_n")
+            offs = offs.select("_rank_p", *[F.col(c).alias(g) for c, g in zip(cols, gk)], "_rank_off",
+                               *(["_rank_start"] if contiguous else []))
+        cond = [out["_rank_p"] == offs["_rank_p"]] + [out[c].eqNullSafe(offs[g]) for c, g in zip(cols, gk)]
+        out = (out.join(offs, cond).drop(offs["_rank_p"]).drop(*gk)
+               .withColumn(name, (F.col("_rank_off") + local).cast("long"))
+               .drop("_rank_off", "_rank_start", "_rank_loc"))
     return out
 
 
@@ -141,7 +142,7 @@ def ordered_rank(df: DataFrame, order: list, groups: dict[str, list[str]] | None
     lead = [c for c in sets[0] if all(c in g for g in sets[1:])] if sets else []
     ranged = range_sorted(df, [F.col(c) for c in lead] + list(order), num_partitions)
     out = add_ranks(ranged, groups, lead=lead)
-    return out.drop(*[c for c in out.columns if c.startswith("_o")], "_p", "_i")
+    return out.drop(*[c for c in out.columns if c.startswith("_rank_")])
 
 
 SMALL_RANK_LIMIT = 10_000
@@ -160,15 +161,15 @@ def small_rank(df: DataFrame, order: list, limit: int = SMALL_RANK_LIMIT, name:
     reaches the driver.
     """
     spark = df.sparkSession
-    keys = [f"_o{k}" for k in range(len(order))]
+    keys = [f"_rank_o{k}" for k in range(len(order))]
     tagged = df.withColumns({k: _as_col(c) for k, c in zip(keys, order)})
     rows = tagged.select(*keys).limit(limit + 1).collect()
     if len(rows) > limit:
         return ordered_rank(df, order, {name: []})
     ranked = sorted((tuple(r) for r in rows), key=_sort_key)
-    schema = T.StructType([T.StructField(f"_k{k}", tagged.schema[c].dataType) for k, c in enumerate(keys)]
+    schema = T.StructType([T.StructField(f"_rank_k{k}", tagged.schema[c].dataType) for k, c in enumerate(keys)]
                           + [T.StructField(name, T.LongType())])
     local = F.broadcast(local_frame(spark, [r + (i,) for i, r in enumerate(ranked)], schema))
-    cond = [tagged[c].eqNullSafe(local[f"_k{k}"]) for k, c in enumerate(keys)]
+    cond = [tagged[c].eqNullSafe(local[f"_rank_k{k}"]) for k, c in enumerate(keys)]
     out = tagged.join(local, cond)
-    return out.drop(*keys, *[f"_k{k}" for k in range(len(keys))])
+    return out.drop(*keys, *[f"_rank_k{k}" for k in range(len(keys))])

@@ -44,3 +44,22 @@ def test_ordered_rank_matches_row_number_with_hot_group(spark):
     j = got.join(want, "id")
     assert j.where((F.col("r") != F.col("w")) | (F.col("rank0") != F.col("w0"))).count() == 0
     assert j.count() == 3000
+
+
+def test_bins_beyond_the_small_rank_keep_their_location(spark, monkeypatch):
+    """More new bins than the driver ranks: the distributed rank must not take callers' columns (``_loc``) for its own."""
+    monkeypatch.setattr(rank.small_rank, "__defaults__", (2, "rank0"))
+    existing = spark.createDataFrame([(3, "Hall", 5, "Old", True)], "id long, name string, capacity long, location string, is_active boolean")
+    incoming = spark.createDataFrame([(k, f"Room {k}", 10 + k, f"Block {k}") for k in range(1, 7)] + [(7, " hall ", 9, "New")],
+                                     "row_no long, name string, capacity long, location string")
+    got = sorted(map(tuple, dims.upsert_bins(existing, incoming).collect()))
+    assert got == [(3, "Hall", 9, "Old", True)] + [(3 + k, f"Room {k}", 10 + k, f"Block {k}", True) for k in range(1, 7)]
+
+
+def test_a_rank_leaves_every_column_of_its_input(spark):
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame([(k, *[k * 10 + j for j in range(8)]) for k in range(20)],
+                               "id long, _loc long, _off long, _start long, _p long, _i long, _o0 long, _n long, _g0 long")
+    for groups in ({"rank0": []}, {"rank0": ["_g0"]}, {"rank0": ["_g0"], "r": []}):
+        got = rank.ordered_rank(df, [F.col("id")], groups, num_partitions=3)
+        assert sorted(map(tuple, got.select(df.columns).collect())) == sorted(map(tuple, df.collect()))
