@@ -39,6 +39,12 @@ def read_batch(spark: SparkSession, path: str) -> DataFrame:
     return ranked.withColumn("row_no", (F.col("rank0") + 1).cast("long")).drop("rank0", "source_file", "_line")
 
 
+def free_id(ledger: DataFrame, wanted: int) -> int:
+    """``wanted``, or the number after the ledger's last id where an import has taken it."""
+    last, taken = ledger.agg(F.max("id"), F.count_if(F.col("id") == wanted)).first()
+    return last + 1 if taken else wanted
+
+
 def import_files(spark: SparkSession, path: str, target: DataFrame, dept: DataFrame, program: DataFrame,
                  ledger: DataFrame, import_id: int, now, batch_tag: str = "0") -> dict[str, DataFrame]:
     """Import an upload (one CSV file or workbook, or a folder of them) into the member table.
