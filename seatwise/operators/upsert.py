@@ -118,12 +118,13 @@ def _follow(nodes: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, done)
 
 
-def resolve_keys(clean: DataFrame, target: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def resolve_keys(clean: DataFrame, target: DataFrame, chunk: int = CHUNK, firsts: DataFrame | None = None) -> DataFrame:
     """(ukey, entity, is_new) of every usn key of the cleaned batch: ``entity`` is a stored id, or
-    the row number that names a new member."""
+    the row number that names a new member. ``firsts``: (ukey, first, ikey) of each usn key's first row, where the caller has them."""
     u, i = stored_keys(target)
-    nodes = (clean.groupBy("ukey").agg(F.min("row_no").alias("first"), F.min_by("ikey", "row_no").alias("ikey"))
-             .join(u, "ukey", "left"))
+    if firsts is None:
+        firsts = clean.groupBy("ukey").agg(F.min("row_no").alias("first"), F.min_by("ikey", "row_no").alias("ikey"))
+    nodes = firsts.join(u, "ukey", "left")
     shared = materialise(clean.groupBy("ikey").agg(F.min("ukey").alias("a"), F.max("ukey").alias("b")).where("a <> b").select("ikey"), "upsert-shared")
     fresh = F.coalesce("t_i", "first").cast("long").alias("entity"), F.col("t_i").isNull().alias("is_new")
     if shared.isEmpty():  # no id key joins two usn keys: every key stands alone
@@ -148,20 +149,23 @@ def upsert(batch: DataFrame, target: DataFrame, dept: DataFrame, program: DataFr
     clean = materialise(clean_batch(batch, batch_tag), "upsert-clean")
     dmap, new_dept = dims.spelling_map(clean.select("row_no", F.col("department").alias("name")), dept)
     pmap, new_prog = dims.spelling_map(clean.select("row_no", F.col("program").alias("name")), program)
-    keys = resolve_keys(clean, target)
+    # a row per usn key, once for all that follows: the last row's values and the first row's
+    by_key = materialise(clean.groupBy("ukey").agg(
+        F.max_by(F.struct("usn", "student_id", "full_name", "department", "gender"), "row_no").alias("_over"),
+        F.min_by(F.struct("program", "student_number", "ikey"), "row_no").alias("_once"),
+        F.min("row_no").alias("_first"), F.max("row_no").alias("_last"), F.count(F.lit(1)).alias("_rows"))
+        .select("ukey", "_over.*", "_once.*", "_first", "_last", "_rows"), "upsert-keys")
+    keys = resolve_keys(clean, target, firsts=by_key.select("ukey", F.col("_first").alias("first"), "ikey"))
     # spelling -> id maps hold one row per distinct spelling (AQE broadcasts them)
     dmap = dmap.select(F.col("_s_name").alias("_dn"), F.col("dim_id").alias("department_id"))
     pmap = pmap.select(F.col("_s_name").alias("_pn"), F.col("dim_id").alias("program_id"))
-    named = (clean.join(dmap, clean["department"].eqNullSafe(dmap["_dn"]))
-             .join(pmap, clean["program"].eqNullSafe(pmap["_pn"])).drop("_dn", "_pn"))
+    named = (by_key.join(dmap, by_key["department"].eqNullSafe(dmap["_dn"]), "left")
+             .join(pmap, by_key["program"].eqNullSafe(pmap["_pn"]), "left").drop("_dn", "_pn"))
     over = ("usn", "student_id", "full_name", "department_id", "gender")
     once = ("program_id", "student_number")
-    by_key = named.groupBy("ukey").agg(
-        *[F.max_by(c, "row_no").alias(c) for c in over], *[F.min_by(c, "row_no").alias(c) for c in once],
-        F.min("row_no").alias("_first"), F.max("row_no").alias("_last"), F.count(F.lit(1)).alias("_rows"))
-    per = by_key.join(keys, "ukey").groupBy("entity", "is_new").agg(
-        *[F.max_by(c, "_last").alias(c) for c in over], *[F.min_by(c, "_first").alias(c) for c in once],
-        F.min("_first").alias("_first"), F.sum("_rows").alias("_rows"))
+    per = named.join(keys, "ukey").groupBy("entity", "is_new").agg(
+        F.max_by(F.struct(*over), "_last").alias("_over"), F.min_by(F.struct(*once), "_first").alias("_once"),
+        F.min("_first").alias("_first"), F.sum("_rows").alias("_rows")).select("entity", "is_new", "_over.*", "_once.*", "_first", "_rows")
     # one row per member touched; written once so the update and insert branches (and the
     # insert numbering's sample + write) read it instead of re-running the whole resolution
     per = materialise(per, "upsert-entities")

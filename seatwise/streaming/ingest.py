@@ -113,11 +113,25 @@ def run_ingest(spark: SparkSession, input_dir: str, schema: str, store: str, che
 
 def write_uploads(batch: DataFrame, input_dir: str, n_files: int) -> None:
     """Test helper: split a batch into ``n_files`` uploads by row_no range, each one CSV file
-    (as a user upload is), written one after another so arrival order is row order."""
+    (as a user upload is). One job writes them; their times are then set in row order, which is their order of arrival."""
     bounds = batch.agg(F.min("row_no"), F.max("row_no")).first()
     lo, hi = int(bounds[0]), int(bounds[1])
     step = max(1, -(-(hi - lo + 1) // n_files))
+    spark = batch.sparkSession
+    (batch.where("row_no is not null").withColumn("_upload", F.floor((F.col("row_no") - lo) / step)).repartitionByRange(n_files, "_upload")
+     .write.mode("overwrite").partitionBy("_upload").option("header", True).csv(f"{input_dir}/_uploads"))
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(input_dir).getFileSystem(spark._jsc.hadoopConfiguration())
+    done = fs.getFileStatus(path(f"{input_dir}/_uploads/_SUCCESS")).getModificationTime()
     for k in range(n_files):
-        a, b = lo + k * step, lo + (k + 1) * step
-        part = batch.where((F.col("row_no") >= a) & (F.col("row_no") < b))
-        part.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{input_dir}/upload_{k:04d}")
+        to = path(f"{input_dir}/upload_{k:04d}")
+        fs.delete(to, True)
+        if not fs.rename(path(f"{input_dir}/_uploads/_upload={k}"), to):
+            continue  # no rows
+        for f in fs.globStatus(path(to, "*.csv")):
+            at = done - 1000 * (n_files - k)
+            fs.setTimes(f.getPath(), at, -1)
+            if fs.getFileStatus(f.getPath()).getModificationTime() != at:
+                raise OSError(f"{input_dir} does not keep the times of files")
+    fs.delete(path(f"{input_dir}/_uploads"), True)
