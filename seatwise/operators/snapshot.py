@@ -44,12 +44,16 @@ def scratch_root(spark: SparkSession, name: str = "snapshots") -> str:
 def _row_hash(df: DataFrame, seed: int = 0):
     """A hash of a row's values with their columns' names and nulls."""
     parts = [x for c in df.columns for x in (F.lit(c), F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
-    return F.xxhash64(F.lit(seed), *parts).cast("decimal(20,0)")
+    return F.xxhash64(F.lit(seed), *parts)
 
 
 def _sum_hash(df: DataFrame, seed: int = 0):
-    """Sum of row hashes, whatever the rows' order; equal rows don't cancel."""
-    return F.coalesce(F.sum(_row_hash(df, seed)), F.lit(0)).cast("decimal(38,0)")
+    """Sum of row hashes, whatever the rows' order; equal rows don't cancel.
+
+    The upper and the lower half are summed as longs, which is exact to 2^31 rows (beyond, the sum raises) and far cheaper than decimals."""
+    h = _row_hash(df, seed)
+    high, low = F.sum(F.shiftright(h, 32)), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF)))
+    return F.coalesce(high.cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + low.cast("decimal(20,0)"), F.lit(0)).cast("decimal(38,0)")
 
 
 def checksum(df: DataFrame) -> DataFrame:
@@ -185,6 +189,13 @@ def verify(spark: SparkSession, root: str, snap: str) -> DataFrame:
     return spark.createDataFrame(out, "table string, rows long, rows_now long, ok boolean")
 
 
+def differing(left: DataFrame, right: DataFrame) -> DataFrame:
+    """One row, ``rows``: the rows that one of two tables has more often than the other, counted as often (one shuffle for both sides)."""
+    signed = left.withColumn("_sign", F.lit(1)).union(right.withColumn("_sign", F.lit(-1)))
+    odd = signed.groupBy(*[f"`{c}`" for c in left.columns]).agg(F.sum("_sign").alias("_sign"))
+    return odd.agg(F.coalesce(F.sum(F.abs("_sign")), F.lit(0)).alias("rows"))
+
+
 def restore(spark: SparkSession, root: str, snap: str, current: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Verify (a mismatch is an error), take a safety snapshot of the current state, then return the
     snapshot's tables."""
