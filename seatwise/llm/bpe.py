@@ -148,8 +148,9 @@ class Coder:
 
     def units(self, text: str) -> list[str]:
         """Words and special tokens of a stretch of text."""
-        parts = self.cut.split(text) if self.cut and any(s in text for s in self.special) else [text]
-        return [w for k, p in enumerate(parts) for w in (["\1" + p] if k % 2 else self.words(p))]
+        if not self.cut or not any(s in text for s in self.special):
+            return self.words(text)
+        return [w for k, p in enumerate(self.cut.split(text)) for w in (["\1" + p] if k % 2 else self.words(p))]
 
     def _same(self, x: str, y: str) -> bool:
         """Whether two units have the same tokens."""
@@ -192,7 +193,7 @@ class Coder:
     def encode(self, texts: list[str], leaf: int = TEXT_LEAF) -> list[tuple[str, str]]:
         """(ids joined by a space, decoded text) of each text."""
         cut = [self.tree_units(text, leaf) for text in texts]
-        self.learn({w for words in cut for w in words if w[0] != "\1"})
+        self.learn([w for w in set().union(*cut) if w[0] != "\1"])
         for s, i in self.special.items():
             self.ids["\1" + s], self.text["\1" + s] = str(i), self.whole.decode([i], skip_special_tokens=False)
         ids = [" ".join(filter(None, map(self.ids.__getitem__, words))) for words in cut]
